@@ -101,7 +101,7 @@ def explode_ranges(df: DataFrame, start: str, end: str, period: str) -> DataFram
 def clone_list(clones: list[int] | range | Column) -> Column:
     """Scenario numbers as one array column."""
     if isinstance(clones, Column):
-        return clones
+        return clones.cast("array<int>")
     if isinstance(clones, range) and clones.step == 1 and len(clones):
         return F.sequence(F.lit(clones.start), F.lit(clones.stop - 1))
     numbers = sorted(set(clones))
@@ -114,7 +114,7 @@ def context_grid(ranges: DataFrame, clones: list[int] | range | Column) -> DataF
     ``clones`` is the scenario list of the run (or an array column, such as a scalar
     subquery).  The grid is unsorted; sort it with ``order_blocks`` where order matters.
     """
-    numbered = ranges.select("*", F.explode(clone_list(clones)).cast("int").alias("clone_num"))
+    numbered = ranges.select("*", F.explode(clone_list(clones)).alias("clone_num"))
     return numbered.select("clone_num", *ranges.columns)
 
 
@@ -136,7 +136,7 @@ def run_keys(
     opened = attributes.select("*", F.explode(ranges).alias("__r"))
     opened = opened.select(*attributes.columns, "__r.tr_start", "__r.tr_end", chosen.alias("__c"))
     return opened.select(
-        *attributes.columns, F.explode("__c").cast("int").alias("clone_num"), "tr_start", "tr_end"
+        *attributes.columns, F.explode("__c").alias("clone_num"), "tr_start", "tr_end"
     )
 
 

@@ -141,7 +141,7 @@ def clones(blocks: DataFrame, clone_num: int, time_range: tuple[Column, Column])
     """Values of every scenario before ``clone_num`` inside a range: a pushed-down filter."""
     return blocks.where(
         (F.col("clone_num") < clone_num) & (F.col("tr_start") >= time_range[0]) & (F.col("tr_end") <= time_range[1])
-    ).select("clone_num", "tr_start", "tr_end", "value")
+    )
 
 
 def running_fold(
