@@ -140,7 +140,7 @@ def to_epoch_seconds(c: Column, low: float = MIN_SECONDS, high: float = MAX_SECO
     return (
         F.when(datetimes_close(c, datetime_min()), F.lit(float(low)))
         .when(datetimes_close(c, datetime_max()), F.lit(float(high)))
-        .otherwise(F.greatest(F.least(seconds, F.lit(float(high))), F.lit(float(low))))
+        .when(c.isNotNull(), F.greatest(F.least(seconds, F.lit(float(high))), F.lit(float(low))))
     )
 
 
