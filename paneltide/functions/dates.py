@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from paneltide.functions.binding import let_sql
 from paneltide.schema import DATETIME_MAX, DATETIME_MIN, MAX_SECONDS, MIN_SECONDS
 
 # Output and input formats.
@@ -32,6 +33,7 @@ _ISO = (
     r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
     r"(?:([+-])(\d{2})(?::?(\d{2})(?::?(\d{2}))?)?)?)?$"
 )
+_PLAIN = r"^(?!0000)\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
 _MAIL = (
     r"(?i)^\s*(?:[a-z]+,?\s+)?(\d{1,2})\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*,?"
     r"\s+(\d{2}|\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[a-z]+))?.*$"
@@ -60,68 +62,64 @@ def datetime_max() -> Column:
     return F.lit(DATETIME_MAX).cast("timestamp")
 
 
-def _group(c: Column, pattern: str, index: int) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, index), F.lit(""))
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All groups of a matching text from one pass, as an array (NULL: no match)."""
+    joined = F.regexp_replace(text, pattern, "\x01".join(f"${i}" for i in range(1, n + 1)))
+    return F.when(text.rlike(pattern), F.split(joined, "\x01", -1))
 
 
-def _parse_iso(text: Column) -> Column:
-    s = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-
-    def part(i):
-        return _group(s, _ISO, i)
-
-    def num(i, default=0):
-        return F.coalesce(part(i).try_cast("int"), F.lit(default))
-
-    year = F.coalesce(part(1), part(4))
-    month = F.coalesce(part(2), part(5))
-    day = F.coalesce(part(3), part(6))
-    calendar = F.concat_ws("-", year, month, day).try_cast("date")
-    # Week 1 holds 4 January; weekday() counts from Monday = 0.
-    jan4 = F.concat(part(7), F.lit("-01-04")).try_cast("date")
-    monday = F.date_sub(jan4, F.weekday(jan4))
-    week_day = F.date_add(monday, (num(8) - 1) * 7 + num(9, 1) - 1)
-    # 28 December always lies in the last week of its year.
-    last_week = F.weekofyear(F.concat(part(7), F.lit("-12-28")).try_cast("date"))
-    week = F.when(num(8).between(1, last_week), week_day)
-    date = F.when(year.isNotNull() & (year >= "0001"), calendar).when(part(7).isNotNull(), week)
-
-    clock_ok = (num(10) <= 23) & (num(11) <= 59) & (num(12) <= 59)
-    offset_ok = (num(15) <= 23) & (num(16) <= 59) & (num(17) <= 59)
-    micros = F.rpad(F.substring(F.coalesce(part(13), F.lit("")), 1, 6), 6, "0").try_cast("long")
-    clock = (num(10) * 3600 + num(11) * 60 + num(12)).cast("long") * 1_000_000 + micros
-    offset = (num(15) * 3600 + num(16) * 60 + num(17)).cast("long") * F.when(part(14) == "-", -1).otherwise(1)
-    instant = F.unix_date(date).cast("long") * 86_400_000_000 + clock - offset * 1_000_000
-    return F.when(
-        s.rlike(_ISO) & date.isNotNull() & clock_ok & offset_ok, F.timestamp_micros(instant)
+def _part(i: int) -> str:
+    return f"nullif(get(p, {i - 1}), '')"
+
+
+def _num(i: int, default: int = 0) -> str:
+    return f"coalesce(try_cast(get(p, {i - 1}) AS INT), {default})"
+
+
+def _iso_sql() -> str:
+    """Instant of the groups ``p`` of ISO text; NULL for dates or times that do not exist."""
+    year, month, day = (f"coalesce({_part(i)}, {_part(i + 3)})" for i in (1, 2, 3))
+    # Week 1 holds 4 January; weekday() counts from Monday = 0.  28 December always lies
+    # in the last week of its year.
+    week = f"""CASE WHEN {_num(8)} BETWEEN 1 AND weekofyear(try_cast(concat(get(p, 6), '-12-28') AS DATE)) THEN
+      get(transform(array(try_cast(concat(get(p, 6), '-01-04') AS DATE)), j ->
+        date_add(date_sub(j, weekday(j)), ({_num(8)} - 1) * 7 + {_num(9, 1)} - 1)), 0) END"""
+    date = f"""CASE WHEN {year} >= '0001' THEN try_cast(concat_ws('-', {year}, {month}, {day}) AS DATE)
+      WHEN {_part(7)} IS NOT NULL THEN {week} END"""
+    micros = f"CAST(rpad(substr(coalesce(get(p, 12), ''), 1, 6), 6, '0') AS BIGINT)"
+    clock = f"CAST({_num(10)} * 3600 + {_num(11)} * 60 + {_num(12)} AS BIGINT) * 1000000 + {micros}"
+    offset = f"CAST({_num(15)} * 3600 + {_num(16)} * 60 + {_num(17)} AS BIGINT) * IF(get(p, 13) = '-', -1, 1)"
+    fits = " AND ".join(
+        [f"{_num(i)} <= {top}" for i, top in ((10, 23), (11, 59), (12, 59), (15, 23), (16, 59), (17, 59))]
     )
+    return f"""CASE WHEN p IS NOT NULL AND {fits} THEN
+      timestamp_micros(unix_date({date}) * 86400000000L + {clock} - ({offset}) * 1000000) END"""
+
+
+def _mail_sql() -> str:
+    """Instant of the groups ``p`` of a mail date."""
+    months = ", ".join(f"'{m}'" for m in MONTH_NAMES)
+    year = f"""CASE WHEN length(get(p, 2)) = 4 THEN {_num(3)} WHEN {_num(3)} > 68 THEN {_num(3)} + 1900
+      ELSE {_num(3)} + 2000 END"""
+    date = f"""try_cast(concat_ws('-', lpad({year}, 4, '0'),
+      lpad(array_position(array({months}), lower(get(p, 1))), 2, '0'), lpad(get(p, 0), 2, '0')) AS DATE)"""
+    named = " ".join(f"WHEN '{name}' THEN {hours * 60}" for name, hours in ZONE_HOURS.items())
+    zone = f"""get(transform(array(upper(coalesce({_part(7)}, 'UTC'))), z ->
+      CASE WHEN z RLIKE '^[+-][0-9]{{4}}$' THEN IF(z LIKE '-%', -1, 1) * (CAST(substr(z, 2, 2) AS INT) * 60
+        + CAST(substr(z, 4, 2) AS INT)) ELSE CASE z {named} ELSE 0 END END), 0)"""
+    clock = f"{_num(4)} * 3600 + {_num(5)} * 60 + {_num(6)} - {zone} * 60"
+    return f"""CASE WHEN p IS NOT NULL AND {_num(4)} <= 23 AND {_num(5)} <= 59 AND {_num(6)} <= 59 THEN
+      timestamp_seconds(unix_date({date}) * 86400L + {clock}) END"""
+
+
+def _parse_iso(text: Column) -> Column:
+    parts = _groups(F.replace(text, F.lit("Z"), F.lit("+00:00")), _ISO, 17)
+    # Plain extended times need no groups: the built-in cast reads them.
+    return F.when(text.rlike(_PLAIN), text.try_cast("timestamp")).otherwise(let_sql(parts, "p", _iso_sql()))
 
 
 def _parse_mail(text: Column) -> Column:
-    def part(i):
-        return _group(text, _MAIL, i)
-
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.lower(part(2)))
-    year = part(3).try_cast("int")
-    year = F.when(F.length(part(3)) == 4, year).when(year > 68, year + 1900).otherwise(year + 2000)
-    date = F.try_to_date(
-        F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"),
-                    F.lpad(part(1), 2, "0"))
-    )
-    hour, minute = part(4).try_cast("int"), part(5).try_cast("int")
-    second = F.coalesce(part(6).try_cast("int"), F.lit(0))
-    zone = F.upper(F.coalesce(part(7), F.lit("UTC")))
-    named = F.lit(0)
-    for name, hours in ZONE_HOURS.items():
-        named = F.when(zone == name, hours * 60).otherwise(named)
-    sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-    numeric = sign * (
-        F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
-    )
-    minutes = F.when(zone.rlike(r"^[+-]\d{4}$"), numeric).otherwise(named)
-    seconds = F.unix_date(date).cast("long") * 86_400 + hour * 3600 + minute * 60 + second - minutes * 60
-    fits = date.isNotNull() & (hour <= 23) & (minute <= 59) & (second <= 59)
-    return F.when(text.rlike(_MAIL) & fits, F.timestamp_seconds(seconds))
+    return let_sql(_groups(text, _MAIL, 7), "p", _mail_sql())
 
 
 def parse_datetime(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from paneltide.functions import dates
+from paneltide.functions.binding import let
 
 Leaf = Callable[[Column, T.DataType], Column]
 _TIMES = (T.TimestampType, T.TimestampNTZType)
@@ -68,7 +69,7 @@ def normalize_datetimes(df: DataFrame, columns: list[str] | None = None) -> Data
             return dates.to_milli(c)
         if isinstance(dtype, T.StringType):
             at = dates.to_milli(dates.parse_datetime(c))
-            return F.struct(at.alias("value"), F.when(at.isNull(), c).alias("text"))
+            return let(at, lambda x: F.struct(x.alias("value"), F.when(x.isNull(), c).alias("text")))
         return c
 
     return _over(df, columns, leaf)
@@ -81,8 +82,8 @@ def to_epoch_seconds(df: DataFrame, columns: list[str] | None = None) -> DataFra
         if isinstance(dtype, _TIMES):
             return dates.to_epoch_seconds(c)
         if isinstance(dtype, T.StringType):
-            at = dates.to_epoch_seconds(dates.parse_datetime(c))
-            return F.struct(at.alias("value"), F.when(at.isNull(), c).alias("text"))
+            at = let(dates.parse_datetime(c), lambda x: dates.to_epoch_seconds(x))
+            return let(at, lambda x: F.struct(x.alias("value"), F.when(x.isNull(), c).alias("text")))
         return c
 
     return _over(df, columns, leaf)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
+from paneltide.functions.binding import let
+
 # Line ends, blanks and the notes of a shortened preview.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 BLANK = r"[\s\x1c-\x1f]"
@@ -109,18 +111,28 @@ def common_substring_length(a: Column, b: Column) -> Column:
 
 def dedent(c: Column) -> Column:
     """Remove the indent all non-blank lines share; unchanged when there is none."""
-    lines = split_lines(c)
-    full = F.filter(lines, lambda line: lstrip(line) != "")
-    indent = F.array_min(
-        F.transform(full, lambda line: F.char_length(line) - F.char_length(lstrip(line)))
-    )
-    cut = F.transform(
-        lines,
-        lambda line: F.when(lstrip(line) == "", F.lit("")).otherwise(
-            F.substr(line, indent + 1, F.char_length(line))
-        ),
-    )
-    return F.when(F.coalesce(indent, F.lit(0)) == 0, c).otherwise(F.array_join(cut, "\n"))
+
+    def cut(lines, indent):
+        kept = F.transform(
+            lines,
+            lambda line: F.when(lstrip(line) == "", F.lit("")).otherwise(
+                F.substr(line, indent + 1, F.char_length(line))
+            ),
+        )
+        return F.when(F.coalesce(indent, F.lit(0)) == 0, c).otherwise(F.array_join(kept, "\n"))
+
+    def indent_of(lines):
+        # Blank lines give NULL, which the minimum skips.
+        return F.array_min(
+            F.transform(
+                lines,
+                lambda line: let(
+                    F.char_length(lstrip(line)), lambda n: F.when(n > 0, F.char_length(line) - n)
+                ),
+            )
+        )
+
+    return let(split_lines(c), lambda lines: let(indent_of(lines), lambda n: cut(lines, n)))
 
 
 def drop_import_lines(c: Column, top_only: bool = False) -> Column:

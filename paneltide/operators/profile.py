@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from paneltide.functions.binding import let
 from paneltide.functions.files import extension, guess_file_type
 from paneltide.functions.text import split_lines, strip
 from paneltide.sources.files import read_files
@@ -70,32 +71,38 @@ def head_rows(df: DataFrame, order_by: list[str], n: int = HEAD_ROWS, by: list[s
 
 def profile_text(c: Column) -> Column:
     """Line count and the first lines of a text."""
-    lines = split_lines(c)
-    return F.struct(
-        F.size(lines).alias("line_count"),
-        F.array_join(F.slice(lines, 1, HEAD_ROWS), "\n").alias("preview"),
+    return let(
+        split_lines(c),
+        lambda lines: F.struct(
+            F.size(lines).alias("line_count"),
+            F.array_join(F.slice(lines, 1, HEAD_ROWS), "\n").alias("preview"),
+        ),
     )
 
 
 def profile_json(c: Column) -> Column:
     """Item count and first items of JSON text; NULL count for scalars, error for bad text."""
-    parsed = F.try_parse_json(c)
-    items = F.try_variant_get(parsed, "$", "array<variant>")
-    fields = F.from_json(c, "map<string, variant>")
-    keys = F.json_object_keys(c)
-    is_list = F.json_array_length(c).isNotNull()
-    is_object = keys.isNotNull()
-    sample = (
-        F.when(is_list, F.to_json(F.slice(items, 1, HEAD_ITEMS)))
-        .when(is_object, F.to_json(F.map_from_entries(F.slice(F.map_entries(fields), 1, HEAD_ITEMS))))
-        .otherwise(c)
-    )
-    return F.struct(
-        F.when(is_list, F.size(items)).when(is_object, F.size(keys)).alias("item_count"),
-        F.when(parsed.isNotNull(), sample).alias("sample"),
-        F.schema_of_variant(parsed).alias("schema"),
-        F.when(parsed.isNull(), F.lit("Failed to process file: not JSON")).alias("error"),
-    )
+
+    def summary(parsed):
+        items = F.try_variant_get(parsed, "$", "array<variant>")
+        # Field order is the text's; a parsed variant would sort the names.
+        fields = F.map_entries(F.from_json(c, "map<string, variant>"))
+        schema = F.schema_of_variant(parsed)
+        is_list, is_object = F.startswith(schema, F.lit("ARRAY<")), F.startswith(schema, F.lit("OBJECT<"))
+        sample = (
+            F.when(is_list, F.to_json(F.slice(items, 1, HEAD_ITEMS)))
+            .when(is_object, F.to_json(F.map_from_entries(F.slice(fields, 1, HEAD_ITEMS))))
+            .otherwise(c)
+        )
+        count = F.when(is_list, F.size(items)).when(is_object, F.size(F.json_object_keys(c)))
+        return F.struct(
+            count.alias("item_count"),
+            F.when(parsed.isNotNull(), sample).alias("sample"),
+            schema.alias("schema"),
+            F.when(parsed.isNull(), F.lit("Failed to process file: not JSON")).alias("error"),
+        )
+
+    return let(F.try_parse_json(c), summary)
 
 
 def _markup(c: Column) -> Column:
@@ -110,16 +117,23 @@ def profile_xml(c: Column) -> Column:
     Unbalanced markup is reported in ``error``; tags are named as written, prefix
     included.
     """
-    bare = _markup(c)
-    tags = F.regexp_extract_all(bare, F.lit(r"<([A-Za-z_][^\s/>]*)"), F.lit(1))
-    closed = F.size(F.regexp_extract_all(bare, F.lit(r"</[A-Za-z_]|<[A-Za-z_][^<>]*/>"), F.lit(0)))
-    bad = (F.size(tags) == 0) | (F.size(tags) != closed)
-    return F.struct(
-        F.get(tags, F.lit(0)).alias("root_tag"),
-        F.size(tags).alias("num_elements"),
-        F.slice(F.array_distinct(tags), 1, HEAD_TAGS).alias("sample_tags"),
-        F.when(bad, F.lit("Failed to process file: not well-formed")).alias("error"),
-    )
+
+    def summary(found):
+        tags = found["tags"]
+        bad = (F.size(tags) == 0) | (F.size(tags) != found["closed"])
+        return F.struct(
+            F.get(tags, F.lit(0)).alias("root_tag"),
+            F.size(tags).alias("num_elements"),
+            F.slice(F.array_distinct(tags), 1, HEAD_TAGS).alias("sample_tags"),
+            F.when(bad, F.lit("Failed to process file: not well-formed")).alias("error"),
+        )
+
+    def scan(bare):
+        ends = F.regexp_extract_all(bare, F.lit(r"</[A-Za-z_]|<[A-Za-z_][^<>]*/>"), F.lit(0))
+        tags = F.regexp_extract_all(bare, F.lit(r"<([A-Za-z_][^\s/>]*)"), F.lit(1))
+        return F.struct(tags.alias("tags"), F.size(ends).alias("closed"))
+
+    return let(let(_markup(c), scan), summary)
 
 
 def profile_image(spark: SparkSession, path: str) -> DataFrame:
@@ -134,80 +148,94 @@ def profile_image(spark: SparkSession, path: str) -> DataFrame:
     return sized.join(kinds, "file_name").select("file_name", upper.alias("format"), "mode", "width", "height")
 
 
-def _delimited(text: Column, separator: str) -> dict[str, Column]:
+def _delimited(text: Column, separator: str) -> Column:
     """Rows, columns, names, types and head of delimited text held in one cell.
 
     Quoted fields may hold separators and line ends.  Large tables are read with
     ``read_by_type`` and profiled with ``profile_table`` instead.
     """
     quoted = r'"(?:[^"]|"")*"'
-    masked = F.transform(
+    hidden = F.transform(
         F.regexp_extract_all(text, F.lit(rf'{quoted}|[^"]+'), F.lit(0)),
         lambda t: F.when(F.startswith(t, F.lit('"')), F.translate(t, "\n\r" + separator, "  ")).otherwise(t),
     )
-    lines = F.filter(split_lines(F.array_join(masked, "")), lambda line: strip(line) != "")
-    unquote = lambda s: F.regexp_replace(strip(s), r'^"|"$', "")
-    cells = lambda line: F.transform(F.split(line, separator, -1), unquote)
-    header = cells(F.get(lines, F.lit(0)))
-    body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-
-    def kind(i):
-        values = F.transform(body, lambda line: F.nullif(F.get(cells(line), i), F.lit("")))
-        filled = F.filter(values, lambda v: v.isNotNull())
-        whole = F.forall(values, lambda v: v.isNotNull() & v.rlike(r"^[+-]?\d+$"))
-        number = F.forall(filled, lambda v: v.try_cast("double").isNotNull())
-        truth = F.forall(values, lambda v: v.isNotNull() & v.rlike("^(True|False|TRUE|FALSE|true|false)$"))
-        return (
-            F.when(F.size(body) == 0, F.lit("object")).when(whole, F.lit("int64")).when(truth, F.lit("bool"))
-            .when(number, F.lit("float64")).otherwise(F.lit("object"))
-        )
+    lines = F.filter(split_lines(F.array_join(hidden, "")), lambda line: strip(line) != "")
 
-    width = F.size(header)
-    return {
-        "num_rows": F.size(body),
-        "num_columns": width,
-        "columns": header,
-        "dtypes": F.transform(F.sequence(F.lit(0), width - 1), kind),
-        "head": F.array_join(F.slice(body, 1, HEAD_ROWS), "\n"),
-    }
+    def cells(line):
+        return F.transform(F.split(line, separator, -1), lambda s: F.regexp_replace(strip(s), r'^"|"$', ""))
+
+    def kind(rows, i):
+        values = F.transform(rows, lambda r: F.nullif(F.get(r, i), F.lit("")))
+
+        def named(v):
+            whole = F.forall(v, lambda x: F.coalesce(x.rlike(r"^[+-]?\d+$"), F.lit(False)))
+            truth = F.forall(v, lambda x: F.coalesce(x.rlike("^(True|False|TRUE|FALSE|true|false)$"), F.lit(False)))
+            number = F.forall(v, lambda x: x.isNull() | x.try_cast("double").isNotNull())
+            return (
+                F.when(F.size(v) == 0, F.lit("object")).when(whole, F.lit("int64")).when(truth, F.lit("bool"))
+                .when(number, F.lit("float64")).otherwise(F.lit("object"))
+            )
+
+        return let(values, named)
+
+    def summary(lines):
+        body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+
+        def shaped(t):
+            width = F.size(t["header"])
+            return F.struct(
+                F.size(t["rows"]).alias("num_rows"),
+                width.alias("num_columns"),
+                t["header"].alias("columns"),
+                F.transform(F.sequence(F.lit(0), width - 1), lambda i: kind(t["rows"], i)).alias("dtypes"),
+                F.array_join(F.slice(lines, 2, HEAD_ROWS), "\n").alias("head"),
+            )
+
+        table = F.struct(cells(F.get(lines, F.lit(0))).alias("header"), F.transform(body, cells).alias("rows"))
+        return F.when(F.size(lines) > 0, let(table, shaped))
+
+    return let(lines, summary)
 
 
 def profile_files(files: DataFrame) -> DataFrame:
     """Profile each file (path, content, ...) by its extension; errors stay in the row.
 
-    One projection: each branch is evaluated only for files of its type.
+    Two projections and no shuffle: the first computes the profile of the file's own
+    type, the second spreads it over columns.
     """
-    named = files.withColumn("__ext", extension(F.col("path"))).withColumn("__text", F.col("content").cast("string"))
     text, ext = F.col("__text"), F.col("__ext")
-    is_utf8 = F.is_valid_utf8(text)
     csv, tsv = ext == "csv", ext == "tsv"
     plain, js, xml = ext.isin("txt", "md", "log"), ext == "json", ext == "xml"
     image = ext.isin("png", "jpg", "jpeg", "gif", "bmp")
-    comma, tab = _delimited(text, ","), _delimited(text, "\t")
-    lines, parsed, tree = profile_text(text), profile_json(text), profile_xml(text)
-
-    def both(name):
-        return F.when(csv & is_utf8, comma[name]).when(tsv & is_utf8, tab[name])
-
+    readable = F.is_valid_utf8(text)
+    named = files.withColumn("__ext", extension(F.col("path"))).withColumn("__text", F.col("content").cast("string"))
+    staged = named.withColumns(
+        {
+            "__ok": readable,
+            "__table": F.when(csv & readable, _delimited(text, ",")).when(tsv & readable, _delimited(text, "\t")),
+            "__lines": F.when(plain & readable, profile_text(text)),
+            "__json": F.when(js & readable, profile_json(text)),
+            "__xml": F.when(xml & readable, profile_xml(text)),
+            "__format": F.when(image, F.upper(guess_file_type(F.col("content")))),
+        }
+    )
     error = (
-        F.when((csv | tsv | plain | js | xml) & ~is_utf8, F.lit("Failed to process file: not UTF-8"))
-        .when(js, parsed["error"]).when(xml, tree["error"])
-        .when((csv | tsv) & (strip(text) == ""), F.lit("Failed to process file: no columns to parse"))
+        F.when((csv | tsv | plain | js | xml) & ~F.col("__ok"), F.lit("Failed to process file: not UTF-8"))
+        .when(js, F.col("__json.error"))
+        .when(xml, F.col("__xml.error"))
+        .when((csv | tsv) & F.col("__table").isNull(), F.lit("Failed to process file: no columns to parse"))
     )
     kind = F.when(plain, F.lit("text")).when(image, F.lit("image")).otherwise(ext)
     supported = csv | tsv | plain | js | xml | image
-    return named.select(
+    return staged.withColumn("error", error).select(
         F.substring_index("path", "/", -1).alias("file_name"),
         *[c for c in ("modificationTime", "length") if c in files.columns],
-        F.when(error.isNull(), kind).alias("file_type"),
-        *[F.when(error.isNull(), both(n)).alias(n) for n in ("num_rows", "num_columns", "columns", "dtypes", "head")],
-        F.when(js, parsed["item_count"]).alias("item_count"),
-        F.when(js, parsed["sample"]).alias("sample"),
-        F.when(plain & is_utf8, lines["line_count"]).alias("line_count"),
-        F.when(plain & is_utf8, lines["preview"]).alias("preview"),
-        F.when(xml & error.isNull(), tree["root_tag"]).alias("root_tag"),
-        F.when(xml & error.isNull(), tree["num_elements"]).alias("num_elements"),
-        F.when(image, F.upper(guess_file_type(F.col("content")))).alias("format"),
+        F.when(F.col("error").isNull(), kind).alias("file_type"),
+        *[f"__table.{n}" for n in ("num_rows", "num_columns", "columns", "dtypes", "head")],
+        "__json.item_count", "__json.sample",
+        "__lines.line_count", "__lines.preview",
+        "__xml.root_tag", "__xml.num_elements", "__xml.sample_tags",
+        F.col("__format").alias("format"),
         F.when(~supported, F.lit(UNSUPPORTED)).alias("note"),
-        error.alias("error"),
+        "error",
     )

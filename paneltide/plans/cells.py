@@ -49,7 +49,7 @@ def counted(state, row):
 @query(
     "map_cells",
     f"""WITH {p.ORDER_LATEST}
-    SELECT full_name, clone_num, tr_start, CAST(value // 100 AS BIGINT) * 10 + clone_num AS value, FALSE AS failed,
+    SELECT full_name, clone_num, tr_start, CAST(floor(value / 100) AS BIGINT) * 10 + clone_num AS value, FALSE AS failed,
            '' AS combined_output FROM order_latest""",
 )
 def map_cells(t):
