@@ -73,7 +73,7 @@ def _part(i: int) -> str:
 
 
 def _num(i: int, default: int = 0) -> str:
-    return f"coalesce(try_cast(get(p, {i - 1}) AS INT), {default})"
+    return f"coalesce(CAST({_part(i)} AS INT), {default})"
 
 
 def _iso_sql() -> str:

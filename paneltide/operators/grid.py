@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from paneltide.functions import dates
+from paneltide.functions.binding import let
 
 PERIODS = ("daily", "weekly", "monthly", "yearly")
 DAY_MICROS = 86_400_000_000
@@ -74,16 +75,22 @@ def time_ranges(start: Column, end: Column, period: str) -> Column:
         last, boundary = months.cast("long"), lambda k: _month_boundary(start, k.cast("int"))
     else:
         last, boundary = F.ceil(months / 12), lambda k: _year_boundary(start, k)
-    every = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.greatest(last.cast("long"), F.lit(0).cast("long"))),
-        lambda k: F.struct(
-            dates.to_milli(boundary(k)).alias("tr_start"),
-            dates.to_milli(F.least(boundary(k + 1), end)).alias("tr_end"),
-            boundary(k).alias("at"),
-        ),
+    # One boundary more than ranges; each range lies between two neighbours.
+    count = F.greatest(last.cast("long"), F.lit(0).cast("long")) + 2
+    bounds = F.filter(
+        F.transform(F.sequence(F.lit(0).cast("long"), count - 1), boundary), lambda at: at < end
     )
-    inside = F.filter(every, lambda r: r["at"] < end)
-    out = F.transform(inside, lambda r: F.struct(r["tr_start"], r["tr_end"]))
+
+    def pairs(starts):
+        return F.transform(
+            starts,
+            lambda at, i: F.struct(
+                dates.to_milli(at).alias("tr_start"),
+                dates.to_milli(F.coalesce(F.get(starts, i + 1), end)).alias("tr_end"),
+            ),
+        )
+
+    out = let(bounds, pairs)
     empty = F.array().cast("array<struct<tr_start:timestamp,tr_end:timestamp>>")
     bad = F.raise_error(F.lit("start must be before end")).cast(
         "array<struct<tr_start:timestamp,tr_end:timestamp>>"
@@ -91,6 +98,11 @@ def time_ranges(start: Column, end: Column, period: str) -> Column:
     return F.when(start > end, bad).when(start == end, empty).otherwise(out)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table out over all tasks before an operator that multiplies its rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def explode_ranges(df: DataFrame, start: str, end: str, period: str) -> DataFrame:
     """Replace the bound columns of every row by one row per range."""
     others = [c for c in df.columns if c not in (start, end)]
@@ -127,9 +139,11 @@ def run_keys(
     """Contexts x documents x their attributes.
 
     ``attributes`` holds one row per (full_name, attribute_name).  ``ranges`` is an array
-    column, for example ``time_ranges(...)``.  Both explode in place, so the key table
-    is as wide as the attribute table is partitioned.
+    column: the run's range list as a scalar subquery (computed once), or
+    ``time_ranges(...)`` of the row's own bounds.  Both lists explode in place; the
+    attribute table, small next to the keys, is spread first.
     """
+    attributes = spread(attributes)
     chosen = clone_list(clones)
     if clone_filter:
         chosen = F.array_intersect(chosen, clone_list(clone_filter))

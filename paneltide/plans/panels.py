@@ -37,27 +37,24 @@ def event_latest(t: Tables) -> DataFrame:
     return latest_version(event_blocks(t), tie_break=F.col("event_id"))
 
 
-def event_bounds(t: Tables) -> tuple:
-    """First day and day after the last, as scalar subqueries."""
+def event_ranges(t: Tables) -> DataFrame:
+    """All days from the first to the last event."""
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
     ends = t.events.agg(F.min(day).alias("lo"), (F.max(day) + F.expr("INTERVAL 1 DAY")).alias("hi"))
-    return ends.select("lo").scalar(), ends.select("hi").scalar()
+    return ends.select(F.inline(time_ranges(F.col("lo"), F.col("hi"), "daily")))
+
+
+def range_list(ranges: DataFrame):
+    """The ranges of a run as one array value, computed once."""
+    return ranges.agg(F.sort_array(F.collect_list(F.struct("tr_start", "tr_end"))).alias("r")).scalar()
 
 
 def event_grid(t: Tables) -> DataFrame:
-    lo, hi = event_bounds(t)
     nodes = t.events.select(F.col("event_type").alias("full_name")).distinct().withColumn("attribute_name", F.lit("data"))
-    bounded = nodes.withColumn("lo", lo).withColumn("hi", hi)
-    keys = run_keys(bounded, time_ranges(F.col("lo"), F.col("hi"), "daily"), CLONES)
+    keys = run_keys(nodes, range_list(event_ranges(t)), CLONES)
     return keys.select("full_name", "attribute_name", "clone_num", "tr_start", "tr_end")
 
 
-def event_ranges(t: Tables) -> DataFrame:
-    lo, hi = event_bounds(t)
-    one = t.spark.range(1).select(lo.alias("lo"), hi.alias("hi"))
-    return one.select(F.inline(time_ranges(F.col("lo"), F.col("hi"), "daily")))
-
-
 def order_blocks(t: Tables) -> DataFrame:
     at = F.col("o_orderdate").cast("timestamp")
     month = F.date_trunc("month", at)
@@ -78,10 +75,11 @@ def order_latest(t: Tables) -> DataFrame:
     return latest_version(order_blocks(t), tie_break=F.col("order_id"))
 
 
-def order_bounds(t: Tables) -> tuple:
+def order_ranges(t: Tables) -> DataFrame:
+    """All months from the first to the last order."""
     month = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
     ends = t.orders.agg(F.min(month).alias("lo"), (F.max(month) + F.expr("INTERVAL 1 MONTH")).alias("hi"))
-    return ends.select("lo").scalar(), ends.select("hi").scalar()
+    return ends.select(F.inline(time_ranges(F.col("lo"), F.col("hi"), "monthly")))
 
 
 def customer_attributes(t: Tables) -> DataFrame:
@@ -91,9 +89,7 @@ def customer_attributes(t: Tables) -> DataFrame:
 
 
 def order_grid(t: Tables) -> DataFrame:
-    lo, hi = order_bounds(t)
-    bounded = customer_attributes(t).withColumn("lo", lo).withColumn("hi", hi)
-    keys = run_keys(bounded, time_ranges(F.col("lo"), F.col("hi"), "monthly"), PRIORITIES)
+    keys = run_keys(customer_attributes(t), range_list(order_ranges(t)), PRIORITIES)
     return keys.select("full_name", "attribute_name", "clone_num", "tr_start", "tr_end")
 
 

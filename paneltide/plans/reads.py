@@ -95,7 +95,8 @@ _CUSTOMER_BOUNDS = "SELECT o_custkey, min(o_orderdate) AS s, max(o_orderdate) AS
 
 
 def _customer_bounds(t):
-    return t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("s"), F.max("o_orderdate").alias("e"))
+    bounds = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("s"), F.max("o_orderdate").alias("e"))
+    return grid.spread(bounds)
 
 
 @query(
@@ -133,7 +134,7 @@ def time_ranges_monthly(t):
 def time_ranges_yearly(t):
     end = t.lineitem.agg(F.max("l_shipdate")).scalar()
     bounds = t.orders.select("o_orderkey", F.col("o_orderdate").alias("s"), end.alias("e")).where("s < e")
-    return grid.explode_ranges(bounds, "s", "e", "yearly")
+    return grid.explode_ranges(grid.spread(bounds), "s", "e", "yearly")
 
 
 @query("context_grid", f"WITH {p.EVENT_GRID} SELECT DISTINCT clone_num, tr_start, tr_end FROM event_grid")
@@ -147,9 +148,7 @@ def context_grid(t):
     SELECT full_name, attribute_name, clone_num, tr_start, tr_end FROM order_grid WHERE clone_num IN (1, 2, 3)""",
 )
 def run_keys(t):
-    lo, hi = p.order_bounds(t)
-    bounded = p.customer_attributes(t).withColumn("lo", lo).withColumn("hi", hi)
-    keys = grid.run_keys(bounded, grid.time_ranges(F.col("lo"), F.col("hi"), "monthly"), p.PRIORITIES, [1, 2, 3])
+    keys = grid.run_keys(p.customer_attributes(t), p.range_list(p.order_ranges(t)), p.PRIORITIES, [1, 2, 3])
     return keys.select(*KEYS)
 
 
