@@ -19,7 +19,7 @@ def write_blocks(
     many blocks spreads over files, and file statistics let reads skip the others.
     Writing the same key and version again is an upsert, resolved by ``latest_version``.
     """
-    order = [c for c in (*partition_by, "full_name", "clone_num", "tr_start", "chunk_num") if c in df.columns]
+    order = [c for c in (*partition_by, "full_name", "clone_num", "tr_start", "chunk_num", "version") if c in df.columns]
     clustered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     clustered.write.mode(mode).partitionBy(*partition_by).parquet(path)
 

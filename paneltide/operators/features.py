@@ -81,11 +81,15 @@ def flatten_features(df: DataFrame, keys: list[str], value: str, categories: Dat
     dtype = df.schema[value].dataType
     rows = df.select(*keys, F.posexplode(leaves(F.col(value), dtype)).alias("pos", "leaf"))
     rows = rows.select(*keys, "pos", "leaf.num", "leaf.cat", "leaf.is_cat")
+    numbers = rows.where(~F.col("is_cat")).select(*keys, "pos", F.col("num").alias("x"))
     ids = categories.select(F.col("category").alias("__category"), F.col("category_id").cast("double").alias("__id"))
-    joined = rows.join(ids, F.col("is_cat") & F.col("cat").eqNullSafe(F.col("__category")), "left")
-    number = F.when(F.col("is_cat"), F.coalesce("__id", F.lit(0.0))).otherwise(F.col("num"))
-    return joined.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", number.alias("x")))), lambda e: e["x"]).alias("features")
+    named = (
+        rows.where("is_cat")
+        .join(ids, F.col("cat").eqNullSafe(F.col("__category")), "left")
+        .select(*keys, "pos", F.coalesce("__id", F.lit(0.0)).alias("x"))
+    )
+    return numbers.unionAll(named).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("features")
     )
 
 
@@ -168,14 +172,15 @@ def lag_panel(
     """
     stretch = 10 * window_size
     placed = rank_in_group(series, keys, [order], "__rn").withColumn("__at", F.col("__rn") - 1)
-    own = placed.withColumn("__stretch", F.floor(F.col("__at") / stretch)).withColumn("__own", F.lit(True))
-    tail = own.where(F.col("__at") % stretch >= stretch - (window_size - 1))
-    lent = tail.withColumn("__stretch", F.col("__stretch") + 1).withColumn("__own", F.lit(False))
+    home = F.floor(F.col("__at") / stretch)
+    at_end = F.col("__at") % stretch >= stretch - (window_size - 1)
+    stretches = F.when(at_end, F.array(home, home + 1)).otherwise(F.array(home))
+    lent = placed.select("*", F.explode(stretches).alias("__stretch")).withColumn("__own", F.col("__stretch") == home)
     back = Window.partitionBy(*keys, "__stretch").orderBy("__at").rowsBetween(-(window_size - 1), 0)
     # A struct keeps NULL values, which collect_list alone would drop.
     lags = F.transform(F.collect_list(F.struct(F.col(value).alias("v"))).over(back), lambda e: e["v"])
     return (
-        own.unionByName(lent).withColumn("history", lags).where("__own")
+        lent.withColumn("history", lags).where("__own")
         .select(*series.columns, (F.col("__at") + 1).alias("n_seen"), "history")
     )
 

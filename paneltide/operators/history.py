@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paneltide.operators.ordered import Measure, running, time_slice
+from paneltide.operators.ordered import Measure, running, slice_column, time_slice
 from paneltide.schema import SERIES
 
 MONTH_SECONDS = 30 * 86_400
@@ -21,11 +21,15 @@ def history_asof(
     keys: list[str] | None = None,
     value: str = "value",
     since: Column | None = None,
-    slice_seconds: int = MONTH_SECONDS,
+    slice_seconds: int | None = MONTH_SECONDS,
     exact: Column | None = None,
 ) -> DataFrame:
     """Per cell, a summary of all blocks *completed* before it starts.
 
+    Cells and blocks of a panel are unique per range, so a fixed width bounds a slice.
+    For raw rows, of which any number may share a span, pass ``slice_seconds=None``: the
+    slices are then cut evenly from the data.
+
     Only blocks with ``tr_end <= cell.tr_start`` count.  Adds n_history, sum_history,
     min_history, max_history and last_value (of the latest range with a value).
     ``exact`` replaces the summed value, for instance by a decimal.
@@ -62,9 +66,9 @@ def history_asof(
         Measure("max_history", "max", F.col("__value")),
         Measure("__last", "max", seen),
     ]
-    out = running(
-        line, keys, [F.col("__t"), F.col("__kind"), F.col("__start")], measures, time_slice(F.col("__t"), slice_seconds)
-    ).where(F.col("__kind") == 1)
+    order = ["__t", "__kind", "__start"]
+    cut = slice_column(line, order) if slice_seconds is None else time_slice(F.col("__t"), slice_seconds)
+    out = running(line, keys, [F.col(c) for c in order], measures, cut).where(F.col("__kind") == 1)
     return out.select(
         *[F.col("__cell")[c].alias(c) for c in cells.columns],
         "n_history", "sum_history", "min_history", "max_history", F.col("__last.v").alias("last_value"),

@@ -98,10 +98,28 @@ def zip_strict(tables: list[DataFrame], order_by: list[list[str]]) -> DataFrame:
     )
 
 
-def within_range(left: DataFrame, ranges: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Rows whose range lies inside a range of the same key (equi-join, then a filter)."""
-    joined = left.join(ranges, keys)
-    return joined.where((F.col("tr_start") >= F.col(lo)) & (F.col("tr_end") <= F.col(hi)))
+def within_range(
+    left: DataFrame,
+    ranges: DataFrame,
+    keys: list[str],
+    lo: str = "lo",
+    hi: str = "hi",
+    bucket_seconds: int | None = None,
+) -> DataFrame:
+    """Rows whose range lies inside a range of the same key.
+
+    With one range per key (an attribute's valid range) this is an equi-join and a
+    filter.  With many, give ``bucket_seconds``: ranges are listed under every time
+    bucket they cover and rows meet only the ranges of the bucket they start in.
+    """
+    on = list(keys)
+    if bucket_seconds is not None:
+        bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (bucket_seconds * 1_000_000))
+        ranges = ranges.where(F.col(lo) <= F.col(hi)).select("*", F.explode(F.sequence(bucket(lo), bucket(hi))).alias("__bucket"))
+        left = left.withColumn("__bucket", bucket("tr_start"))
+        on.append("__bucket")
+    joined = left.join(ranges, on).where((F.col("tr_start") >= F.col(lo)) & (F.col("tr_end") <= F.col(hi)))
+    return joined.drop("__bucket")
 
 
 def needed_inputs(blocks: DataFrame, deps: DataFrame, docs_to_run: DataFrame) -> DataFrame:

@@ -16,12 +16,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
 
 from paneltide.session import cut_lineage
 
-# Most slices a key is cut into when the cut points come from the data.
-MAX_SLICES = 2048
+# Most slices a key is cut into when the cut points come from the data, and the rows
+# looked at per cut point.
+MAX_SLICES = 8192
+ROWS_PER_CUT = 16
 
 
 @dataclass(frozen=True)
@@ -32,30 +33,15 @@ class Measure:
     kind: str
     value: Column
 
-    def total(self) -> Column:
-        return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[self.kind](self.value)
+    def input(self) -> Column:
+        """What a row adds; counts become sums of ones, so that totals add up too."""
+        return F.when(self.value.isNotNull(), F.lit(1).cast("long")) if self.kind == "count" else self.value
 
     def fold(self, c: Column) -> Column:
-        return {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[self.kind](c)
+        return {"min": F.min, "max": F.max}.get(self.kind, F.sum)(c)
 
-    def merge(self, left: Column, right: Column) -> Column:
-        if self.kind == "count":
-            return F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
-        if self.kind == "sum":
-            return F.coalesce(left + right, left, right)
-        return (F.least if self.kind == "min" else F.greatest)(left, right)
-
-
-def _numeric(c: Column, dtype: T.DataType) -> Column | None:
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c)
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp"))
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("long")
-    if isinstance(dtype, T.NumericType):
-        return c
-    return None
+    def result(self, c: Column) -> Column:
+        return F.coalesce(c, F.lit(0).cast("long")) if self.kind == "count" else c
 
 
 def time_slice(c: Column, seconds: int) -> Column:
@@ -63,50 +49,43 @@ def time_slice(c: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(c.cast("timestamp")) / (seconds * 1_000_000))
 
 
-def slice_column(df: DataFrame, column: str) -> Column | None:
-    """Slice of a numeric or time column, cut at its quantiles over the whole table.
+def slice_column(df: DataFrame, order_by: list[str]) -> Column:
+    """Slice of a row by its whole order tuple, cut evenly over the table.
 
-    One mergeable aggregate reads one column and returns a bounded row of cut points.
-    Each slice then holds about ``1 / n`` of the table, whatever the keys look like.
-    The cut points are literals, so a lost task recomputes the same slices.
+    The cut points are every so-manieth of a bounded, hash-chosen set of tuples (kept by
+    a top-k, so each task sends few rows).  They only decide which task does what: rows
+    are neither dropped nor moved in the order.  Because the tuple ends in a tie-break,
+    even a key whose leading order column never changes is cut.  The cuts are fixed
+    before the job starts, so a lost task recomputes the same slices.
     """
-    spark = df.sparkSession
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
-    numeric = _numeric(F.col(column), df.schema[column].dataType)
-    if numeric is None:
-        return None
-    if n < 2:
-        return F.lit(0)
-    points = df.agg(
-        F.percentile_approx(numeric, [i / n for i in range(1, n)], 10 * n).alias("cuts")
-    ).first()["cuts"]
-    cuts = sorted(set(points or []))
+    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
+    seen = df.select(*order_by).orderBy(F.xxhash64(*order_by)).limit(n * ROWS_PER_CUT).orderBy(*order_by)
+    ranked = [tuple(r) for r in seen.select(*[F.col(c).cast("string") for c in order_by]).collect()]
+    cuts = list(dict.fromkeys(ranked[len(ranked) * i // n] for i in range(1, n))) if ranked else []
     if not cuts:
         return F.lit(0)
+    types = [f.dataType.simpleString() for f in df.select(*order_by).schema]
+    # A constant: it is folded once when the plan is optimised.
+    table = F.expr("array(" + ", ".join(_constant(c, order_by, types) for c in cuts) + ")")
     # Binary search: add falling powers of two while the cut there is still below.
-    steps, step = [], 1 << (len(cuts).bit_length() - 1)
-    while step:
-        steps.append(step)
-        step >>= 1
-    table = F.array(*[F.lit(x) for x in cuts])
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    row = F.struct(*order_by)
     return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
+        F.lit(steps).cast("array<int>"),
         F.lit(0),
         lambda at, s: F.when(
-            (at + s <= len(cuts)) & (numeric > F.get(table, at + s - 1)), at + s
+            (at + s <= len(cuts)) & (row > F.get(table, at + s - 1)), at + s
         ).otherwise(at),
     )
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach one carry row per (keys, slice); NULL keys match NULL keys."""
-    names = [*keys, "__slice"]
-    renamed = carry.withColumnsRenamed({k: f"__c_{k}" for k in names})
-    condition = None
-    for k in names:
-        one = F.col(k).eqNullSafe(F.col(f"__c_{k}"))
-        condition = one if condition is None else condition & one
-    return rows.join(renamed, condition, "left").drop(*[f"__c_{k}" for k in names])
+def _constant(values: tuple, names: list[str], types: list[str]) -> str:
+    """A tuple of texts as a typed SQL constant."""
+    parts = []
+    for value, name, dtype in zip(values, names, types):
+        text = "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        parts.append(f"'{name}', CAST({text} AS {dtype})")
+    return f"named_struct({', '.join(parts)})"
 
 
 def running(
@@ -119,24 +98,27 @@ def running(
 ) -> DataFrame:
     """Aggregate, per row, all rows of its group that sort before it.
 
-    ``slice_by`` has to grow with the order.  One shuffle moves the rows (by key and
-    slice); slice totals are combined map-side and carried by a window over slices.
+    ``slice_by`` has to grow with the order.  Slice totals are combined map-side and
+    carried by a window over slices; each carry joins its slice as one more row that
+    sorts first.  So the rows are shuffled once, by key and slice, and never joined.
     """
-    rows = df.withColumn("__slice", slice_by)
-    totals = rows.groupBy(*keys, "__slice").agg(*[m.total().alias(f"__t_{m.name}") for m in measures])
+    rows = df.withColumn("__slice", slice_by).withColumns({f"__m_{m.name}": m.input() for m in measures})
+    totals = rows.groupBy(*keys, "__slice").agg(*[m.fold(F.col(f"__m_{m.name}")).alias(f"__t_{m.name}") for m in measures])
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "__slice", *[m.fold(F.col(f"__t_{m.name}")).over(before).alias(f"__b_{m.name}") for m in measures]
+        *keys, "__slice", F.lit(0).alias("__row"),
+        *[m.fold(F.col(f"__t_{m.name}")).over(before).alias(f"__m_{m.name}") for m in measures],
     )
+    line = rows.withColumn("__row", F.lit(1)).unionByName(carry, allowMissingColumns=True)
     last = Window.currentRow if inclusive else -1
     local = (
-        Window.partitionBy(*keys, "__slice").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, last)
-    )
-    joined = _join_carry(rows, carry, keys)
-    return joined.select(
-        *df.columns,
-        *[m.merge(F.col(f"__b_{m.name}"), m.total().over(local)).alias(m.name) for m in measures],
+        Window.partitionBy(*keys, "__slice")
+        .orderBy("__row", *order_by)
+        .rowsBetween(Window.unboundedPreceding, last)
     )
+    folded = {m.name: m.result(m.fold(F.col(f"__m_{m.name}")).over(local)) for m in measures}
+    out = line.select(*df.columns, "__row", *[c.alias(f"__o_{n}") for n, c in folded.items()]).where("__row = 1")
+    return out.select(*df.columns, *[F.col(f"__o_{m.name}").alias(m.name) for m in measures])
 
 
 def global_position(df: DataFrame, order_by: list[Column], name: str = "position") -> DataFrame:
@@ -163,21 +145,8 @@ def rank_in_group(
 ) -> DataFrame:
     """Row number per key from 1, with hot keys cut into slices.
 
-    The first order column gives the slices when it is a number or a time.  Other
-    orders are numbered over the whole table and shifted by the first number of the key.
+    ``order_by`` has to end in a tie-break, as for any repeatable row number.
     """
-    order = [F.col(c) for c in order_by]
-    if slice_by is None:
-        slice_by = slice_column(df, order_by[0])
-    if slice_by is not None:
-        one = Measure(name, "count", F.lit(1))
-        return running(df, keys, order, [one], slice_by, inclusive=True).withColumn(name, F.col(name).cast("long"))
-    placed = global_position(df, [*[F.col(k) for k in keys], *order], "__pos")
-    first = placed.groupBy(*keys).agg(F.min("__pos").alias("__slice"))
-    renamed = first.withColumnsRenamed({k: f"__c_{k}" for k in keys}).withColumnRenamed("__slice", "__first")
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__c_{k}"))
-    return placed.join(renamed, condition, "left").select(
-        *df.columns, (F.col("__pos") - F.col("__first") + 1).alias(name)
-    )
+    cut = slice_column(df, order_by) if slice_by is None else slice_by
+    one = Measure(name, "count", F.lit(1))
+    return running(df, keys, [F.col(c) for c in order_by], [one], cut, inclusive=True)

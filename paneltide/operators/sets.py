@@ -20,7 +20,9 @@ def diff_elements(new: DataFrame | None, old: DataFrame | None, side: str = "bot
         new = old.where(F.lit(False))
     if old is None:
         old = new.where(F.lit(False))
-    old = old.select(*new.columns)
+    # Distinct first: repeated rows are combined map-side, before any join.
+    old = old.select(*new.columns).distinct()
+    new = new.distinct()
     parts = []
     if side in ("new", "both"):
         parts.append(new.subtract(old))

@@ -378,7 +378,7 @@ def history_asof_overlapping(t):
         ).alias("tr_end"),
     )
     cells = spans.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "tr_start")
-    out = history.history_asof(cells, spans, keys=["l_suppkey"])
+    out = history.history_asof(cells, spans, keys=["l_suppkey"], slice_seconds=None)
     return out.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "n_history",
                       F.coalesce("sum_history", F.lit(0.0)).alias("sum_history"))
 
