@@ -27,7 +27,8 @@ def jdbc_options(
     """
     if uri:
         url = uri if uri.startswith("jdbc:") else f"jdbc:{uri}"
-        if database and database not in url:
+        path = url.split("//", 1)[-1].split("?", 1)[0]
+        if database and database not in path.split("/")[1:]:
             url = f"{url.rstrip('/')}/{database}"
     else:
         if sql_type not in PREFIXES:
