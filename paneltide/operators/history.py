@@ -44,19 +44,11 @@ def history_asof(
         F.col("tr_start").alias("__start"),
         F.col(value).alias("__value"),
         (F.col(value) if exact is None else exact).alias("__sum"),
-        F.lit(None).cast(_struct_type(cells)).alias("__cell"),
     )
-    sum_type = past.schema["__sum"].dataType
     ask = cells.select(
-        *keys,
-        F.col("tr_start").alias("__t"),
-        F.lit(1).alias("__kind"),
-        F.col("tr_start").alias("__start"),
-        F.lit(None).cast(past.schema["__value"].dataType).alias("__value"),
-        F.lit(None).cast(sum_type).alias("__sum"),
-        F.struct(*cells.columns).alias("__cell"),
+        *cells.columns, F.col("tr_start").alias("__t"), F.lit(1).alias("__kind"), F.col("tr_start").alias("__start")
     )
-    line = past.unionByName(ask)
+    line = past.unionByName(ask, allowMissingColumns=True)
     is_block = F.col("__kind") == 0
     seen = F.when(F.col("__value").isNotNull(), F.struct("__t", "__start", F.col("__value").alias("v")))
     measures = [
@@ -70,15 +62,10 @@ def history_asof(
     cut = slice_column(line, order) if slice_seconds is None else time_slice(F.col("__t"), slice_seconds)
     out = running(line, keys, [F.col(c) for c in order], measures, cut).where(F.col("__kind") == 1)
     return out.select(
-        *[F.col("__cell")[c].alias(c) for c in cells.columns],
-        "n_history", "sum_history", "min_history", "max_history", F.col("__last.v").alias("last_value"),
+        *cells.columns, "n_history", "sum_history", "min_history", "max_history", F.col("__last.v").alias("last_value")
     )
 
 
-def _struct_type(df: DataFrame):
-    return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
-
-
 def time_series(
     aligned: DataFrame,
     ranges: DataFrame,
@@ -115,16 +102,9 @@ def prior_clones(
     past = blocks.select(
         *keys, "clone_num", F.lit(1).alias("__kind"), F.col(value).alias("__value"),
         (F.col(value) if exact is None else exact).alias("__sum"),
-        F.lit(None).cast(_struct_type(cells)).alias("__cell"),
     )
     # At equal numbers the asking cell (kind 0) sorts before the block: strictly smaller.
-    ask = cells.select(
-        *keys, "clone_num", F.lit(0).alias("__kind"),
-        F.lit(None).cast(past.schema["__value"].dataType).alias("__value"),
-        F.lit(None).cast(past.schema["__sum"].dataType).alias("__sum"),
-        F.struct(*cells.columns).alias("__cell"),
-    )
-    line = past.unionByName(ask)
+    line = past.unionByName(cells.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
     measures = [
         Measure("n_prior", "count", F.when(F.col("__kind") == 1, F.lit(1))),
         Measure("sum_prior", "sum", F.col("__sum")),
@@ -136,8 +116,7 @@ def prior_clones(
         F.floor(F.col("clone_num") / clones_per_slice),
     ).where(F.col("__kind") == 0)
     return out.select(
-        *[F.col("__cell")[c].alias(c) for c in cells.columns],
-        "n_prior", "sum_prior", "max_prior", F.col("__last.v").alias("last_prior"),
+        *cells.columns, "n_prior", "sum_prior", "max_prior", F.col("__last.v").alias("last_prior"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneltide.operators import run
+from paneltide.operators.attribute import run_attribute
 from paneltide.operators.ordered import time_slice
 from paneltide.plans import panels as p
 from paneltide.plans.registry import query
@@ -46,6 +47,49 @@ def counted(state, row):
     return before + 1, before
 
 
+def summed(clone_num, time_range, inputs):
+    """Cents of both inputs; at least one has to be there."""
+    found = [v for v in (inputs or {}).values() if v is not None]
+    if not found:
+        raise ValueError("no input")
+    return sum(round(v * 100) for v in found)
+
+
+@query(
+    "attribute_run",
+    f"""WITH {p.EVENT_LATEST}, {p.EVENT_GRID},
+    k AS (SELECT * FROM event_grid WHERE full_name = 'purchase'),
+    j AS (
+      SELECT k.clone_num, k.tr_start, k.tr_end, c.value AS c, v.value AS v, CAST(round(s.value * 100) AS BIGINT) AS stored,
+             s.full_name IS NOT NULL AS has_stored
+      FROM k
+      LEFT JOIN event_latest c ON c.full_name = 'click' AND c.clone_num = k.clone_num AND c.tr_start = k.tr_start
+      LEFT JOIN event_latest v ON v.full_name = 'view' AND v.clone_num = k.clone_num AND v.tr_start = k.tr_start
+      LEFT JOIN event_latest s ON s.full_name = 'purchase' AND s.clone_num = k.clone_num AND s.tr_start = k.tr_start)
+    SELECT clone_num, tr_start, clone_num = 0 AS lock_value,
+      CASE WHEN clone_num = 0 THEN -stored WHEN c IS NULL AND v IS NULL THEN stored
+           ELSE coalesce(CAST(round(c * 100) AS BIGINT), 0) + coalesce(CAST(round(v * 100) AS BIGINT), 0) END AS value
+    FROM j WHERE clone_num = 0 OR c IS NOT NULL OR v IS NOT NULL OR has_stored""",
+)
+def attribute_run(t):
+    """Purchases from clicks and views: gathered, run, locked for scenario 0, restamped."""
+    keys = p.event_grid(t).where("full_name = 'purchase'")
+    deps = t.spark.createDataFrame(
+        [("purchase", "data", k, "data") for k in ("click", "view")],
+        "full_name string, attribute_name string, input_full_name string, input_attribute_name string",
+    )
+    latest = p.event_latest(t)
+    old = latest.where("full_name = 'purchase'").withColumn("value", F.round(F.col("value") * 100).cast("long"))
+    stored = old.withColumn("lock_value", F.lit(False)).unionByName(
+        old.where("clone_num = 0").withColumns({"value": -F.col("value"), "lock_value": F.lit(True)})
+    )
+    locks = keys.where("clone_num = 0").select("clone_num", "tr_start", "tr_end")
+    blocks, _ = run_attribute(
+        keys, deps, latest, stored, summed, T.LongType(), F.lit("2024-06-01").cast("timestamp"), locks=locks
+    )
+    return blocks.select("clone_num", "tr_start", "value", "lock_value")
+
+
 @query(
     "map_cells",
     f"""WITH {p.ORDER_LATEST}
