@@ -12,6 +12,7 @@ from paneltide.operators.graph import UPSTREAM
 from paneltide.operators.joins import gather_inputs, unlocked
 from paneltide.operators.run import map_cells
 from paneltide.schema import CELL
+from paneltide.session import cut_lineage
 
 
 def run_attribute(
@@ -32,7 +33,7 @@ def run_attribute(
     value.  Attributes listed in ``failed_inputs(full_name, attribute_name,
     input_full_name)`` are not run either and report their upstream.  A failed key keeps
     its last stored value.  All blocks carry ``new_version``; outputs hold the captured
-    logs.  One lazy plan: documents run by calling this in dependency order.
+    logs.  Documents run by calling this in dependency order.
     """
     ready = keys.select(*CELL) if locks is None else unlocked(keys.select(*CELL), locks)
     blocked = None
@@ -46,7 +47,8 @@ def run_attribute(
         ready = ready.join(causes, ["full_name", "attribute_name"], "left_anti")
     gathered = gather_inputs(ready, deps, inputs)
     full = ready.join(gathered, CELL, "left")
-    outputs = map_cells(full, fn, value, ["inputs"])
+    # Blocks and report both read the outputs; the function runs once.
+    outputs = cut_lineage(map_cells(full, fn, value, ["inputs"]))
     outputs = outputs if blocked is None else outputs.unionByName(blocked)
 
     kept = latest_version(stored.where(~F.coalesce("lock_value", F.lit(False))).select(*CELL, "version", "value"))

@@ -70,16 +70,20 @@ def merge_keyed(
 
 
 def merge_with_groups(
-    keys: DataFrame, data: DataFrame, groups: DataFrame, on: list[str], data_map: str = "data"
+    keys: DataFrame, data: DataFrame, groups: DataFrame, on: list[str], id_column: str = "id", value: str = "value"
 ) -> DataFrame:
     """Each (key, group) once, with the key's values for that group's ids.
 
-    ``keys`` carries ``group_idx``; ``groups(group_idx, ids)``; ``data`` has one map per
-    key.  Ids without a value map to NULL.
+    ``keys`` carries ``group_idx``; ``groups(group_idx, ids)``; ``data`` has one row per
+    key and id.  Ids without a value map to NULL.  A map is as long as its group's list.
     """
-    joined = keys.join(groups, "group_idx").join(data, on, "left")
-    picked = F.transform("ids", lambda i: F.try_element_at(F.col(data_map), i))
-    return joined.select(*on, "group_idx", F.map_from_arrays("ids", picked).alias("values"))
+    listed = groups.select("group_idx", F.explode_outer("ids").alias("__id"))
+    held = data.select(*on, F.col(id_column).alias("__id"), F.struct(F.col(value).alias("v")).alias("__hit"))
+    found = keys.join(listed, "group_idx").join(held, [*on, "__id"], "left")
+    entry = F.when(F.col("__id").isNotNull(), F.struct(F.col("__id").alias("key"), F.col("__hit.v").alias("value")))
+    return found.groupBy(*on, "group_idx").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("values")
+    )
 
 
 def zip_strict(tables: list[DataFrame], order_by: list[list[str]]) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from paneltide.schema import CELL
+from paneltide.session import cut_lineage
 
 BATCH_ROWS = 10_000
 
@@ -180,7 +181,12 @@ def map_chunks(
 
 
 def drop_failed(outputs: DataFrame, key_columns: list[str]) -> DataFrame:
-    """Rows of keys without any failure."""
+    """Rows of keys without any failure.
+
+    The outputs are written once to the shared folder first: they are read twice, and the
+    function that made them should not run twice.
+    """
+    outputs = cut_lineage(outputs)
     return outputs.join(outputs.where("failed").select(*key_columns).distinct(), key_columns, "left_anti")
 
 

@@ -67,8 +67,8 @@ def summed(clone_num, time_range, inputs):
       LEFT JOIN event_latest v ON v.full_name = 'view' AND v.clone_num = k.clone_num AND v.tr_start = k.tr_start
       LEFT JOIN event_latest s ON s.full_name = 'purchase' AND s.clone_num = k.clone_num AND s.tr_start = k.tr_start)
     SELECT clone_num, tr_start, clone_num = 0 AS lock_value,
-      CASE WHEN clone_num = 0 THEN -stored WHEN c IS NULL AND v IS NULL THEN stored
-           ELSE coalesce(CAST(round(c * 100) AS BIGINT), 0) + coalesce(CAST(round(v * 100) AS BIGINT), 0) END AS value
+      CAST(CASE WHEN clone_num = 0 THEN -stored WHEN c IS NULL AND v IS NULL THEN stored
+           ELSE coalesce(CAST(round(c * 100) AS BIGINT), 0) + coalesce(CAST(round(v * 100) AS BIGINT), 0) END AS DOUBLE) AS value
     FROM j WHERE clone_num = 0 OR c IS NOT NULL OR v IS NOT NULL OR has_stored""",
 )
 def attribute_run(t):
@@ -87,7 +87,7 @@ def attribute_run(t):
     blocks, _ = run_attribute(
         keys, deps, latest, stored, summed, T.LongType(), F.lit("2024-06-01").cast("timestamp"), locks=locks
     )
-    return blocks.select("clone_num", "tr_start", "value", "lock_value")
+    return blocks.select("clone_num", "tr_start", F.col("value").cast("double").alias("value"), "lock_value")
 
 
 @query(
@@ -116,7 +116,7 @@ def map_cells_vectorized(t):
 @query(
     "captured",
     f"""WITH {p.EVENT_BLOCKS}
-    SELECT event_id, CASE WHEN value > 300 THEN NULL ELSE CAST(trunc(value) AS BIGINT) END AS value, value > 300 AS failed,
+    SELECT event_id, CASE WHEN value > 300 THEN NULL ELSE trunc(value) END AS value, value > 300 AS failed,
            CASE WHEN value > 300 THEN '' ELSE 'scenario ' || clone_num END AS stdout_output,
            CASE WHEN value > 300 THEN 'ValueError: too large: ' || printf('%.2f', value) ELSE '' END AS last_error_line,
            CASE WHEN value > 300 THEN '[stderr]' ELSE '[stdout]' END AS stream
@@ -125,7 +125,7 @@ def map_cells_vectorized(t):
 def captured(t):
     out = run.map_cells(p.event_blocks(t).select(*KEYS, "event_id", "value"), picky, T.LongType(), ["value"])
     return out.select(
-        "event_id", "value", "failed", "stdout_output",
+        "event_id", F.col("value").cast("double").alias("value"), "failed", "stdout_output",
         F.element_at(F.split("stderr_output", "\n"), -1).alias("last_error_line"),
         F.substring("combined_output", 1, 8).alias("stream"),
     )
@@ -212,7 +212,7 @@ def switch_tables(t):
     return run.switch_tables(p.order_latest(t), at, mark("normal"), mark("predicted"))
 
 
-@query("named_functions", "SELECT p_partkey, p_size * 2 + 1 AS doubled FROM part")
+@query("named_functions", "SELECT p_partkey, CAST(p_size * 2 + 1 AS BIGINT) AS doubled FROM part")
 def named_functions(t):
     run.register_functions(t.spark, {"twice_and_one": (lambda s: s.astype("int64") * 2 + 1, T.LongType()), "nothing": (None, T.LongType())})
     t.part.createOrReplaceTempView("paneltide_part")

@@ -26,12 +26,12 @@ def align_to_grid(t):
 @query(
     "align_to_grid_orders",
     f"""WITH {p.ORDER_LATEST}, {p.ORDER_GRID}
-    SELECT g.full_name, g.clone_num, g.tr_start, l.value, l.order_id
+    SELECT g.full_name, g.clone_num, g.tr_start, l.value, CAST(l.order_id AS DOUBLE) AS order_id
     FROM order_grid g LEFT JOIN order_latest l USING (full_name, attribute_name, clone_num, tr_start, tr_end)""",
 )
 def align_to_grid_orders(t):
     out = joins.align_to_grid(p.order_latest(t).select(*KEYS, "value", "order_id"), p.order_grid(t))
-    return out.select("full_name", "clone_num", "tr_start", "value", "order_id")
+    return out.select("full_name", "clone_num", "tr_start", "value", F.col("order_id").cast("double").alias("order_id"))
 
 
 _FRESH_SQL = """
@@ -114,10 +114,7 @@ def merge_with_groups(t):
     groups = t.spark.createDataFrame(_GROUPS, "group_idx int, ids array<string>")
     contexts = p.event_grid(t).select("clone_num", "tr_start").distinct()
     keys = contexts.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(_GROUPS) - 1))).alias("group_idx"))
-    data = p.event_latest(t).groupBy("clone_num", "tr_start").agg(
-        F.map_from_entries(F.collect_list(F.struct("full_name", "value"))).alias("data")
-    )
-    out = joins.merge_with_groups(keys, data, groups, ["clone_num", "tr_start"])
+    out = joins.merge_with_groups(keys, p.event_latest(t), groups, ["clone_num", "tr_start"], id_column="full_name")
     return out.select("clone_num", "tr_start", "group_idx", F.explode("values").alias("id", "value"))
 
 

@@ -177,8 +177,8 @@ def profile_xml(t):
 @query(
     "profile_files",
     rf"""WITH l AS (SELECT doc_id, {_LINES} AS lines FROM documents)
-    SELECT 'd' || doc_id || '.txt' AS file_name, 'text' AS file_type, CAST(len(lines) AS INTEGER) AS line_count,
-           CAST(NULL AS INTEGER) AS item_count, CAST(NULL AS INTEGER) AS num_rows, CAST(NULL AS INTEGER) AS num_columns,
+    SELECT 'd' || doc_id || '.txt' AS file_name, 'text' AS file_type, CAST(len(lines) AS DOUBLE) AS line_count,
+           CAST(NULL AS DOUBLE) AS item_count, CAST(NULL AS DOUBLE) AS num_rows, CAST(NULL AS DOUBLE) AS num_columns,
            CAST(NULL AS VARCHAR) AS error FROM l
     UNION ALL SELECT 'e' || event_id || '.json', 'json', NULL, 1, NULL, NULL, NULL FROM events
     UNION ALL SELECT 'e' || event_id || '.csv', 'csv', NULL, NULL, 1, 2, NULL FROM events
@@ -197,4 +197,5 @@ def profile_files(t):
     rows = rows.unionAll(named(t.events, "e", "event_id", ".csv", csv))
     rows = rows.unionAll(named(t.events, "b", "event_id", ".json", F.concat(F.lit("{"), F.col("props"))))
     out = profile.profile_files(rows)
-    return out.select("file_name", "file_type", "line_count", "item_count", "num_rows", "num_columns", "error")
+    counts = [F.col(c).cast("double").alias(c) for c in ("line_count", "item_count", "num_rows", "num_columns")]
+    return out.select("file_name", "file_type", *counts, "error")

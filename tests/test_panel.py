@@ -200,10 +200,11 @@ def test_within_many_ranges(spark):
 
 def test_merge_with_groups(spark):
     keys = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "key int, group_idx int")
-    groups = spark.createDataFrame([(0, ["x", "y"]), (1, ["y"])], "group_idx int, ids array<string>")
-    data = spark.createDataFrame([(1, {"x": 1.0, "z": 5.0})], "key int, data map<string,double>")
+    keys = keys.unionAll(spark.createDataFrame([(2, 2)], keys.schema))
+    groups = spark.createDataFrame([(0, ["x", "y"]), (1, ["y"]), (2, [])], "group_idx int, ids array<string>")
+    data = spark.createDataFrame([(1, "x", 1.0), (1, "z", 5.0)], "key int, id string, value double")
     out = {(r["key"], r.group_idx): r["values"] for r in joins.merge_with_groups(keys, data, groups, ["key"]).collect()}
-    assert out == {(1, 0): {"x": 1.0, "y": None}, (1, 1): {"y": None}, (2, 0): {"x": None, "y": None}}
+    assert out == {(1, 0): {"x": 1.0, "y": None}, (1, 1): {"y": None}, (2, 0): {"x": None, "y": None}, (2, 2): {}}
 
 
 def test_diff_elements(spark):
