@@ -138,3 +138,23 @@ def running_fold(
     return running(
         cells, keys, [F.col("tr_start"), F.col("tr_end")], measures, time_slice(F.col("tr_start"), slice_seconds)
     )
+
+
+def _range() -> Column:
+    return F.struct("tr_start", "tr_end").alias("time_range")
+
+
+def iterator_rows(slice_: DataFrame, value: str = "value") -> DataFrame:
+    """A slice as rows of context key and value (``schema.iterator_schema``)."""
+    key = F.struct("clone_num", _range(), "full_name", "attribute_name").alias("key")
+    return slice_.select(key, F.col(value).alias("value"))
+
+
+def clone_rows(slice_: DataFrame, value: str = "value") -> DataFrame:
+    """A scenario read as rows of number and value (``schema.clones_schema``)."""
+    return slice_.select("clone_num", F.col(value).alias("value"))
+
+
+def time_series_rows(slice_: DataFrame, value: str = "value") -> DataFrame:
+    """A series as rows of time range and value (``schema.time_series_schema``)."""
+    return slice_.select(_range(), F.col(value).alias("value"))

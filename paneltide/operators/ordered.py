@@ -23,6 +23,8 @@ from paneltide.session import cut_lineage
 # looked at per cut point.
 MAX_SLICES = 8192
 ROWS_PER_CUT = 16
+# Up to this many cuts the search is spelt out as nested cases.
+MAX_TREE = 255
 
 
 @dataclass(frozen=True)
@@ -65,8 +67,10 @@ def slice_column(df: DataFrame, order_by: list[str]) -> Column:
     if not cuts:
         return F.lit(0)
     types = [f.dataType.simpleString() for f in df.select(*order_by).schema]
+    if len(cuts) <= MAX_TREE:
+        return F.expr(_search_tree(cuts, 0, len(cuts), order_by, types))
     # A constant: it is folded once when the plan is optimised.
-    table = F.expr("array(" + ", ".join(_constant(c, order_by, types) for c in cuts) + ")")
+    table = F.expr("array(" + ", ".join(_tuple(c, order_by, types) for c in cuts) + ")")
     # Binary search: add falling powers of two while the cut there is still below.
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
     row = F.struct(*order_by)
@@ -79,15 +83,36 @@ def slice_column(df: DataFrame, order_by: list[str]) -> Column:
     )
 
 
-def _constant(values: tuple, names: list[str], types: list[str]) -> str:
+def _constant(value: str | None, dtype: str) -> str:
+    text = "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CAST({text} AS {dtype})"
+
+
+def _tuple(values: tuple, names: list[str], types: list[str]) -> str:
     """A tuple of texts as a typed SQL constant."""
-    parts = []
-    for value, name, dtype in zip(values, names, types):
-        text = "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        parts.append(f"'{name}', CAST({text} AS {dtype})")
+    parts = [f"'{n}', {_constant(v, t)}" for v, n, t in zip(values, names, types)]
     return f"named_struct({', '.join(parts)})"
 
 
+def _after(cut: tuple, names: list[str], types: list[str]) -> str:
+    """Does a row's order tuple sort after the cut?  NULLs sort first."""
+    name, constant = f"`{names[0]}`", _constant(cut[0], types[0])
+    above = f"{name} IS NOT NULL" if cut[0] is None else f"coalesce({name} > {constant}, false)"
+    if len(cut) == 1:
+        return above
+    return f"({above} OR ({name} <=> {constant} AND {_after(cut[1:], names[1:], types[1:])}))"
+
+
+def _search_tree(cuts: list[tuple], low: int, high: int, names: list[str], types: list[str]) -> str:
+    """Number of cuts before a row, as nested cases: compiled, and few comparisons."""
+    if low == high:
+        return str(low)
+    middle = (low + high) // 2
+    right = _search_tree(cuts, middle + 1, high, names, types)
+    left = _search_tree(cuts, low, middle, names, types)
+    return f"CASE WHEN {_after(cuts[middle], names, types)} THEN {right} ELSE {left} END"
+
+
 def running(
     df: DataFrame,
     keys: list[str],

@@ -428,6 +428,27 @@ def clones(t):
     return out.select("full_name", "clone_num", "tr_start", "tr_end", "value")
 
 
+@query(
+    "result_rows",
+    f"""WITH {p.EVENT_LATEST}
+    SELECT 'iterator' AS kind, clone_num, tr_start, tr_end, full_name, value FROM event_latest
+    UNION ALL SELECT 'clones', clone_num, NULL, NULL, NULL, value FROM event_latest
+    UNION ALL SELECT 'series', -1, tr_start, tr_end, NULL, value FROM event_latest""",
+)
+def result_rows(t):
+    """The three row shapes of a read, spread over columns."""
+    latest = p.event_latest(t)
+    none, when = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    whole = history.iterator_rows(latest).select(
+        F.lit("iterator").alias("kind"), "key.clone_num", "key.time_range.tr_start", "key.time_range.tr_end", "key.full_name", "value"
+    )
+    scenarios = history.clone_rows(latest).select(F.lit("clones"), "clone_num", when, when, none, "value")
+    series = history.time_series_rows(latest).select(
+        F.lit("series"), F.lit(-1), "time_range.tr_start", "time_range.tr_end", none, "value"
+    )
+    return whole.unionAll(scenarios).unionAll(series)
+
+
 # --- windows, sorts, limits -----------------------------------------------------------
 
 

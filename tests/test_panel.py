@@ -1,12 +1,15 @@
 """Ordered helpers, blocks, joins, history, sets against plain Python or plain windows."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import Window, functions as F
+from pyspark.sql import types as T
 
-from paneltide.operators import blocks, history, joins, sets
+from paneltide import schema
+from paneltide.operators import blocks, history, joins, ordered, sets
 from paneltide.operators.ordered import Measure, global_position, rank_in_group, running, slice_column
 
 
@@ -31,6 +34,29 @@ def test_rank_equals_window_and_hot_key_is_cut(spark):
     assert len(sizes) == 8 and max(sizes) < 2 * 3000 / 8
 
 
+def test_many_cuts_and_few_cuts_agree(spark, monkeypatch):
+    df = skewed(spark, 600).withColumn("name", F.concat(F.lit("it's \\\\ "), F.col("k")))
+    for order in (["at", "id"], ["name", "id"]):
+        tree = slice_column(df, order)
+        monkeypatch.setattr(ordered, "MAX_TREE", 0)
+        table = slice_column(df, order)
+        monkeypatch.undo()
+        out = df.select(*order, tree.alias("a"), table.alias("b"))
+        assert out.where("a <> b").count() == 0 and out.select("a").distinct().count() == 8
+        steps = [r.a for r in out.orderBy(*order).collect()]
+        assert steps == sorted(steps)
+
+
+def test_row_shapes(spark):
+    df = spark.createDataFrame([block("a", 0, 0, 1, 1.0)], BLOCK)
+    plain = lambda t: T.StructType.fromJson(json.loads(t.json().replace('"nullable":false', '"nullable":true')))
+    value = T.DoubleType()
+    assert plain(history.iterator_rows(df).schema) == schema.iterator_schema(value)
+    assert plain(history.clone_rows(df).schema) == schema.clones_schema(value)
+    assert plain(history.time_series_rows(df).schema) == schema.time_series_schema(value)
+    assert schema.block_schema().fieldNames() == df.columns
+
+
 def test_running_equals_window(spark):
     df = skewed(spark)
     measures = [Measure("n", "count", F.col("v")), Measure("s", "sum", F.col("v")), Measure("lo", "min", F.col("v")),
