@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from paneltide.operators.joins import align_to_grid
 from paneltide.operators.ordered import rank_in_group
-from paneltide.schema import CELL, MAX_CHUNK_BYTES, SERIES
+from paneltide.schema import CELL, MAX_CHUNK_BYTES
 
-_KEY_TIME = ["tr_start", "tr_end"]
+# Message of a piece that is too large.
+TOO_LARGE = ("Chunk size ", " exceeds max batch size ")
 
 
 def write_blocks(
@@ -104,7 +106,7 @@ def first_value(
 ) -> DataFrame:
     """First value of a slice in (scenario, time) order, or the last with ``latest``."""
     rows = read_blocks(blocks, clone_nums=clone_nums, time_range=time_range)
-    order = F.struct("clone_num", *_KEY_TIME)
+    order = F.struct("clone_num", "tr_start", "tr_end")
     pick = F.max_by if latest else F.min_by
     return rows.groupBy(*by).agg(pick(F.struct("value"), order)["value"].alias("value"))
 
@@ -120,8 +122,6 @@ def slice_values(
 
     The slice filters go into both scans before anything is ranked or joined.
     """
-    from paneltide.operators.joins import align_to_grid
-
     inside = read_blocks(blocks, clone_nums=clone_nums, time_range=time_range)
     cells = read_blocks(grid, clone_nums=clone_nums, time_range=time_range)
     return align_to_grid(latest_version(inside, tie_break=tie_break), cells)
@@ -161,13 +161,7 @@ def split_chunks(
         return out
     size = F.octet_length(F.col(piece))
     message = F.concat(
-        F.lit("Chunk size "), size.cast("string"), F.lit(f" exceeds max batch size {max_bytes}")
+        F.lit(TOO_LARGE[0]), size.cast("string"), F.lit(f"{TOO_LARGE[1]}{max_bytes}")
     )
     checked = F.when(size > max_bytes, F.raise_error(message).cast(df.schema[piece].dataType)).otherwise(F.col(piece))
     return out.withColumn(piece, checked)
-
-
-__all__ = [
-    "SERIES", "assemble_chunks", "compact", "drop_version", "first_value", "keep_top_version",
-    "latest_version", "order_blocks", "read_blocks", "slice_values", "split_chunks", "write_blocks",
-]

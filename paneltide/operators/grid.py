@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 from paneltide.functions import dates
 from paneltide.functions.binding import let
 
+# Period names and the messages of refused input.
 PERIODS = ("daily", "weekly", "monthly", "yearly")
+BAD_ORDER = "start must be before end"
+BAD_PERIOD = "period must be one of: daily, weekly, monthly, yearly"
 DAY_MICROS = 86_400_000_000
 
 # Months of 30 days; months until the next such month, from month 1 to 12.
@@ -63,7 +66,7 @@ def time_ranges(start: Column, end: Column, period: str) -> Column:
     """
     period = period.lower()
     if period not in PERIODS:
-        raise ValueError("period must be one of: daily, weekly, monthly, yearly")
+        raise ValueError(BAD_PERIOD)
     start, end = dates.ensure_utc(start), dates.ensure_utc(end)
     span = F.unix_micros(end) - F.unix_micros(start)
     months = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
@@ -92,7 +95,7 @@ def time_ranges(start: Column, end: Column, period: str) -> Column:
 
     out = let(bounds, pairs)
     empty = F.array().cast("array<struct<tr_start:timestamp,tr_end:timestamp>>")
-    bad = F.raise_error(F.lit("start must be before end")).cast(
+    bad = F.raise_error(F.lit(BAD_ORDER)).cast(
         "array<struct<tr_start:timestamp,tr_end:timestamp>>"
     )
     return F.when(start > end, bad).when(start == end, empty).otherwise(out)

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paneltide.operators.ordered import global_position, rank_in_group
 from paneltide.schema import CELL
 
+# Fixed value: message of a positional pairing that runs out on one side.
+UNEQUAL = "Iterables have different lengths. Did all the upstream nodes get run?"
+
 
 def align_to_grid(blocks: DataFrame, grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every grid cell once, with its value or NULL.  ``blocks`` is unique per key."""
@@ -88,7 +91,6 @@ def merge_with_groups(
 
 def zip_strict(tables: list[DataFrame], order_by: list[list[str]]) -> DataFrame:
     """Pair rows by position; an error when the tables differ in length."""
-    message = "Iterables have different lengths. Did all the upstream nodes get run?"
     placed = []
     for i, (t, order) in enumerate(zip(tables, order_by)):
         at = global_position(t, [F.col(c) for c in order])
@@ -97,7 +99,7 @@ def zip_strict(tables: list[DataFrame], order_by: list[list[str]]) -> DataFrame:
     items = [F.col(f"item_{i}") for i in range(len(tables))]
     missing = reduce(lambda a, b: a | b, [c.isNull() for c in items])
     return joined.select(
-        F.when(missing, F.raise_error(F.lit(message)).cast("bigint")).otherwise(F.col("position")).alias("position"),
+        F.when(missing, F.raise_error(F.lit(UNEQUAL)).cast("bigint")).otherwise(F.col("position")).alias("position"),
         *items,
     )
 

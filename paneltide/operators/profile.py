@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from paneltide.functions.binding import let
@@ -63,8 +63,6 @@ def head_rows(df: DataFrame, order_by: list[str], n: int = HEAD_ROWS, by: list[s
     """
     if not by:
         return df.orderBy(*order_by).limit(n)
-    from pyspark.sql import Window
-
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order_by))
     return df.withColumn("rn", rn).where(F.col("rn") <= n)
 

@@ -22,6 +22,10 @@ from paneltide.session import cut_lineage
 
 BATCH_ROWS = 10_000
 
+# Marks of captured lines, message of a result of the wrong type.
+STDOUT, STDERR = "[stdout] ", "[stderr] "
+WRONG_OUTPUT = "Expected output of {0}, but output validation failed:\n{1} of type: {2} is not of allowed type"
+
 
 def output_fields(value: T.DataType) -> list[T.StructField]:
     """Columns of a run's output; ``value`` is NULL for a failed run."""
@@ -35,12 +39,11 @@ def output_fields(value: T.DataType) -> list[T.StructField]:
 
 
 def _combined(stdout: str, stderr: str) -> str:
-    out = ""
-    if stdout:
-        out += "[stdout] " + "\n[stdout] ".join(stdout.split("\n"))
-    if stderr:
-        out += "[stderr] " + "\n[stderr] ".join(stderr.split("\n"))
-    return out
+    """Both streams, every line marked with the stream it came from."""
+    marked = [
+        "\n".join(mark + line for line in text.split("\n")) for mark, text in ((STDOUT, stdout), (STDERR, stderr)) if text
+    ]
+    return "".join(marked)
 
 
 # Python classes a declared result type accepts.
@@ -56,10 +59,7 @@ def _mismatch(value, dtype: T.DataType) -> str:
     accepted = _ACCEPTS.get(type(dtype))
     if value is None or accepted is None or isinstance(value, accepted):
         return ""
-    return (
-        f"Expected output of {dtype.simpleString()}, but output validation failed:\n"
-        f"{value} of type: {type(value)} is not of allowed type"
-    )
+    return WRONG_OUTPUT.format(dtype.simpleString(), value, type(value))
 
 
 def captured(fn: Callable, dtype: T.DataType) -> Callable[..., dict]:

@@ -10,8 +10,15 @@ from paneltide.schema import parse_type
 
 _REFUSED = (T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType)
 
-# The keys of an export entry.
+# The keys of an export entry, and the messages of rejected values.
 EXPORT_KEYS = ["start_cell", "value_type"]
+NOT_DICT = " is not an instance of dict"
+NOT_LIST = " is not an instance of list"
+NOT_RANGES = " is not an iterable of time ranges"
+NOT_HASHABLE = " is not hashable"
+NOT_CELL = " is not proper cell name"
+NOT_RANGE = "expected a 2-tuple of datetime objects, got: "
+WRONG_KEYS = "must contain keys: 'value_type', 'start_cell' and no others, Got "
 
 
 def check_allowed(df: DataFrame) -> DataFrame:
@@ -57,8 +64,8 @@ def sim_params_problem(v: Column) -> Column:
     """A variant must be an object whose values are plain (hashable) scalars."""
     values = F.try_variant_get(v, "$", "map<string, variant>")
     held = F.filter(F.map_values(values), lambda x: _kind(x).rlike("^(ARRAY|OBJECT)"))
-    return F.when(v.isNull() | values.isNull(), F.concat(F.coalesce(F.to_json(v), F.lit("null")), F.lit(" is not an instance of dict"))).when(
-        F.size(held) > 0, F.concat(F.to_json(F.get(held, F.lit(0))), F.lit(" is not hashable"))
+    return F.when(v.isNull() | values.isNull(), F.concat(F.coalesce(F.to_json(v), F.lit("null")), F.lit(NOT_DICT))).when(
+        F.size(held) > 0, F.concat(F.to_json(F.get(held, F.lit(0))), F.lit(NOT_HASHABLE))
     )
 
 
@@ -72,7 +79,7 @@ def check_all_sim_params(text: Column) -> Column:
     items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
     found = F.filter(F.transform(items, sim_params_problem), lambda p: p.isNotNull())
     return _verdict(
-        F.when(items.isNull(), F.concat(F.coalesce(text, F.lit("null")), F.lit(" is not an instance of list")))
+        F.when(items.isNull(), F.concat(F.coalesce(text, F.lit("null")), F.lit(NOT_LIST)))
         .when(F.size(found) > 0, F.get(found, F.lit(0)))
     )
 
@@ -82,9 +89,9 @@ def export_spec_problem(text: Column) -> Column:
     cell = F.get_json_object(text, "$.start_cell")
     named = F.array_sort(keys) == F.array(*[F.lit(k) for k in EXPORT_KEYS])
     return (
-        F.when(keys.isNull(), F.concat(F.coalesce(text, F.lit("null")), F.lit(" is not an instance of dict")))
-        .when(~named, F.concat(F.lit("must contain keys: 'value_type', 'start_cell' and no others, Got "), F.array_join(keys, ", ")))
-        .when(~is_cell_code(F.coalesce(cell, F.lit(""))), F.concat(F.coalesce(cell, F.lit("null")), F.lit(" is not proper cell name")))
+        F.when(keys.isNull(), F.concat(F.coalesce(text, F.lit("null")), F.lit(NOT_DICT)))
+        .when(~named, F.concat(F.lit(WRONG_KEYS), F.array_join(keys, ", ")))
+        .when(~is_cell_code(F.coalesce(cell, F.lit(""))), F.concat(F.coalesce(cell, F.lit("null")), F.lit(NOT_CELL)))
     )
 
 
@@ -98,16 +105,15 @@ def check_export_config(text: Column) -> Column:
     entries = F.map_values(F.try_variant_get(F.try_parse_json(text), "$", "map<string, variant>"))
     found = F.filter(F.transform(entries, lambda v: export_spec_problem(F.to_json(v))), lambda p: p.isNotNull())
     return _verdict(
-        F.when(entries.isNull(), F.concat(F.coalesce(text, F.lit("null")), F.lit(" is not an instance of dict")))
+        F.when(entries.isNull(), F.concat(F.coalesce(text, F.lit("null")), F.lit(NOT_DICT)))
         .when(F.size(found) > 0, F.get(found, F.lit(0)))
     )
 
 
 def _range_problem(r: Column) -> Column:
-    names = F.lit("expected a 2-tuple of datetime objects, got: ")
     return F.when(
         r.isNull() | r["tr_start"].isNull() | r["tr_end"].isNull(),
-        F.concat(names, F.coalesce(F.to_json(r), F.lit("null"))),
+        F.concat(F.lit(NOT_RANGE), F.coalesce(F.to_json(r), F.lit("null"))),
     )
 
 
@@ -119,7 +125,7 @@ def check_time_range(r: Column) -> Column:
 def check_time_ranges(ranges: Column) -> Column:
     found = F.filter(F.transform(ranges, _range_problem), lambda p: p.isNotNull())
     return _verdict(
-        F.when(ranges.isNull(), F.lit("null is not an iterable of time ranges"))
+        F.when(ranges.isNull(), F.lit("null" + NOT_RANGES))
         .when(F.size(found) > 0, F.get(found, F.lit(0)))
     )
 
@@ -129,7 +135,7 @@ def check_all_time_ranges(named: Column) -> Column:
     every = F.flatten(F.map_values(named))
     found = F.filter(F.transform(every, _range_problem), lambda p: p.isNotNull())
     return _verdict(
-        F.when(named.isNull(), F.lit("null is not an instance of dict"))
+        F.when(named.isNull(), F.lit("null" + NOT_DICT))
         .when(F.size(found) > 0, F.get(found, F.lit(0)))
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paneltide.operators import blocks, grid, history, profile, sets
+from paneltide.operators import blocks, grid, history, joins, profile, sets
 from paneltide.operators.ordered import Measure
 from paneltide.plans import panels as p
 from paneltide.plans.registry import query
@@ -468,9 +468,7 @@ _ALIGNED = f"""WITH {p.EVENT_LATEST}, {p.EVENT_GRID}, aligned AS (
 
 
 def _aligned(t):
-    from paneltide.operators.joins import align_to_grid
-
-    return align_to_grid(p.event_latest(t).select(*KEYS, "value"), p.event_grid(t))
+    return joins.align_to_grid(p.event_latest(t).select(*KEYS, "value"), p.event_grid(t))
 
 
 @query(

@@ -45,6 +45,7 @@ def stream_changes(t):
 def apply_changes(t):
     feed = fresh_path(t.spark, "feed")
     messages(t).select("data").repartition(4).write.json(feed)
+    runner.keep_state_on_disk(t.spark)
     out, checkpoint = runner.scratch(t.spark, "state")
     stream = read_change_feed(t.spark, feed, streaming=True)
     sequenced = stream.withColumn("sequence", F.get_json_object("data", "$.sequence").cast("long"))
@@ -60,6 +61,7 @@ def apply_changes(t):
     SELECT full_name, clone_num, tr_start, tr_end, version, value, order_id FROM order_latest""",
 )
 def latest_stream(t):
+    runner.keep_state_on_disk(t.spark)
     out, checkpoint = runner.scratch(t.spark, "latest")
     stream = changes.latest_stream(p.order_blocks(_Streamed(t)), F.col("order_id"))
     runner.update_log(stream, out, checkpoint)

@@ -51,6 +51,23 @@ def update_log(stream: DataFrame, path: str, checkpoint: str, before_write: Call
     )
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Hold stream state in RocksDB instead of executor memory, unless the user chose.
+
+    State then grows with the number of keys on local disk, and only its changes are
+    uploaded to the checkpoint folder.
+    """
+    chosen = {
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    if "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        return
+    for name, value in chosen.items():
+        spark.conf.set(name, value)
+
+
 def scratch(spark: SparkSession, label: str) -> tuple[str, str]:
     """Fresh result and checkpoint paths below the shared folder."""
     root = fresh_path(spark, label)
