@@ -15,9 +15,41 @@ from paneltide.schema import SERIES
 MONTH_SECONDS = 30 * 86_400
 
 
+def _time_line(
+    cells: DataFrame, blocks: DataFrame | None, keys: list[str], value: str, since: Column | None, exact: Column | None
+) -> DataFrame:
+    """Blocks at their end (kind 0) and cells at their start (kind 1), as one table."""
+    amount = F.col(value) if exact is None else exact
+    if blocks is None:
+        ends = F.array(
+            F.struct(F.col("tr_end").alias("__t"), F.lit(0).alias("__kind")),
+            F.struct(F.col("tr_start").alias("__t"), F.lit(1).alias("__kind")),
+        )
+        line = cells.select(*cells.columns, F.inline(ends))
+        is_block = F.col("__kind") == 0
+        if since is not None:
+            line = line.where(~is_block | (F.col("tr_start") >= since))
+        return line.withColumns(
+            {"__start": F.col("tr_start"), "__value": F.when(is_block, F.col(value)), "__sum": F.when(is_block, amount)}
+        )
+    past = blocks if since is None else blocks.where(F.col("tr_start") >= since)
+    past = past.select(
+        *keys,
+        F.col("tr_end").alias("__t"),
+        F.lit(0).alias("__kind"),
+        F.col("tr_start").alias("__start"),
+        F.col(value).alias("__value"),
+        amount.alias("__sum"),
+    )
+    ask = cells.select(
+        *cells.columns, F.col("tr_start").alias("__t"), F.lit(1).alias("__kind"), F.col("tr_start").alias("__start")
+    )
+    return past.unionByName(ask, allowMissingColumns=True)
+
+
 def history_asof(
     cells: DataFrame,
-    blocks: DataFrame,
+    blocks: DataFrame | None = None,
     keys: list[str] | None = None,
     value: str = "value",
     since: Column | None = None,
@@ -26,33 +58,20 @@ def history_asof(
 ) -> DataFrame:
     """Per cell, a summary of all blocks *completed* before it starts.
 
+    Only blocks with ``tr_end <= cell.tr_start`` count.  Adds n_history, sum_history,
+    min_history, max_history and last_value (of the latest range with a value).
+    ``exact`` replaces the summed value, for instance by a decimal.  Without ``blocks``
+    the cells look back at each other, which reads them once.
+
     Cells and blocks of a panel are unique per range, so a fixed width bounds a slice.
     For raw rows, of which any number may share a span, pass ``slice_seconds=None``: the
     slices are then cut evenly from the data.
-
-    Only blocks with ``tr_end <= cell.tr_start`` count.  Adds n_history, sum_history,
-    min_history, max_history and last_value (of the latest range with a value).
-    ``exact`` replaces the summed value, for instance by a decimal.
     """
     keys = SERIES if keys is None else keys
-    if since is not None:
-        blocks = blocks.where(F.col("tr_start") >= since)
-    past = blocks.select(
-        *keys,
-        F.col("tr_end").alias("__t"),
-        F.lit(0).alias("__kind"),
-        F.col("tr_start").alias("__start"),
-        F.col(value).alias("__value"),
-        (F.col(value) if exact is None else exact).alias("__sum"),
-    )
-    ask = cells.select(
-        *cells.columns, F.col("tr_start").alias("__t"), F.lit(1).alias("__kind"), F.col("tr_start").alias("__start")
-    )
-    line = past.unionByName(ask, allowMissingColumns=True)
-    is_block = F.col("__kind") == 0
+    line = _time_line(cells, blocks, keys, value, since, exact)
     seen = F.when(F.col("__value").isNotNull(), F.struct("__t", "__start", F.col("__value").alias("v")))
     measures = [
-        Measure("n_history", "count", F.when(is_block, F.lit(1))),
+        Measure("n_history", "count", F.when(F.col("__kind") == 0, F.lit(1))),
         Measure("sum_history", "sum", F.col("__sum")),
         Measure("min_history", "min", F.col("__value")),
         Measure("max_history", "max", F.col("__value")),

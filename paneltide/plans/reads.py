@@ -346,13 +346,29 @@ _HISTORY_SQL = """
 @query("history_asof", f"WITH {p.ORDER_LATEST} {_HISTORY_SQL.format('order_latest')}")
 def history_asof(t):
     latest = p.order_latest(t)
-    out = history.history_asof(latest.select(*KEYS), latest, exact=_money(F.col("value")))
+    out = history.history_asof(latest.select(*KEYS, "value"), exact=_money(F.col("value")))
     return out.select(
         "full_name", "clone_num", "tr_start", "n_history", F.col("sum_history").cast("double").alias("sum_history"),
         "min_history", "max_history", "last_value",
     )
 
 
+@query(
+    "history_asof_grid",
+    f"""WITH {p.EVENT_LATEST}, {p.EVENT_GRID}
+    SELECT c.full_name, c.clone_num, c.tr_start, count(b.full_name) AS n_history,
+           CAST(sum(CAST(b.value AS DECIMAL(18, 2))) AS DOUBLE) AS sum_history, arg_max(b.value, b.tr_end) AS last_value
+    FROM event_grid c LEFT JOIN event_latest b
+      ON b.full_name = c.full_name AND b.clone_num = c.clone_num AND b.tr_end <= c.tr_start
+    GROUP BY c.full_name, c.clone_num, c.tr_start""",
+)
+def history_asof_grid(t):
+    """Cells of the whole grid against stored blocks, gaps included."""
+    out = history.history_asof(p.event_grid(t), p.event_latest(t), exact=_money(F.col("value")))
+    return out.select("full_name", "clone_num", "tr_start", "n_history",
+                      F.col("sum_history").cast("double").alias("sum_history"), "last_value")
+
+
 @query(
     "history_asof_overlapping",
     """WITH spans AS (
@@ -377,8 +393,7 @@ def history_asof_overlapping(t):
             F.unix_micros(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber") * F.lit(30 * 86_400_000_000)
         ).alias("tr_end"),
     )
-    cells = spans.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "tr_start")
-    out = history.history_asof(cells, spans, keys=["l_suppkey"], slice_seconds=None)
+    out = history.history_asof(spans, keys=["l_suppkey"], slice_seconds=None)
     return out.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "n_history",
                       F.coalesce("sum_history", F.lit(0.0)).alias("sum_history"))
 

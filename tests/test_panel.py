@@ -137,9 +137,10 @@ def test_history_against_brute_force(spark):
     spans = spark.createDataFrame([(i, k, day(s), day(s + n), v) for i, (k, s, n, v) in enumerate(rows)],
                                   "i int, k string, tr_start timestamp, tr_end timestamp, value double")
     for width in (None, 86_400 * 7):
-        out = history.history_asof(spans.select("i", "k", "tr_start"), spans, keys=["k"], slice_seconds=width).collect()
-        assert len(out) == len(rows)
-        for r in out:
+        apart = history.history_asof(spans.select("i", "k", "tr_start"), spans, keys=["k"], slice_seconds=width).collect()
+        alone = history.history_asof(spans, keys=["k"], slice_seconds=width).collect()
+        assert len(apart) == len(alone) == len(rows)
+        for r in [*apart, *alone]:
             k, s, _, _ = rows[r.i]
             past = [(s2 + n2, s2, v2) for k2, s2, n2, v2 in rows if k2 == k and s2 + n2 <= s]
             assert r.n_history == len(past)
