@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from paneltide.operators.joins import align_to_grid
 from paneltide.operators.ordered import rank_in_group
@@ -66,14 +66,14 @@ def latest_version(
 ) -> DataFrame:
     """The row with the highest version per key; on a tie the smallest ``tie_break``.
 
-    An aggregate, not a window: each task keeps one row per key before the shuffle, so a
-    key with any number of versions sends at most one row per task.
+    Spark turns the first-row filter into a group limit below the shuffle: each task
+    keeps one row per key, so a key with any number of versions sends at most one row
+    per task.  Columns nobody reads are pruned from the scan.
     """
     keys = CELL if keys is None else keys
-    rest = [c for c in blocks.columns if c not in keys]
-    rank = [F.col(version)] + ([] if tie_break is None else [-tie_break])
-    best = blocks.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("__row"))
-    return best.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in blocks.columns])
+    order = [F.col(version).desc_nulls_last()] + ([] if tie_break is None else [tie_break.asc()])
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return blocks.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
 
 
 def keep_top_version(blocks: DataFrame, keys: list[str], version: str = "version") -> DataFrame:

@@ -97,6 +97,10 @@ def test_latest_and_ties(spark):
     df = spark.createDataFrame([block("a", 0, 0, 1, 1.0), block("a", 0, 0, 2, 2.0), block("a", 0, 0, 2, 3.0), block("b", 0, 0, 1, None)], BLOCK)
     out = {r.full_name: r.value for r in blocks.latest_version(df, tie_break=F.col("value")).collect()}
     assert out == {"a": 2.0, "b": None}
+    plan = blocks.latest_version(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # below and above the shuffle
+    pruned = blocks.latest_version(df.unionAll(df)).select("full_name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "value" not in pruned.split("LogicalRDD")[0].split("Window")[-1]
 
 
 def test_compact_keeps_all_chunks_of_the_winner(spark):
