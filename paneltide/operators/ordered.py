@@ -54,14 +54,14 @@ def time_slice(c: Column, seconds: int) -> Column:
 def slice_column(df: DataFrame, order_by: list[str]) -> Column:
     """Slice of a row by its whole order tuple, cut evenly over the table.
 
-    The cut points are every so-manieth of a bounded, hash-chosen set of tuples (kept by
-    a top-k, so each task sends few rows).  They only decide which task does what: rows
+    The cut points are taken evenly from a bounded random set of tuples (kept by a
+    top-k, so each task sends few rows).  They only decide which task does what: rows
     are neither dropped nor moved in the order.  Because the tuple ends in a tie-break,
     even a key whose leading order column never changes is cut.  The cuts are fixed
     before the job starts, so a lost task recomputes the same slices.
     """
     n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
-    seen = df.select(*order_by).orderBy(F.xxhash64(*order_by)).limit(n * ROWS_PER_CUT).orderBy(*order_by)
+    seen = df.select(*order_by).orderBy(F.rand(17)).limit(n * ROWS_PER_CUT).orderBy(*order_by)
     ranked = [tuple(r) for r in seen.select(*[F.col(c).cast("string") for c in order_by]).collect()]
     cuts = list(dict.fromkeys(ranked[len(ranked) * i // n] for i in range(1, n))) if ranked else []
     if not cuts:
