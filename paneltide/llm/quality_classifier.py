@@ -143,16 +143,13 @@ def co_train(
 ) -> CoTrained | None:
     """Fit on at most about ``labelled`` labelled and ``pool`` further documents.
 
-    None if the labels do not have both classes: there is nothing to learn then.
+    None if the labelled documents do not have both classes: there is nothing to learn then.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     share = labelled / max(1, known.count())
     chosen = known.where(_place(F.col(id_col), "labelled") < share).groupBy(F.col(id_col).alias("chosen_")).agg(
         F.max(label_col).cast("double").alias("label")
     )
-    sizes = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
-    if not (sizes.get(0.0) and sizes.get(1.0)):
-        return None
     # The pool takes documents by their hash, labelled ones among them without their labels.
     near = _place(F.col(id_col), "pool") < pool / max(1, docs.count())
     rows = docs.select(*dict.fromkeys([id_col, text_col, source_col, lang_col])).join(
@@ -167,6 +164,9 @@ def co_train(
     sample = cut_lineage(vectors.repartition(4))
     taught = sample.where("label IS NOT NULL")
     train = taught.where(_place(F.col("doc_id"), "fold") < 0.67).withColumn("weight", F.lit(1.0))
+    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    if not (sizes.get(0.0) and sizes.get(1.0)):
+        return None
     apart = taught.where(_place(F.col("doc_id"), "fold") >= 0.67)
     unlabelled = sample.where("label IS NULL")
     models = {v: _fit(v, train) for v in ("content", "meta")}
