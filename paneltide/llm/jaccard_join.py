@@ -10,8 +10,8 @@ Equal sets are one point.  Two levels of pivots divide the space:
   a point within the distance: its first ``n - ceil(threshold*n) + 1`` shingles, because
   two sets that agree in ``ceil(threshold*n)`` shingles cannot both miss all of the other's
   window.  A document is replicated to the regions of its window and nowhere else.
-* Level 2.  A region of few documents compares those pairs that sizes and places in the
-  order allow.  A larger one is joined recursively by document pivots: all members are
+* Level 2.  A region of few documents compares those pairs that sizes and the number of
+  common pivots in their windows allow.  A larger one is joined recursively by document pivots: all members are
   measured against a pivot; those in its ball are connected through it, and only members
   that are not yet connected, and whose distances to the region's first pivot differ by no
   more than the join distance (triangle inequality), go on to the next pivots.
@@ -41,66 +41,96 @@ FEW = 32
 #: shares a bit with a frequent one also goes last, in all tasks alike.
 TABLE_BITS = 22
 #: Growth of the number of pivots of a region from one round to the next.
-MORE_PIVOTS = 8
+MORE_PIVOTS = 64
 
 
 def _window(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _set_rows(percent: int, table: bytes | None, what: str):
-    """Arrow function: ``keys`` only, or id, size, signature and window keys, or whole sets."""
+def _bits(table: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(table, np.uint8), bitorder="little").view(bool)
+
+
+def _bit_table(longs: DataFrame) -> bytes | None:
+    """Bits of the leading ``TABLE_BITS`` bits of the values of a one-column table; None if empty."""
+    bucket = F.shiftrightunsigned(longs.columns[0], 64 - TABLE_BITS).alias("bucket")
+    # At most 2**TABLE_BITS numbers, packed into at most 2**(TABLE_BITS - 6) words before they leave.
+    words = longs.select(bucket).distinct().groupBy(F.shiftright("bucket", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(bucket & 63 AS INT))")).alias("bits")
+    )
+    got = words.collect()
+    if not got:
+        return None
+    table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.int64)
+    table[[r["word"] for r in got]] = [r["bits"] for r in got]
+    return table.astype("<i8").tobytes()
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in arrays]))), pa.int32())
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat))
+
+
+def _sign(own: np.ndarray) -> bytes | None:
+    """Signature of a set: 128 bits, so different sets do not meet."""
+    return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
+
+
+def _windows(percent: int, table: bytes | None):
+    """Arrow function over (id, text hash, text): size, signature, window keys and where the window ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if table is None else np.unpackbits(np.frombuffer(table, np.uint8), bitorder="little").view(bool)
+        bits = None if table is None else _bits(table)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            sizes, signs, keys = [], [], []
-            for own in shingle_sets(texts):
+            sizes, signs, keys, last = [], [], [], []
+            for own in shingle_sets(batch.column(2).to_pylist()):
                 n = len(own)
                 sizes.append(n)
-                if what != "keys":
-                    signs.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
-                if what != "sets" and n:
+                signs.append(_sign(own))
+                late = False
+                if n:
                     if bits is not None:
-                        late = bits[own >> np.uint64(64 - TABLE_BITS)]
-                        own = np.concatenate((own[~late], own[late]))
+                        frequent = bits[own >> np.uint64(64 - TABLE_BITS)]
+                        rare = own[~frequent]
+                        late = len(rare) < _window(n, percent)
+                        own = np.concatenate((rare, own[frequent]))
                     own = own[: _window(n, percent)]
                 keys.append(own.view(np.int64))
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
-            if what == "keys":
-                yield pa.RecordBatch.from_arrays([lists], ["keys"])
-            elif what == "windows":
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), lists],
-                    ["doc_id", "text_hash", "n", "sign", "keys"],
-                )
-            else:
-                # A repeated id may stand for several texts: only the one that was asked for stays.
-                right = pa.array([s == w for s, w in zip(signs, batch.column(1).to_pylist())], pa.bool_())
-                out = pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "members"])
-                yield out.filter(right)
+                # The order as one number (two hash bits are lost; equal numbers decide nothing).
+                last.append((int(own[-1]) >> 2) + (late << 62) if n else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), _lists(keys),
+                 pa.array(last, pa.int64())],
+                ["doc_id", "text_hash", "n", "sign", "keys", "last"],
+            )
 
     return run
 
 
-def frequent_table(texts: DataFrame, percent: int = PERCENT, few: int = FEW) -> bytes | None:
+def _whole_sets(table: bytes | None):
+    """Arrow function over (text hash, text): signature and whole set of the texts in the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if table is None else _bits(table)
+        for batch in batches:
+            if bits is not None:
+                hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                batch = batch.filter(pa.array(bits[hashes >> np.uint64(64 - TABLE_BITS)]))
+            own = list(shingle_sets(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_sign(x) for x in own], pa.binary()), _lists([x.view(np.int64) for x in own])], ["sign", "members"]
+            )
+
+    return run
+
+
+def frequent_table(windows: DataFrame, few: int = FEW) -> bytes | None:
     """Bit table of shingles that more than ``few`` windows hold; None if there are none."""
-    keys = texts.mapInArrow(_set_rows(percent, None, "keys"), "keys array<long>").select(F.explode("keys").alias("key"))
+    keys = windows.select(F.explode("keys").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > few)
-    bucket = F.shiftrightunsigned("key", 64 - TABLE_BITS).alias("bucket")
-    marked = often.select(bucket).distinct()
-    # At most 2**TABLE_BITS numbers, packed into at most 2**(TABLE_BITS - 6) words before they leave.
-    word = F.shiftright("bucket", 6)
-    words = marked.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bucket & 63 AS INT))")).alias("bits"))
-    got = words.collect()
-    if not got:
-        return None
-    table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.int64)
-    table[[r["word"] for r in got]] = [r["bits"] for r in got]
-    return table.astype("<i8").tobytes()
+    return _bit_table(often.select("key"))
 
 
 def _needed(na: Column, nb: Column, percent: int) -> Column:
@@ -122,18 +152,22 @@ class JaccardJoin:
         self.percent, self.few = percent, few
         self.rows = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("text"))
         self.hashed = self.rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        table = frequent_table(self.rows.select("text"), percent, few)
         kind = docs.schema[id_col].dataType.simpleString()
-        schema = f"doc_id {kind}, text_hash long, n long, sign binary, keys array<long>"
-        #: One row per document.
-        self.documents = cut_lineage(self.hashed.mapInArrow(_set_rows(percent, table, "windows"), schema))
-        points = self.documents.where("n > 0").groupBy("sign").agg(
+        schema = f"doc_id {kind}, text_hash long, n long, sign binary, keys array<long>, last long"
+        plain = self.hashed.mapInArrow(_windows(percent, None), schema)
+        table = frequent_table(plain, few)
+        windows = self.hashed.mapInArrow(_windows(percent, table), schema)
+        #: One row per document.  The windows are hashed anew below rather than kept twice.
+        self.documents = cut_lineage(plain.select("doc_id", "text_hash", "n", "sign"))
+        points = windows.where("n > 0").groupBy("sign").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"),
-            F.any_value("n").alias("n"), F.any_value("keys").alias("keys"),
+            F.any_value("n").alias("n"), F.any_value("last").alias("last"), F.any_value("keys").alias("keys"),
         )
         #: One row per distinct set; ``node`` is its number, fixed by the checkpoint.
         self.points = cut_lineage(
-            points.select(F.monotonically_increasing_id().alias("node"), "sign", "first.doc_id", "first.text_hash", "n", "keys")
+            points.select(
+                F.monotonically_increasing_id().alias("node"), "sign", "first.doc_id", "first.text_hash", "n", "last", "keys"
+            )
         )
 
     def regions(self) -> DataFrame:
@@ -143,23 +177,49 @@ class JaccardJoin:
         shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         return cut_lineage(entries.join(shared, "key"))
 
-    def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """``node, members``: the whole sets of the given points, from their texts."""
-        wanted = self.points.join(nodes, "node", "left_semi").select("node", "sign", "doc_id", "text_hash")
-        found = self.hashed.join(
-            wanted, self.hashed.doc_id.eqNullSafe(wanted.doc_id) & (self.hashed.text_hash == wanted.text_hash)
-        ).select("node", "sign", "text")
-        sets = found.mapInArrow(_set_rows(self.percent, None, "sets"), "node long, members array<long>")
-        # Rows that repeat id and text give the same set.
-        return sets.groupBy("node").agg(F.any_value("members").alias("members"))
+    def small_pairs(self, regions: DataFrame) -> DataFrame:
+        """Pairs that share a region of few members and may link.
+
+        All common keys of a pair in such regions are counted.  Beyond the window that ends
+        first, no more shingles can be common than that document has left; keys in larger
+        regions may all be common.
+        """
+        small = regions.where(F.col("c") <= self.few)
+        a, b = small.alias("a"), small.alias("b")
+        alike = 100 * F.least("a.n", "b.n") >= self.percent * F.greatest("a.n", "b.n")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & alike)
+        counted = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("met"))
+        large = regions.where(F.col("c") > self.few).groupBy("node").agg(F.count("*").alias("large"))
+        about = self.points.select("node", "n", "last", F.size("keys").alias("w")).join(large, "node", "left").select(
+            "node", "n", "last", (F.col("n") - F.col("w")).alias("left"), F.coalesce("large", F.lit(0)).alias("large")
+        )
+
+        def side(name: str) -> DataFrame:
+            return about.select(*[F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in about.columns])
+
+        pairs = counted.join(side("a"), "a").join(side("b"), "b")
+        rest = (
+            F.when(F.col("last_a") < F.col("last_b"), F.col("left_a")).when(F.col("last_a") > F.col("last_b"), F.col("left_b"))
+            .otherwise(F.greatest("left_a", "left_b"))
+        )
+        most = F.col("met") + F.least("large_a", "large_b") + rest
+        return pairs.where(most >= _needed(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b")
 
     def measure(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, common, union``: exact intersection of each pair; checkpointed."""
+        """``a, b, common, union``: exact intersection of each pair; checkpointed.
+
+        Only texts that the pairs ask for are hashed again; a table of bits of fixed size
+        finds them (others that share a bit are dropped by the join).
+        """
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = self.sets_of(nodes)
-        left = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
-        both = pairs.join(right, "b").join(left, "a")
+        wanted = self.points.join(nodes, "node", "left_semi").select("text_hash")
+        sets = (
+            self.hashed.select("text_hash", "text").mapInArrow(_whole_sets(_bit_table(wanted)), "sign binary, members array<long>")
+            .groupBy("sign").agg(F.any_value("members").alias("members"))
+        )
+        signs = self.points.select("node", "sign")
+        named = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
+        both = named.join(sets.toDF("sign_b", "of_b"), "sign_b").join(sets.toDF("sign_a", "of_a"), "sign_a")
         common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
         sized = both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b") - common).alias("union"))
         return cut_lineage(sized)
@@ -170,10 +230,7 @@ class JaccardJoin:
     def components(self) -> DataFrame:
         """``node, label`` of all points that link with another; equal labels are connected."""
         regions = self.regions()
-        small = regions.where(F.col("c") <= self.few)
-        a, b = small.alias("a"), small.alias("b")
-        allowed = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & _may_link("a", "b", self.percent)
-        pairs = a.join(b, allowed).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        pairs = self.small_pairs(regions)
         large = regions.where(F.col("c") > self.few).withColumns(
             {"first": F.lit(None).cast("long"), "d": F.lit(None).cast("double")}
         )
