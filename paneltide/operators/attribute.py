@@ -45,8 +45,7 @@ def run_attribute(
             message.alias("stdout_output"), message.alias("stderr_output"), message.alias("combined_output"),
         )
         ready = ready.join(causes, ["full_name", "attribute_name"], "left_anti")
-    gathered = gather_inputs(ready, deps, inputs)
-    full = ready.join(gathered, CELL, "left")
+    full = gather_inputs(ready, deps, inputs)
     # Blocks and report both read the outputs; the function runs once.
     outputs = cut_lineage(map_cells(full, fn, value, ["inputs"]))
     outputs = outputs if blocked is None else outputs.unionByName(blocked)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 
 from paneltide.operators.joins import align_to_grid
 from paneltide.operators.ordered import rank_in_group
@@ -26,6 +27,18 @@ def write_blocks(
     clustered.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a folder; folder names keep the text they were written with.
+
+    Spark would read a name such as '001' as a number: the key columns get their types from
+    the block schema, all others from the files.
+    """
+    found = spark.read.parquet(path).schema
+    texts = {"full_name", "attribute_name"}
+    kept = [T.StructField(f.name, T.StringType()) if f.name in texts else f for f in found]
+    return spark.read.schema(T.StructType(kept)).parquet(path)
+
+
 def read_blocks(
     source: SparkSession | DataFrame,
     path: str | None = None,
@@ -38,7 +51,7 @@ def read_blocks(
 
     Any number of scenarios may be asked for.  Rows come unsorted: see ``order_blocks``.
     """
-    blocks = source.read.parquet(path) if isinstance(source, SparkSession) else source
+    blocks = _stored(source, path) if isinstance(source, SparkSession) else source
     if clone_nums is not None:
         blocks = blocks.where(F.col("clone_num").isin(sorted(set(clone_nums))))
     if time_range is not None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paneltide.operators.ordered import Measure, running, slice_column, time_slice
+from paneltide.operators.ordered import Measure, in_slices, running, time_slice
 from paneltide.schema import SERIES
 
 MONTH_SECONDS = 30 * 86_400
@@ -78,7 +78,10 @@ def history_asof(
         Measure("__last", "max", seen),
     ]
     order = ["__t", "__kind", "__start"]
-    cut = slice_column(line, order) if slice_seconds is None else time_slice(F.col("__t"), slice_seconds)
+    if slice_seconds is None:
+        line, cut = in_slices(line, keys, order), F.col("__slice_part")
+    else:
+        cut = time_slice(F.col("__t"), slice_seconds)
     out = running(line, keys, [F.col(c) for c in order], measures, cut).where(F.col("__kind") == 1)
     return out.select(
         *cells.columns, "n_history", "sum_history", "min_history", "max_history", F.col("__last.v").alias("last_value")

@@ -38,7 +38,8 @@ def gather_inputs(run_keys: DataFrame, deps: DataFrame, blocks: DataFrame) -> Da
     """Per run key a map ``input name.attribute -> latest value`` at the same context.
 
     ``deps(full_name, attribute_name, input_full_name, input_attribute_name)``.  A group
-    holds the inputs one attribute declares, never its history.
+    holds the inputs one attribute declares, never its history; keys of attributes without
+    inputs get an empty map.
     """
     context = ["clone_num", "tr_start", "tr_end"]
     stored = blocks.select(
@@ -47,10 +48,11 @@ def gather_inputs(run_keys: DataFrame, deps: DataFrame, blocks: DataFrame) -> Da
         *context,
         F.struct("value").alias("__hit"),
     )
-    wanted = run_keys.join(deps, ["full_name", "attribute_name"])
+    wanted = run_keys.join(deps, ["full_name", "attribute_name"], "left")
     found = wanted.join(stored, ["input_full_name", "input_attribute_name", *context], "left")
     name = F.concat_ws(".", "input_full_name", "input_attribute_name")
-    entry = F.struct(name.alias("key"), F.col("__hit.value").alias("value"))
+    # NULL for a key without inputs: the list then stays empty.
+    entry = F.when(F.col("input_full_name").isNotNull(), F.struct(name.alias("key"), F.col("__hit.value").alias("value")))
     return found.groupBy(*CELL).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("inputs"))
 
 

@@ -19,13 +19,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paneltide.session import cut_lineage
 
-# Most slices a key is cut into when the cut points come from the data, and the rows
-# looked at per cut point.
-MAX_SLICES = 8192
-ROWS_PER_CUT = 16
-# Up to this many cuts the search is spelt out as nested cases.
-MAX_TREE = 255
-
 
 @dataclass(frozen=True)
 class Measure:
@@ -51,66 +44,16 @@ def time_slice(c: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(c.cast("timestamp")) / (seconds * 1_000_000))
 
 
-def slice_column(df: DataFrame, order_by: list[str]) -> Column:
-    """Slice of a row by its whole order tuple, cut evenly over the table.
+def in_slices(df: DataFrame, keys: list[str], order_by: list[str], name: str = "__slice_part") -> DataFrame:
+    """``df`` with a slice number that grows with the order and cuts hot keys evenly.
 
-    The cut points are taken evenly from a bounded random set of tuples (kept by a
-    top-k, so each task sends few rows).  They only decide which task does what: rows
-    are neither dropped nor moved in the order.  Because the tuple ends in a tie-break,
-    even a key whose leading order column never changes is cut.  The cuts are fixed
-    before the job starts, so a lost task recomputes the same slices.
+    Spark range-partitions the rows by key and order tuple, so a key with many rows spans
+    many partitions, also when its leading order column never changes; the partition's
+    number is the slice.  The rows are written once to the shared folder: later steps read
+    them instead of repeating what came before, and a lost task sees the same slices.
     """
-    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
-    seen = df.select(*order_by).orderBy(F.rand(17)).limit(n * ROWS_PER_CUT).orderBy(*order_by)
-    ranked = [tuple(r) for r in seen.select(*[F.col(c).cast("string") for c in order_by]).collect()]
-    cuts = list(dict.fromkeys(ranked[len(ranked) * i // n] for i in range(1, n))) if ranked else []
-    if not cuts:
-        return F.lit(0)
-    types = [f.dataType.simpleString() for f in df.select(*order_by).schema]
-    if len(cuts) <= MAX_TREE:
-        return F.expr(_search_tree(cuts, 0, len(cuts), order_by, types))
-    # A constant: it is folded once when the plan is optimised.
-    table = F.expr("array(" + ", ".join(_tuple(c, order_by, types) for c in cuts) + ")")
-    # Binary search: add falling powers of two while the cut there is still below.
-    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    row = F.struct(*order_by)
-    return F.aggregate(
-        F.lit(steps).cast("array<int>"),
-        F.lit(0),
-        lambda at, s: F.when(
-            (at + s <= len(cuts)) & (row > F.get(table, at + s - 1)), at + s
-        ).otherwise(at),
-    )
-
-
-def _constant(value: str | None, dtype: str) -> str:
-    text = "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"CAST({text} AS {dtype})"
-
-
-def _tuple(values: tuple, names: list[str], types: list[str]) -> str:
-    """A tuple of texts as a typed SQL constant."""
-    parts = [f"'{n}', {_constant(v, t)}" for v, n, t in zip(values, names, types)]
-    return f"named_struct({', '.join(parts)})"
-
-
-def _after(cut: tuple, names: list[str], types: list[str]) -> str:
-    """Does a row's order tuple sort after the cut?  NULLs sort first."""
-    name, constant = f"`{names[0]}`", _constant(cut[0], types[0])
-    above = f"{name} IS NOT NULL" if cut[0] is None else f"coalesce({name} > {constant}, false)"
-    if len(cut) == 1:
-        return above
-    return f"({above} OR ({name} <=> {constant} AND {_after(cut[1:], names[1:], types[1:])}))"
-
-
-def _search_tree(cuts: list[tuple], low: int, high: int, names: list[str], types: list[str]) -> str:
-    """Number of cuts before a row, as nested cases: compiled, and few comparisons."""
-    if low == high:
-        return str(low)
-    middle = (low + high) // 2
-    right = _search_tree(cuts, middle + 1, high, names, types)
-    left = _search_tree(cuts, low, middle, names, types)
-    return f"CASE WHEN {_after(cuts[middle], names, types)} THEN {right} ELSE {left} END"
+    placed = df.repartitionByRange(*keys, *order_by)
+    return cut_lineage(placed.withColumn(name, F.spark_partition_id()))
 
 
 def running(
@@ -172,6 +115,9 @@ def rank_in_group(
 
     ``order_by`` has to end in a tie-break, as for any repeatable row number.
     """
-    cut = slice_column(df, order_by) if slice_by is None else slice_by
     one = Measure(name, "count", F.lit(1))
-    return running(df, keys, [F.col(c) for c in order_by], [one], cut, inclusive=True)
+    order = [F.col(c) for c in order_by]
+    if slice_by is not None:
+        return running(df, keys, order, [one], slice_by, inclusive=True)
+    out = running(in_slices(df, keys, order_by), keys, order, [one], F.col("__slice_part"), inclusive=True)
+    return out.drop("__slice_part")

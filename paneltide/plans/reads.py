@@ -27,16 +27,17 @@ def _money(c):
 @query(
     "read_blocks",
     f"""WITH {p.ORDER_BLOCKS}
-    SELECT full_name, clone_num, tr_start, tr_end, version, value, order_id FROM order_blocks
-    WHERE clone_num IN (1, 2, 3) AND tr_start >= TIMESTAMP '1996-01-01' AND tr_end <= TIMESTAMP '1999-01-01'""",
+    SELECT full_name, '00' || clone_num AS attribute_name, clone_num, tr_start, tr_end, version, value, order_id
+    FROM order_blocks WHERE clone_num IN (1, 2, 3) AND tr_start >= TIMESTAMP '1996-01-01' AND tr_end <= TIMESTAMP '1999-01-01'""",
 )
 def read_blocks(t):
     path = fresh_path(t.spark, "blocks")
-    blocks.write_blocks(p.order_blocks(t), path)
+    named = F.concat(F.lit("00"), F.col("clone_num").cast("string"))
+    blocks.write_blocks(p.order_blocks(t).withColumn("attribute_name", named), path)
     out = blocks.read_blocks(
         t.spark, path, clone_nums=[1, 2, 3], time_range=(_at("1996-01-01"), _at("1999-01-01"))
     )
-    return out.select("full_name", "clone_num", "tr_start", "tr_end", "version", "value", "order_id")
+    return out.select("full_name", "attribute_name", "clone_num", "tr_start", "tr_end", "version", "value", "order_id")
 
 
 @query(

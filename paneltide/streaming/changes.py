@@ -8,6 +8,7 @@ row per task and batch.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from paneltide.operators.blocks import latest_version
 from paneltide.schema import CELL
@@ -31,8 +32,13 @@ def newest(stream: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 def latest_stream(blocks: DataFrame, tie_break: Column | None = None, keys: list[str] | None = None) -> DataFrame:
     """Streaming twin of ``latest_version`` (update mode)."""
-    order = [F.col("version")] + ([] if tie_break is None else [-tie_break])
-    return newest(blocks, CELL if keys is None else keys, order)
+    keys = CELL if keys is None else keys
+    if tie_break is None:
+        return newest(blocks, keys, [F.col("version")])
+    kind = blocks.select(tie_break).schema[0].dataType
+    if not isinstance(kind, T.NumericType):
+        raise ValueError(f"a stream needs a numeric tie-break, not {kind.simpleString()}")
+    return newest(blocks, keys, [F.col("version"), -tie_break])
 
 
 def apply_changes(changes: DataFrame, sequence: Column) -> DataFrame:
