@@ -1,7 +1,7 @@
 """User functions over cells: per key, per chunk, over history, with captured output.
 
 Prefer plain columns (``train_predict_switch``, ``running_fold``): they stay in the JVM.
-Python functions run in Arrow batches inside ``mapInPandas``, which streams a partition
+Python functions run in Arrow batches inside ``mapInArrow``, which streams a partition
 and never gathers a group.
 """
 
@@ -12,10 +12,13 @@ import io
 import pickle
 import traceback
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from paneltide.schema import CELL
 from paneltide.session import cut_lineage
@@ -87,17 +90,43 @@ def captured(fn: Callable, dtype: T.DataType) -> Callable[..., dict]:
     return call
 
 
-def _plain(value):
-    """Missing cells of a pandas row as None."""
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as Python values: integers stay integers beside a NULL, NULL and NaN stay apart.
+
+    Times come without a zone, in UTC.
+    """
+    for row in batch.to_pylist(maps_as_pydicts="strict"):
+        yield {
+            k: v.replace(tzinfo=None) if isinstance(v, datetime) and v.tzinfo is not None else v for k, v in row.items()
+        }
+
+
+def _plain(value, dtype: T.DataType):
+    """A value as Arrow takes it for a declared type."""
+    if value is None:
         return None
-    return value.item() if hasattr(value, "item") and not hasattr(value, "__len__") else value
+    if isinstance(dtype, T.MapType):
+        return [(_plain(k, dtype.keyType), _plain(v, dtype.valueType)) for k, v in dict(value).items()]
+    if isinstance(dtype, T.ArrayType):
+        return [_plain(v, dtype.elementType) for v in value]
+    if isinstance(dtype, T.StructType):
+        items = value if isinstance(value, dict) else dict(zip(dtype.fieldNames(), value))
+        return {f.name: _plain(items.get(f.name), f.dataType) for f in dtype}
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return float(value)
+    return value.item() if hasattr(value, "item") else value
 
 
-def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
-    columns = list(pdf.columns)
-    for row in zip(*(pdf[c] for c in columns)):
-        yield {c: _plain(v) for c, v in zip(columns, row)}
+def _batches(schema: T.StructType) -> Callable[[list[dict]], pa.RecordBatch]:
+    """Rows to an Arrow batch of exactly the declared types."""
+    arrow = to_arrow_schema(schema)
+    fields = [(f.name, f.dataType, arrow.field(f.name).type) for f in schema]
+
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        arrays = [pa.array([_plain(r[name], dtype) for r in rows], kind) for name, dtype, kind in fields]
+        return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return batch
 
 
 def _arguments(row: dict, inputs: list[str]) -> dict:
@@ -113,16 +142,13 @@ def map_cells(keys: DataFrame, fn: Callable, value: T.DataType, inputs: list[str
     kept = [f for f in keys.schema if f.name not in inputs]
     schema = T.StructType(kept + output_fields(value))
     names = [f.name for f in kept]
-    safe = captured(fn, value)
+    safe, to_batch = captured(fn, value), _batches(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            results = [safe(**_arguments(row, inputs)) for row in _rows(pdf)]
-            out = pd.DataFrame(results, index=pdf.index, columns=[f.name for f in output_fields(value)])
-            out["value"] = out["value"].astype(object)
-            yield pd.concat([pdf[names], out], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield to_batch([{**{n: row[n] for n in names}, **safe(**_arguments(row, inputs))} for row in _rows(batch)])
 
-    return keys.mapInPandas(run, schema)
+    return keys.mapInArrow(run, schema)
 
 
 def map_cells_vectorized(keys: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], value: T.DataType) -> DataFrame:
@@ -163,21 +189,22 @@ def map_chunks(
             text = traceback.format_exc().strip()
             yield (*head, chunk, None, True, "", text, _combined("", text))
 
-    def run(batches):
-        columns = [*key_columns, "chunk_num", *names]
-        held: list[tuple] = []
-        for pdf in batches:
-            for row in _rows(pdf):
+    ordered = T.StructType([f for c in key_columns for f in kept if f.name == c] + schema.fields[len(kept):])
+    columns, to_batch = [*key_columns, "chunk_num", *names], _batches(ordered)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in _rows(batch):
                 for piece in pieces(row):
-                    held.append(piece)
+                    held.append(dict(zip(columns, piece)))
                     if len(held) >= BATCH_ROWS:
-                        yield pd.DataFrame(held, columns=columns)
+                        yield to_batch(held)
                         held = []
         if held:
-            yield pd.DataFrame(held, columns=columns)
+            yield to_batch(held)
 
-    ordered = T.StructType([f for c in key_columns for f in kept if f.name == c] + schema.fields[len(kept):])
-    return keys.mapInPandas(run, ordered)
+    return keys.mapInArrow(run, ordered)
 
 
 def drop_failed(outputs: DataFrame, key_columns: list[str]) -> DataFrame:
@@ -204,13 +231,13 @@ def _fold(
 ) -> DataFrame:
     """Stream each sorted partition through ``step``, carrying one state per key."""
     sorted_rows = rows.repartition(*by).sortWithinPartitions(*by, *order_by)
-    names = schema.fieldNames()
+    to_batch = _batches(schema)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, last = None, None, None
-        for pdf in batches:
+        for batch in batches:
             held = []
-            for row in _rows(pdf):
+            for row in _rows(batch):
                 key = tuple(row[c] for c in by)
                 if key != current:
                     if emit == "states" and last is not None:
@@ -222,11 +249,12 @@ def _fold(
                     held.append({**row, "value": value})
                 elif emit == "before":
                     held.append({**row, "__before": value})
-            yield pd.DataFrame(held, columns=names)
+            if held:
+                yield to_batch(held)
         if emit == "states" and last is not None:
-            yield pd.DataFrame([{**last, "__state": pickle.dumps(state)}], columns=names)
+            yield to_batch([{**last, "__state": pickle.dumps(state)}])
 
-    return sorted_rows.mapInPandas(run, schema)
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def fold_history(

@@ -280,3 +280,31 @@ def test_periods_wait_until_closed(spark, tmp_path):
     assert got == key(periods.closed_periods(df, "ts", ["k"], total)) == [(dt.datetime(2024, 1, 1), 1.0), (dt.datetime(2024, 1, 2), 2.0)]
     with pytest.raises(ValueError):
         periods.period_aggregate(df, "ts", ["k"], total, "hourly")
+
+
+def test_integers_beside_nulls_stay_integers(spark):
+    big = 9007199254740993
+    rows = [("a", "data", 0, 1, 2, big, float("nan")), ("a", "data", 0, 2, 3, None, None), ("a", "data", 0, 3, 4, 5, 1.0)]
+    df = spark.createDataFrame(
+        rows, "full_name string, attribute_name string, clone_num int, tr_start int, tr_end int, x long, y double"
+    ).coalesce(1)
+
+    def kinds(clone_num, time_range, x, y):
+        return f"{type(x).__name__} {x} {y}"
+
+    got = [r.value for r in run.map_cells(df, kinds, T.StringType(), ["x", "y"]).orderBy("tr_start").collect()]
+    assert got == [f"int {big} nan", "NoneType None None", "int 5 1.0"]
+    same = run.map_cells(df.drop("y"), lambda clone_num, time_range, x: x, T.LongType(), ["x"]).orderBy("tr_start").collect()
+    assert [(r.value, r.failed) for r in same] == [(big, False), (None, False), (5, False)]
+    folded = run.fold_history(
+        df.drop("y"), lambda s, r: (s + 1, r["x"]), lambda: 0, T.LongType(), ["full_name"], ["tr_start"]
+    ).orderBy("tr_start").collect()
+    assert [(r.x, r.value) for r in folded] == [(big, big), (None, None), (5, 5)]
+
+    def pieces(clone_num, time_range, x):
+        yield x
+        if x is None:
+            raise ValueError("no x")
+
+    out = run.map_chunks(df.drop("y"), pieces, T.LongType(), ["x"], ["full_name", "tr_start"]).orderBy("tr_start", "chunk_num").collect()
+    assert [(r.value, r.failed) for r in out] == [(big, False), (None, False), (None, True), (5, False)]
