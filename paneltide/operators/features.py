@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
@@ -192,12 +192,14 @@ def forecast(
     value: str = "value",
     predictor: Callable[[list[float]], float] | None = None,
 ) -> DataFrame:
-    """The next value of every series from its last ``window_size`` values.
+    """``prediction`` of the next value of every series from its last ``window_size`` values, and its ``method``.
 
     ``panel`` comes from ``lag_panel`` with one value more than ``window_size``.  By
-    default one linear regression is fitted on all lag rows (distributed; features are
-    the lags).  A ``predictor`` gets one history per series, in Arrow batches.  Series
-    shorter than the window predict their last value.
+    default one linear regression is fitted on all lag rows without NULLs (distributed;
+    features are the lags): method ``regression``.  Series that are shorter than the window
+    or have a NULL in it, and all if no row can be learned from, repeat their last value
+    that is not NULL: method ``last``.  A ``predictor`` gets one history per series as a
+    list, NULLs as None, in Arrow batches: method ``predictor``.
     """
     if panel.isEmpty():
         raise ValueError("Cannot make prediction when there is no data")
@@ -205,26 +207,36 @@ def forecast(
     recent = F.slice(F.col("__l.history"), F.greatest(F.size("__l.history") - window_size + 1, F.lit(1)), window_size)
     query = last.select(*keys, recent.alias("history"))
     if predictor is not None:
-        schema = T.StructType([f for f in query.schema if f.name in keys] + [T.StructField("prediction", T.DoubleType())])
+        schema = T.StructType([query.schema[k] for k in keys] + [T.StructField("prediction", T.DoubleType())])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[keys].assign(prediction=[float(predictor(list(h))) for h in pdf["history"]])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [float(predictor(h)) for h in batch.column("history").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(made, pa.float64())], [*keys, "prediction"])
 
-        return query.mapInPandas(run, schema)
+        return query.mapInArrow(run, schema).withColumn("method", F.lit("predictor"))
 
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
 
-    train = panel.where(F.size("history") > window_size).select(
-        array_to_vector(F.slice("history", 1, window_size).cast("array<double>")).alias("features"),
-        F.col(value).cast("double").alias("label"),
-    ).where(F.col("label").isNotNull())
-    full = query.where(F.size("history") == window_size).withColumn(
-        "features", array_to_vector(F.col("history").cast("array<double>"))
+    def whole(lags: Column) -> Column:
+        return (F.size(lags) == window_size) & F.forall(lags, lambda v: v.isNotNull())
+
+    def vector(lags: Column) -> Column:
+        # The condition is repeated, as Spark may compute the vector before it filters.
+        return F.when(whole(lags), array_to_vector(F.when(whole(lags), lags.cast("array<double>")).otherwise(F.array(F.lit(0.0)))))
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        known = F.filter("history", lambda v: v.isNotNull())
+        return rows.select(*keys, F.get(known, F.size(known) - 1).cast("double").alias("prediction"), F.lit("last").alias("method"))
+
+    lags = F.slice("history", 1, window_size)
+    train = panel.where((F.size("history") > window_size) & whole(lags) & F.col(value).isNotNull()).select(
+        vector(lags).alias("features"), F.col(value).cast("double").alias("label")
     )
-    short = query.where(F.size("history") < window_size).select(*keys, F.element_at("history", -1).cast("double").alias("prediction"))
     if train.isEmpty():
-        return query.select(*keys, F.element_at("history", -1).cast("double").alias("prediction"))
+        return repeated(query)
     model = LinearRegression(regParam=1e-6).fit(train)
-    return model.transform(full).select(*keys, "prediction").unionByName(short)
+    full = query.where(whole(F.col("history"))).withColumn("features", vector(F.col("history")))
+    fitted = model.transform(full).select(*keys, "prediction", F.lit("regression").alias("method"))
+    return fitted.unionByName(repeated(query.where(~whole(F.col("history")))))

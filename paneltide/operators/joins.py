@@ -118,13 +118,18 @@ def within_range(
 
     With one range per key (an attribute's valid range) this is an equi-join and a
     filter.  With many, give ``bucket_seconds``: ranges are listed under every time
-    bucket they cover and rows meet only the ranges of the bucket they start in.
+    bucket they cover and rows meet only the ranges of the bucket they start in.  Ranges
+    are clipped to the buckets of ``left``, so an open one is listed no further than those.
     """
     on = list(keys)
     if bucket_seconds is not None:
         bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (bucket_seconds * 1_000_000))
-        ranges = ranges.where(F.col(lo) <= F.col(hi)).select("*", F.explode(F.sequence(bucket(lo), bucket(hi))).alias("__bucket"))
         left = left.withColumn("__bucket", bucket("tr_start"))
+        first, last = (left.agg(f("__bucket")).scalar() for f in (F.min, F.max))
+        clipped = ranges.withColumns({"__from": F.greatest(bucket(lo), first), "__to": F.least(bucket(hi), last)})
+        # Without rows on the left the bounds are NULL, and no range is listed.
+        kept = clipped.where((F.col(lo) <= F.col(hi)) & (F.col("__from") <= F.col("__to")) & first.isNotNull())
+        ranges = kept.withColumn("__bucket", F.explode(F.sequence("__from", "__to"))).drop("__from", "__to")
         on.append("__bucket")
     joined = left.join(ranges, on).where((F.col("tr_start") >= F.col(lo)) & (F.col("tr_end") <= F.col(hi)))
     return joined.drop("__bucket")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from paneltide.functions.binding import let
-from paneltide.functions.files import extension, guess_file_type
+from paneltide.functions.files import extension, image_header
 from paneltide.functions.text import split_lines, strip
 from paneltide.sources.files import read_files
 
@@ -138,12 +138,15 @@ def profile_image(spark: SparkSession, path: str) -> DataFrame:
     """Width, height, channels and format of the images below a path."""
     images = spark.read.format("image").load(path).select("image.*")
     names = F.when(F.col("nChannels") == 1, "L").when(F.col("nChannels") == 3, "RGB").when(F.col("nChannels") == 4, "RGBA")
-    kinds = read_files(spark, path).select(
-        F.substring_index("path", "/", -1).alias("file_name"), guess_file_type(F.col("content")).alias("kind")
-    )
-    sized = images.select(F.substring_index("origin", "/", -1).alias("file_name"), "width", "height", names.alias("mode"))
-    upper = F.when(F.col("kind") == "jpg", "JPEG").otherwise(F.upper("kind"))
-    return sized.join(kinds, "file_name").select("file_name", upper.alias("format"), "mode", "width", "height")
+
+    def place(c: str) -> Column:
+        # The two readers write a local path with one or three slashes.
+        return F.regexp_replace(c, "^file:/+", "file:/").alias("path")
+
+    kinds = read_files(spark, path).select(place("path"), image_header(F.col("content"))["format"].alias("format"))
+    sized = images.select(place("origin"), "width", "height", names.alias("mode"))
+    name = F.substring_index("path", "/", -1).alias("file_name")
+    return sized.join(kinds, "path").select(name, "path", "format", "mode", "width", "height")
 
 
 def _delimited(text: Column, separator: str) -> Column:
@@ -214,7 +217,7 @@ def profile_files(files: DataFrame) -> DataFrame:
             "__lines": F.when(plain & readable, profile_text(text)),
             "__json": F.when(js & readable, profile_json(text)),
             "__xml": F.when(xml & readable, profile_xml(text)),
-            "__format": F.when(image, F.upper(guess_file_type(F.col("content")))),
+            "__image": F.when(image, image_header(F.col("content"))),
         }
     )
     error = (
@@ -222,6 +225,7 @@ def profile_files(files: DataFrame) -> DataFrame:
         .when(js, F.col("__json.error"))
         .when(xml, F.col("__xml.error"))
         .when((csv | tsv) & F.col("__table").isNull(), F.lit("Failed to process file: no columns to parse"))
+        .when(image & F.col("__image").isNull(), F.lit("Failed to process file: cannot identify image"))
     )
     kind = F.when(plain, F.lit("text")).when(image, F.lit("image")).otherwise(ext)
     supported = csv | tsv | plain | js | xml | image
@@ -233,7 +237,7 @@ def profile_files(files: DataFrame) -> DataFrame:
         "__json.item_count", "__json.sample",
         "__lines.line_count", "__lines.preview",
         "__xml.root_tag", "__xml.num_elements", "__xml.sample_tags",
-        F.col("__format").alias("format"),
+        "__image.format", "__image.mode", "__image.width", "__image.height",
         F.when(~supported, F.lit(UNSUPPORTED)).alias("note"),
         "error",
     )

@@ -101,7 +101,7 @@ def forecast(t):
     f"""WITH {p.ORDER_LATEST}, m AS (
       SELECT full_name, tr_start, sum(CAST(value AS DECIMAL(18, 2))) AS value FROM order_latest GROUP BY full_name, tr_start),
     r AS (SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY tr_start DESC) AS rn FROM m)
-    SELECT full_name, CAST(max(value) AS DOUBLE) AS prediction FROM r WHERE rn <= 3 GROUP BY full_name""",
+    SELECT full_name, CAST(max(value) AS DOUBLE) AS prediction, 'predictor' AS method FROM r WHERE rn <= 3 GROUP BY full_name""",
 )
 def forecast_predictor(t):
     """The same with a caller's predictor: the largest of the last three."""

@@ -148,6 +148,28 @@ def within_range(t):
     return joins.within_range(blocks, ranges, ["full_name"]).select("full_name", "order_id", "tr_start", "tr_end")
 
 
+@query(
+    "within_ranges_open",
+    f"""WITH {p.ORDER_BLOCKS}, r AS (
+      SELECT DISTINCT full_name, tr_start AS lo, tr_start + INTERVAL 200 DAY AS hi FROM order_blocks WHERE month(tr_start) = 3
+      UNION ALL SELECT DISTINCT full_name, TIMESTAMP '0001-01-01', TIMESTAMP '9999-12-31' FROM order_blocks WHERE clone_num = 1)
+    SELECT full_name, order_id, tr_start, tr_end, CAST(lo AS VARCHAR) AS lo FROM order_blocks JOIN r USING (full_name)
+    WHERE tr_start >= lo AND tr_end <= hi""",
+)
+def within_ranges_open(t):
+    """Several ranges per key, one of them open at both ends, met in buckets of 30 days."""
+    blocks = p.order_blocks(t)
+    spring = blocks.where(F.month("tr_start") == 3).select(
+        "full_name", F.col("tr_start").alias("lo"), (F.col("tr_start") + F.expr("INTERVAL 200 DAYS")).alias("hi")
+    )
+    always = blocks.where("clone_num = 1").select(
+        "full_name", F.lit("0001-01-01").cast("timestamp").alias("lo"), F.lit("9999-12-31").cast("timestamp").alias("hi")
+    )
+    ranges = spring.distinct().unionByName(always.distinct())
+    out = joins.within_range(blocks, ranges, ["full_name"], bucket_seconds=30 * 86_400)
+    return out.select("full_name", "order_id", "tr_start", "tr_end", F.date_format("lo", "yyyy-MM-dd HH:mm:ss").alias("lo"))
+
+
 @query(
     "needed_inputs",
     f"""WITH {p.ORDER_BLOCKS}
@@ -239,6 +261,45 @@ def run_report(t):
     )
 
 
+def _kind_sql(kind: str, log: str) -> str:
+    """Lines of one log, numbered per name."""
+    return f"""{kind}_o AS (
+      SELECT b.full_name, b.clone_num, b.tr_start, b.event_id, trim({log}) AS log
+      FROM event_blocks b JOIN events e USING (event_id)),
+    {kind}_ends AS (
+      SELECT full_name, clone_num, tr_start, min(event_id) FILTER (log <> '') AS a, max(event_id) FILTER (log <> '') AS z
+      FROM {kind}_o GROUP BY full_name, clone_num, tr_start),
+    {kind}_lines AS (
+      SELECT full_name, CASE WHEN event_id = a THEN 'While running ' || tr_start::VARCHAR || ', ' || clone_num || ':' || chr(10)
+                        ELSE '' END || log AS line,
+             row_number() OVER (PARTITION BY full_name ORDER BY tr_start, clone_num, event_id) AS rn
+      FROM {kind}_o JOIN {kind}_ends USING (full_name, clone_num, tr_start) WHERE event_id BETWEEN a AND z),
+    {kind}_text AS (
+      SELECT full_name, CAST((rn - 1) // 200 AS BIGINT) AS segment, string_agg(line, chr(10) ORDER BY rn) AS {kind}
+      FROM {kind}_lines GROUP BY full_name, (rn - 1) // 200)"""
+
+
+@query(
+    "run_report_logs",
+    f"""WITH {p.EVENT_BLOCKS}, {_kind_sql("stdout", "CASE WHEN b.value > 100 THEN '' ELSE e.props END")},
+    {_kind_sql("stderr", "CASE WHEN b.value > 20 THEN '' ELSE 'low ' || b.event_id END")}
+    SELECT full_name, segment, full_name = 'error' AS failed, coalesce(stdout, '') AS stdout, coalesce(stderr, '') AS stderr
+    FROM stdout_text FULL JOIN stderr_text USING (full_name, segment)""",
+)
+def run_report_logs(t):
+    """Two logs in one pass, each in segments of its own."""
+    outputs = p.event_blocks(t).join(t.events.select("event_id", "props"), "event_id").select(
+        "full_name", "clone_num", "tr_start", "event_id", (F.col("full_name") == "error").alias("failed"),
+        F.when(F.col("value") > 100, F.lit("")).otherwise(F.col("props")).alias("stdout"),
+        F.when(F.col("value") > 20, F.lit("")).otherwise(F.concat(F.lit("low "), F.col("event_id").cast("string"))).alias("stderr"),
+    )
+    out = reports.run_report(
+        outputs, ["full_name"], ["tr_start", "clone_num"], "event_id", F.lit("2024-06-01").cast("timestamp"),
+        logs=("stdout", "stderr"), lines_per_segment=200,
+    )
+    return out.drop("version")
+
+
 @query(
     "failed_attributes",
     """SELECT 'u' || user_id AS full_name, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS failed_attributes

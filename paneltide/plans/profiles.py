@@ -199,3 +199,34 @@ def profile_files(t):
     out = profile.profile_files(rows)
     counts = [F.col(c).cast("double").alias(c) for c in ("line_count", "item_count", "num_rows", "num_columns")]
     return out.select("file_name", "file_type", *counts, "error")
+
+
+@query(
+    "profile_image_headers",
+    """SELECT o_orderkey || '.' || kind AS file_name, 'image' AS file_type, format, mode,
+           o_custkey % 60000 + 1 AS width, o_orderkey % 60000 + 1 AS height
+    FROM orders CROSS JOIN (VALUES ('png', 'PNG', 'RGBA'), ('gif', 'GIF', 'P'), ('bmp', 'BMP', 'RGB'), ('jpg', 'JPEG', 'L'))
+         AS k(kind, format, mode)""",
+)
+def profile_image_headers(t):
+    """Image headers whose sizes come from orders; the JPEG has two segments before its frame."""
+    sides = {"w": F.col("o_custkey") % 60000 + 1, "h": F.col("o_orderkey") % 60000 + 1}
+    big = {n: F.lpad(F.hex(c), 8, "0") for n, c in sides.items()}
+    small = {n: F.concat(*[F.substring(c, at, 2) for at in (7, 5, 3, 1)]) for n, c in big.items()}
+    last = {n: F.substring(c, 5, 4) for n, c in big.items()}
+    texts = {
+        "png": ["89504E470D0A1A0A0000000D49484452", big["w"], big["h"], "0806000000"],
+        "gif": ["474946383961", F.substring(small["w"], 1, 4), F.substring(small["h"], 1, 4), "F70000"],
+        "bmp": ["424D", "00" * 12, "28000000", small["w"], small["h"], "01001800"],
+        "jpg": ["FFD8", "FFE00010" + "00" * 14, "FFDB0043" + "01" * 65, "FFC0000B08", last["h"], last["w"], "01011100"],
+    }
+
+    def content(parts):
+        return F.unhex(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+
+    made = [
+        F.struct(F.concat(F.col("o_orderkey").cast("string"), F.lit("." + kind)).alias("path"), content(parts).alias("content"))
+        for kind, parts in texts.items()
+    ]
+    out = profile.profile_files(t.orders.select(F.inline(F.array(*made))))
+    return out.select("file_name", "file_type", "format", "mode", "width", "height")

@@ -70,12 +70,15 @@ def latest_stream(t):
     return current.select("full_name", "clone_num", "tr_start", "tr_end", "version", "value", "order_id")
 
 
-_CLOSED = """SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS tr_start,
-      CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS tr_end, count(*) AS n,
+def _closed_sql(unit: str, length: str) -> str:
+    start = f"CAST(date_trunc('{unit}', ts) AS TIMESTAMP)"
+    return f"""SELECT event_type, {start} AS tr_start, {start} + INTERVAL {length} AS tr_end, count(*) AS n,
       CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total
-    FROM events GROUP BY event_type, date_trunc('day', ts)
-    HAVING CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY <=
-           (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)"""
+    FROM events GROUP BY event_type, date_trunc('{unit}', ts)
+    HAVING {start} + INTERVAL {length} <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)"""
+
+
+_CLOSED = _closed_sql("day", "1 DAY")
 
 
 def _daily():
@@ -94,3 +97,36 @@ def period_agg_stream(t):
 def period_agg_batch(t):
     out = periods.closed_periods(t.events, "ts", ["event_type"], _daily())
     return out.select("event_type", "tr_start", "tr_end", "n", "total")
+
+
+@query("period_agg_weekly", _closed_sql("week", "7 DAY"))
+def period_agg_weekly(t):
+    out = periods.closed_periods(t.events, "ts", ["event_type"], _daily(), period="weekly")
+    return out.select("event_type", "tr_start", "tr_end", "n", "total")
+
+
+def _calendar(period: str, unit: str) -> None:
+    start = f"CAST(date_trunc('{unit}', o_orderdate) AS TIMESTAMP)"
+    sql = f"""SELECT o_orderpriority, {start} AS tr_start, {start} + INTERVAL 1 {unit} AS tr_end, count(*) AS n,
+      CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
+    FROM orders GROUP BY o_orderpriority, date_trunc('{unit}', o_orderdate)
+    HAVING {start} + INTERVAL 1 {unit} <= (SELECT CAST(max(o_orderdate) AS TIMESTAMP) - INTERVAL 1 DAY FROM orders)"""
+
+    @query(f"period_agg_{period}", sql)
+    def closed(t):
+        total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")
+        out = periods.closed_periods(t.orders, "o_orderdate", ["o_orderpriority"], [F.count("*").alias("n"), total], period=period)
+        return out.select("o_orderpriority", "tr_start", "tr_end", "n", "total")
+
+
+# Events span less than a month, so calendar periods are those of orders.
+_calendar("monthly", "month")
+_calendar("yearly", "year")
+
+
+@query("period_agg_stream_weekly", _closed_sql("week", "7 DAY"))
+def period_agg_stream_weekly(t):
+    out, checkpoint = runner.scratch(t.spark, "weeks")
+    stream = periods.period_aggregate(_Streamed(t).events, "ts", ["event_type"], _daily(), "weekly")
+    runner.append_to(stream, out, checkpoint)
+    return t.spark.read.parquet(out).select("event_type", "tr_start", "tr_end", "n", "total")

@@ -15,16 +15,19 @@ def read_files(spark: SparkSession, path: str | list[str], pattern: str | None =
 
 
 def read_by_type(
-    spark: SparkSession, path: str | list[str], kind: str, schema: T.StructType | str | None = None, row_tag: str = "row"
+    spark: SparkSession, path: str | list[str], kind: str, schema: T.StructType | str | None = None, row_tag: str = "row",
+    multi_line: bool = False,
 ) -> DataFrame:
     """Parse csv, tsv, json, text, xml or image files.
 
-    With a ``schema`` the files are read once; without one Spark first infers it.
+    With a ``schema`` the files are read once; without one Spark first infers it.  A large
+    csv or tsv file is read by many tasks; only if quoted fields may hold line ends give
+    ``multi_line``, which makes every file one task.
     """
     kind = kind.lower()
     if kind in ("csv", "tsv"):
         reader = spark.read.option("header", "true").option("sep", "," if kind == "csv" else "\t")
-        reader = reader.option("multiLine", "true").option("escape", '"')
+        reader = reader.option("multiLine", str(multi_line).lower()).option("escape", '"')
         return (reader.schema(schema) if schema else reader.option("inferSchema", "true")).csv(path)
     if kind in ("json", "jsonl"):
         reader = spark.read.option("multiLine", str(kind == "json").lower())

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Window lengths by period name; windows of weeks start on Mondays.
 PERIODS = {"daily": ("1 day", None), "weekly": ("7 days", "4 days")}
+# Calendar units of the batch twin, and their lengths as intervals.
+UNITS = {"daily": ("day", "INTERVAL 1 DAY"), "weekly": ("week", "INTERVAL 7 DAYS"), "monthly": ("month", "INTERVAL 1 MONTH"), "yearly": ("year", "INTERVAL 1 YEAR")}
 
 
 def period_aggregate(
@@ -28,10 +30,18 @@ def period_aggregate(
     )
 
 
-def closed_periods(batch: DataFrame, time: str, keys: list[str], aggregates: list[Column], late_seconds: int = 86_400) -> DataFrame:
-    """Batch twin: daily aggregates, without periods the final watermark leaves open."""
-    start = F.date_trunc("day", F.col(time).cast("timestamp"))
-    end = F.timestamp_micros(F.unix_micros(start) + 86_400_000_000)
+def closed_periods(
+    batch: DataFrame, time: str, keys: list[str], aggregates: list[Column], late_seconds: int = 86_400, period: str = "daily"
+) -> DataFrame:
+    """Batch twin: aggregates per period, without those the final watermark leaves open.
+
+    Weeks start on Mondays; months and years are those of the calendar, in UTC.
+    """
+    if period not in UNITS:
+        raise ValueError(f"period must be one of: {', '.join(UNITS)}")
+    unit, length = UNITS[period]
+    start = F.date_trunc(unit, F.col(time).cast("timestamp"))
+    end = start + F.expr(length)
     grouped = batch.groupBy(*keys, start.alias("tr_start"), end.alias("tr_end")).agg(*aggregates)
     newest = batch.agg(F.max(F.unix_micros(F.col(time).cast("timestamp"))).alias("m"))
     watermark = newest.select(F.floor(F.col("m") / 1000) * 1000 - late_seconds * 1_000_000).scalar()

@@ -235,9 +235,12 @@ def test_within_many_ranges(spark):
     spans = [(i, "ab"[i % 2], rng.randrange(50), rng.randrange(1, 30)) for i in range(30)]
     left = spark.createDataFrame([(i, k, day(s), day(s + n)) for i, k, s, n in rows], "i int, k string, tr_start timestamp, tr_end timestamp")
     right = spark.createDataFrame([(j, k, day(s), day(s + n)) for j, k, s, n in spans], "j int, k string, lo timestamp, hi timestamp")
+    open_ = spark.createDataFrame([(99, "a", "0001-01-01", "9999-12-31")], "j int, k string, lo string, hi string")
+    right = right.unionByName(open_.withColumns({c: F.col(c).cast("timestamp") for c in ("lo", "hi")}))
     want = {(i, j) for i, k, s, n in rows for j, k2, s2, n2 in spans if k == k2 and s >= s2 and s + n <= s2 + n2}
+    want |= {(i, 99) for i, k, _, _ in rows if k == "a"}
     for width in (None, 86_400 * 3):
-        out = [(r.i, r.j) for r in joins.within_range(left, right, ["k"], bucket_seconds=width).collect()]
+        out = [(r.i, r.j) for r in joins.within_range(left, right, ["k"], bucket_seconds=width).select("i", "j").collect()]
         assert len(out) == len(set(out)) and set(out) == want
 
 

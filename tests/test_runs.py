@@ -96,6 +96,23 @@ def test_report_keeps_inner_blank_entries(spark):
     assert "\n".join(r.combined_output for r in cut) == out["a", 0].combined_output and len(cut) == 2
 
 
+def test_report_carries_all_logs(spark):
+    rows = [("a", 1, 1, False, "x", ""), ("a", 1, 2, False, None, "e"), ("b", 1, 3, True, "", " f ")]
+    df = spark.createDataFrame(rows, "doc string, ctx int, seq int, failed boolean, stdout string, stderr string")
+    out = {r.doc: r for r in reports.run_report(df, ["doc"], ["ctx"], "seq", F.lit("v1"), logs=("stdout", "stderr")).collect()}
+    assert (out["a"].stdout, out["a"].stderr) == ("While running 1:\nx", "While running 1:\ne")
+    assert (out["b"].stdout, out["b"].stderr, out["b"].failed) == ("", "While running 1:\nf", True)
+
+
+def test_forecast_with_null_lags(spark):
+    rows = [(k, i, None if (k, i) in ((1, 3), (2, 9)) else float(k + i)) for k in range(6) for i in range(10)]
+    panel = features.lag_panel(spark.createDataFrame(rows, "k int, i int, v double"), ["k"], "i", "v", window_size=4)
+    out = {r.k: (r.prediction, r.method) for r in features.forecast(panel, ["k"], 3, value="v").collect()}
+    assert out[2] == (10.0, "last") and out[1][1] == "regression" and abs(out[1][0] - 11) < 0.01
+    named = {r.k: r for r in features.forecast(panel, ["k"], 3, value="v", predictor=lambda h: h.count(None)).collect()}
+    assert named[2].prediction == 1.0 and named[1].prediction == 0.0
+
+
 def test_tree_layout(spark):
     edges = [("root", "child1", 0), ("root", "child2", 1), ("child1", "grandchild1", 2), ("child1", "grandchild2", 3)]
     df = spark.createDataFrame(edges, "parent string, child string, ord int")
@@ -217,6 +234,26 @@ def test_file_profiles(spark, tmp_path):
     assert rows["i.png"].format == "PNG" and rows["q.zzz"].note.startswith("Unsupported")
     image = profile.profile_image(spark, str(tmp_path / "i.png")).first()
     assert (image.format, image.mode, image.width, image.height) == ("PNG", "RGB", 3, 2)
+    assert (rows["i.png"].mode, rows["i.png"].width, rows["i.png"].height) == ("RGB", 3, 2)
+
+
+def test_images_of_one_name_in_two_folders(spark, tmp_path):
+    for name, width in (("a", 3), ("b", 5)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "p.png").write_bytes(png(width, 2))
+    out = profile.profile_image(spark, str(tmp_path / "*")).collect()
+    assert sorted((r.path.split("/")[-2], r.width) for r in out) == [("a", 3), ("b", 5)]
+
+
+def test_image_headers(spark):
+    down = b"BM" + bytes(12) + struct.pack("<IiiHH", 40, 7, -9, 1, 24)
+    padded = b"\xff\xd8\xff\xe1\x00\x04ab\xff\xff\xc2\x00\x11\x08\x00\x05\x01\x00\x03"
+    rows = [("down.bmp", down), ("padded.jpg", padded), ("cut.png", b"\x89PNG\r\n\x1a\n"), ("cut.jpg", b"\xff\xd8\xff"), ("none.gif", b"text"), ("empty.gif", b""), ("null.gif", None)]
+    out = {r.file_name: r for r in profile.profile_files(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    got = {n: (r.format, r.mode, r.width, r.height) for n, r in out.items()}
+    assert got["down.bmp"] == ("BMP", "RGB", 7, 9) and got["padded.jpg"] == ("JPEG", "RGB", 256, 5)
+    assert got["cut.png"] == ("PNG", None, None, None) and got["cut.jpg"] == ("JPEG", None, None, None)
+    assert all(out[n].error for n in ("none.gif", "empty.gif", "null.gif"))
 
 
 def test_read_by_type(spark, tmp_path):
@@ -280,6 +317,10 @@ def test_periods_wait_until_closed(spark, tmp_path):
     assert got == key(periods.closed_periods(df, "ts", ["k"], total)) == [(dt.datetime(2024, 1, 1), 1.0), (dt.datetime(2024, 1, 2), 2.0)]
     with pytest.raises(ValueError):
         periods.period_aggregate(df, "ts", ["k"], total, "hourly")
+    later = df.union(spark.createDataFrame([(dt.datetime(2025, 2, 3), "x", 4.0)], df.schema))
+    assert key(periods.closed_periods(later, "ts", ["k"], total, period="monthly")) == [(dt.datetime(2024, 1, 1), 6.0)]
+    assert key(periods.closed_periods(later, "ts", ["k"], total, period="yearly")) == [(dt.datetime(2024, 1, 1), 6.0)]
+    assert key(periods.closed_periods(later, "ts", ["k"], total, period="weekly")) == [(dt.datetime(2024, 1, 1), 6.0)]
 
 
 def test_integers_beside_nulls_stay_integers(spark):
