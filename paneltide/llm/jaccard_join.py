@@ -14,7 +14,8 @@ Equal sets are one point.  Two levels of pivots divide the space:
   common pivots in their windows allow.  A larger one is joined recursively by document pivots: all members are
   measured against a pivot; those in its ball are connected through it, and only members
   that are not yet connected, and whose distances to the region's first pivot differ by no
-  more than the join distance (triangle inequality), go on to the next pivots.
+  more than the join distance (triangle inequality), go on to the next pivots.  Before a
+  pair with these is measured, bit parities of both sets bound their distance from below.
 
 Components need no pair inside a ball, so a group of near copies costs its size, not its
 square.  All measured distances are exact set intersections; nothing is left out.
@@ -42,6 +43,8 @@ FEW = 32
 TABLE_BITS = 22
 #: Growth of the number of pivots of a region from one round to the next.
 MORE_PIVOTS = 64
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 8
 
 
 def _window(n: int, percent: int) -> int:
@@ -78,17 +81,28 @@ def _sign(own: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
 
 
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of ``64 * SKETCH_WORDS`` buckets, as 64-bit words.
+
+    Bits that differ between two sets come from different shingles that only one of them
+    has, so their number is at most the size of the symmetric difference.
+    """
+    bits = np.bincount((own & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _windows(percent: int, table: bytes | None):
-    """Arrow function over (id, text hash, text): size, signature, window keys and where the window ends."""
+    """Arrow function over (id, text hash, text): size, signature, sketch, window keys and where the window ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if table is None else _bits(table)
         for batch in batches:
-            sizes, signs, keys, last = [], [], [], []
+            sizes, signs, sketches, keys, last = [], [], [], [], []
             for own in shingle_sets(batch.column(2).to_pylist()):
                 n = len(own)
                 sizes.append(n)
                 signs.append(_sign(own))
+                sketches.append(_sketch(own))
                 late = False
                 if n:
                     if bits is not None:
@@ -101,9 +115,9 @@ def _windows(percent: int, table: bytes | None):
                 # The order as one number (two hash bits are lost; equal numbers decide nothing).
                 last.append((int(own[-1]) >> 2) + (late << 62) if n else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), _lists(keys),
-                 pa.array(last, pa.int64())],
-                ["doc_id", "text_hash", "n", "sign", "keys", "last"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), _lists(sketches),
+                 _lists(keys), pa.array(last, pa.int64())],
+                ["doc_id", "text_hash", "n", "sign", "sketch", "keys", "last"],
             )
 
     return run
@@ -144,6 +158,13 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return F.least(na - pa_, nb - pb) >= _needed(na, nb, percent)
 
 
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Do the sketches of two members leave room for a link?"""
+    differ = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return differ <= both - 2 * _needed(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
+
+
 class JaccardJoin:
     """State of one join: points (distinct sets), and where their texts are."""
 
@@ -153,7 +174,7 @@ class JaccardJoin:
         self.rows = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("text"))
         self.hashed = self.rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
         kind = docs.schema[id_col].dataType.simpleString()
-        schema = f"doc_id {kind}, text_hash long, n long, sign binary, keys array<long>, last long"
+        schema = f"doc_id {kind}, text_hash long, n long, sign binary, sketch array<long>, keys array<long>, last long"
         plain = self.hashed.mapInArrow(_windows(percent, None), schema)
         table = frequent_table(plain, few)
         windows = self.hashed.mapInArrow(_windows(percent, table), schema)
@@ -161,12 +182,12 @@ class JaccardJoin:
         self.documents = cut_lineage(plain.select("doc_id", "text_hash", "n", "sign"))
         points = windows.where("n > 0").groupBy("sign").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"),
-            F.any_value("n").alias("n"), F.any_value("last").alias("last"), F.any_value("keys").alias("keys"),
+            *[F.any_value(c).alias(c) for c in ("n", "last", "sketch", "keys")],
         )
         #: One row per distinct set; ``node`` is its number, fixed by the checkpoint.
         self.points = cut_lineage(
             points.select(
-                F.monotonically_increasing_id().alias("node"), "sign", "first.doc_id", "first.text_hash", "n", "last", "keys"
+                F.monotonically_increasing_id().alias("node"), "sign", "first.doc_id", "first.text_hash", "n", "last", "sketch", "keys"
             )
         )
 
@@ -231,7 +252,7 @@ class JaccardJoin:
         """``node, label`` of all points that link with another; equal labels are connected."""
         regions = self.regions()
         pairs = self.small_pairs(regions)
-        large = regions.where(F.col("c") > self.few).withColumns(
+        large = regions.where(F.col("c") > self.few).join(self.points.select("node", "sketch"), "node").withColumns(
             {"first": F.lit(None).cast("long"), "d": F.lit(None).cast("double")}
         )
         links: DataFrame | None = None
@@ -266,10 +287,13 @@ class JaccardJoin:
             (F.col("p.key") == F.col("m.key")) & (F.col("p.node") < F.col("m.node")) & (F.col("p.group") != F.col("m.group"))
             & near & _may_link("p", "m", self.percent)
         )
+        if pivots > 1:
+            # The distances to the first pivot are all measured: later rounds divide by them.
+            allowed = allowed & _alike("p", "m", self.percent)
         pairs = p.join(m, allowed).select(F.col("p.node").alias("a"), F.col("m.node").alias("b"))
         left = members.join(last, "key").where(F.col("node") > F.col("last"))
         first = F.coalesce("first", "pivot").alias("first")
-        return pairs, left.select("key", "node", "n", "at", "c", first, "d")
+        return pairs, left.select("key", "node", "n", "at", "c", "sketch", first, "d")
 
     def _with_distance(self, large: DataFrame, measured: DataFrame) -> DataFrame:
         """Members with their distance to the region's first pivot, once it was measured."""

@@ -86,6 +86,16 @@ def test_jaccard_components(docs, few):
     assert sorted(got, key=repr) == sorted(jaccard_brute(rows), key=repr)
 
 
+def test_sketch_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 40, 700, 5000):
+        pool = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for part in (0.0, 0.1, 0.5, 1.0):
+            a, b = (set(pool[rng.random(size) >= part / 2].tolist()) for _ in range(2))
+            sketches = [jaccard_join._sketch(np.array(sorted(x), dtype=np.uint64)) for x in (a, b)]
+            assert sum(int(x).bit_count() for x in (sketches[0] ^ sketches[1]).view(np.uint64)) <= len(a ^ b)
+
+
 def test_jaccard_large_group(spark):
     """A group of near copies larger than a small region, and texts sharing a common passage."""
     rng = random.Random(3)
