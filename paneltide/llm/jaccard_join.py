@@ -270,7 +270,7 @@ class JaccardJoin:
             asked = more if labels is not None else pairs.unionByName(more)
             measured = self.measure(cut_lineage(asked.distinct()))
             found = self.linked(measured)
-            links = found if links is None else cut_lineage(links.unionByName(found))
+            links = cut_lineage(thinned(found if links is None else links.unionByName(found)))
             labels = connect(links)
             large = self._with_distance(large, measured)
             pivots *= MORE_PIVOTS
@@ -303,13 +303,25 @@ class JaccardJoin:
         return joined.withColumn("d", F.coalesce("d", "measured_d")).drop("measured_d")
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """``a, b``: fewer links that connect the same nodes.
+
+    A node ``b`` that links with several ``a`` keeps the smallest; the others are linked
+    with that one instead, which many ``b`` have in common.
+    """
+    low = F.min("a").over(Window.partitionBy("b")).alias("low")
+    ends = links.select("a", "b", low)
+    kept = F.array(F.struct(F.col("low").alias("a"), "b"), F.struct(F.col("low").alias("a"), F.col("a").alias("b")))
+    return ends.select(F.inline(kept)).where("a < b").distinct()
+
+
 def connect(links: DataFrame) -> DataFrame:
-    """``node, label``: connected components, the label being the smallest node.
+    """``node, label``: connected components of a kept table of links, the label being the smallest node.
 
     Every round takes the smallest label among neighbours and then that label's own label,
     so chains halve; rounds end when nothing changes.
     """
-    edges = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    edges = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
     labels = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
