@@ -53,10 +53,17 @@ CLOSES_P = (BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "op
 #: An end tag does not reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
 
+# A quote opens a run only directly after "="; anywhere else it is an ordinary character and
+# the tag ends at the next ">", as in the HTML tokenizer.
+_WS = r"[ \t\n\r\f]"
+_VALUE = r"(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>\"'][^ \t\n\r\f>]*+))"
+_ATTRIBUTE = rf"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:{_WS}*+={_WS}*+{_VALUE}?+)?+"
+ATTRIBUTE = re.compile(_ATTRIBUTE)
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)"
+    rf"((?:[ \t\n\r\f/]++|{re.sub(r'(?<!\\)\((?!\?)', '(?:', _ATTRIBUTE)})*+)(?:>|\Z)",
+    re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -118,8 +125,8 @@ def build_tree(page: str) -> Node:
             place = end.start() if end else len(page)
             raw = page[at:place]
             node.children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
-            close = page.find(">", place)
-            at = len(page) if close < 0 else close + 1
+            close = TAG.match(page, place)
+            at = close.end() if close else len(page)
             continue
         stack.append(node)
 
