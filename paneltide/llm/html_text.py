@@ -1,7 +1,9 @@
 """Visible text of HTML pages with their layout (operator 6).
 
 A tree builder reads the tags (with the end tags that HTML implies and void elements) and
-visibility rules take out what a browser does not show.  The tree is then laid out: blocks
+visibility rules take out what a browser does not show: elements that are not rendered, the
+hidden attribute and CSS in style attributes.  Labels of SVG, MathML and the options that a
+list shows are text like any other; what SVG repeats by ``use`` is not.  The tree is then laid out: blocks
 are set apart by line breaks, paragraphs by blank lines, list items get their marks and
 indents, table cells are padded to columns.  All visible text is emitted.
 
@@ -23,7 +25,7 @@ from paneltide.llm.common import arrow_session
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe noembed noframes object audio video canvas svg math select datalist title "
+    "head script style template noscript iframe noembed noframes object audio video canvas datalist title "
     "meta link base param source track area".split()
 )
 BLOCK = frozenset(
@@ -34,6 +36,8 @@ BLOCK = frozenset(
 LISTS = frozenset("ul ol menu dir".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An end tag does not reach beyond these.
+SCOPE = frozenset("table td th caption html template".split())
 #: A start tag closes the first open element of these, unless a barrier comes first.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -48,10 +52,23 @@ IMPLIED = {
     "tbody": ({"caption", "colgroup", "thead", "tbody", "tfoot"}, {"table"}),
     "tfoot": ({"caption", "colgroup", "thead", "tbody", "tfoot"}, {"table"}),
     "body": ({"head"}, {"html"}),
+    "input": ({"select"}, SCOPE),
+    "textarea": ({"select"}, SCOPE),
 }
 CLOSES_P = (BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "html", "body", "legend"}) | {"li"}
-#: An end tag does not reach beyond these.
-SCOPE = frozenset("table td th caption html template".split())
+
+#: Start tags that leave SVG and MathML when they come in it, and the elements that hold HTML.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HTML_POINTS = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+#: What is not shown of SVG and MathML; of the children of some elements only the first is.
+FOREIGN_HIDDEN = {
+    "svg": frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter title desc metadata style script".split()),
+    "math": frozenset(["mphantom"]),
+}
+FIRST_SHOWN = {"svg": frozenset(["switch"]), "math": frozenset("semantics maction".split())}
 
 # A quote opens a run only directly after "="; anywhere else it is an ordinary character and
 # the tag ends at the next ">", as in the HTML tokenizer.
@@ -72,10 +89,12 @@ NESTED_TABLES = 8
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hidden")
+    __slots__ = ("tag", "attrs", "children", "hidden", "space", "labels")
 
-    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool):
+    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool, space: str = "", labels: bool = True):
         self.tag, self.attrs, self.hidden = tag, attrs, hidden
+        # The vocabulary ("" is HTML), and whether text directly inside is shown (in SVG only that of labels is).
+        self.space, self.labels = space, labels
         self.children: list[Node | str] = []
 
 
@@ -89,12 +108,44 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _hides(tag: str, attrs: dict[str, str]) -> bool:
     return (
-        tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+        tag in HIDDEN or "hidden" in attrs
         or bool(NOT_SHOWN.search(attrs.get("style", ""))) or tag == "dialog" and "open" not in attrs
         or tag == "input" and attrs.get("type", "").lower() == "hidden"
     )
 
 
+def _space(stack: list[Node], tag: str, attrs: dict[str, str]) -> str:
+    """The vocabulary of a start tag; one that belongs to HTML closes SVG and MathML first."""
+    top = stack[-1]
+    space = "" if top.tag in HTML_POINTS.get(top.space, ()) else top.space
+    if space and (tag in BREAKOUT or tag == "font" and not attrs.keys().isdisjoint(("color", "face", "size"))):
+        while stack[-1].space and stack[-1].tag not in HTML_POINTS[stack[-1].space]:
+            stack.pop()
+        space = ""
+    return space or (tag if tag in ("svg", "math") else "")
+
+
+def _foreign(parent: Node, tag: str, attrs: dict[str, str], space: str) -> Node:
+    """An element of SVG or MathML."""
+    hidden = tag in FOREIGN_HIDDEN[space] or bool(NOT_SHOWN.search(attrs.get("style", "")))
+    hidden = hidden or attrs.get("display", "").strip().lower() == "none" or attrs.get("visibility", "").strip().lower() in ("hidden", "collapse")
+    if parent.space == space and parent.tag in FIRST_SHOWN[space]:
+        # A branch for one language may not be taken; then the next is.
+        hidden = hidden or any(isinstance(c, Node) and "systemlanguage" not in c.attrs for c in parent.children)
+    labels = space == "math" or tag in ("text", "foreignobject") or parent.space == "svg" and parent.labels
+    return Node(tag, attrs, hidden, space, labels)
+
+
+def _self_closing(text: str) -> bool:
+    """Does the attribute text of a tag end in a "/" that is not part of a value?"""
+    if not text.endswith("/"):
+        return False
+    end = 0
+    for m in ATTRIBUTE.finditer(text):
+        end = m.end()
+    return end < len(text)
+
+
 def build_tree(page: str) -> Node:
     """The element tree of a page; text is unescaped, broken markup never fails."""
     root = Node("#root", {}, False)
@@ -103,11 +154,17 @@ def build_tree(page: str) -> Node:
     while True:
         m = TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text:
+        if text and stack[-1].labels:
             stack[-1].children.append(html.unescape(text))
         if not m:
             return root
         at = m.end()
+        if stack[-1].space and page.startswith("<![CDATA[", m.start()):
+            end = page.find("]]>", m.start())
+            at = len(page) if end < 0 else end + 3
+            if stack[-1].labels:
+                stack[-1].children.append(page[m.start() + 9 : end if end >= 0 else len(page)])
+            continue
         if m.group(2) is None:
             continue
         tag = m.group(2).lower()
@@ -115,6 +172,13 @@ def build_tree(page: str) -> Node:
             _close(stack, tag)
             continue
         attrs = _attributes(m.group(3)) if m.group(3).strip(" /") else {}
+        space = _space(stack, tag, attrs)
+        if space:
+            node = _foreign(stack[-1], tag, attrs, space)
+            stack[-1].children.append(node)
+            if not _self_closing(m.group(3)):
+                stack.append(node)
+            continue
         _imply(stack, tag)
         node = Node(tag, attrs, _hides(tag, attrs))
         stack[-1].children.append(node)
@@ -163,6 +227,48 @@ def _close(stack: list[Node], tag: str) -> None:
             return
 
 
+def _option_text(option: Node) -> str:
+    """The label of an option, or else its text."""
+    if option.attrs.get("label", "").strip():
+        return SPACES.sub(" ", option.attrs["label"]).strip()
+    parts: list[str] = []
+    todo: list[Node | str] = list(reversed(option.children))
+    while todo:
+        child = todo.pop()
+        if isinstance(child, str):
+            parts.append(child)
+        elif not child.hidden:
+            todo.extend(reversed(child.children))
+    return SPACES.sub(" ", "".join(parts)).strip()
+
+
+def _options(select: Node) -> tuple[list[str], bool]:
+    """What a list shows, and whether it is open: all options and group labels, else the chosen option."""
+    size = select.attrs.get("size", "").strip()
+    multiple = "multiple" in select.attrs
+    opened = multiple or size.isdecimal() and int(size[:9]) > 1
+    lines: list[str] = []
+    chosen = first = None
+    todo: list[tuple[Node | str, bool]] = [(c, False) for c in reversed(select.children)]
+    while todo:
+        child, disabled = todo.pop()
+        if isinstance(child, str) or opened and child.hidden:
+            continue
+        disabled = disabled or "disabled" in child.attrs
+        if child.tag == "option":
+            lines.append(_option_text(child))
+            chosen = child if "selected" in child.attrs else chosen
+            first = child if first is None and not disabled else first
+        else:
+            if child.tag == "optgroup" and opened:
+                lines.append(SPACES.sub(" ", child.attrs.get("label", "")).strip())
+            todo.extend((c, disabled and child.tag == "optgroup") for c in reversed(child.children))
+    if opened:
+        return lines, True
+    shown = chosen or first
+    return [_option_text(shown)] if shown else [], False
+
+
 class Flow:
     """Lines of laid-out text: inline pieces are joined, blocks start new lines."""
 
@@ -235,7 +341,20 @@ def render(node: Node, tables: int = 0) -> list[str]:
         tag = item.tag
         if item.hidden:
             continue
-        if tag == "br":
+        if item.space:
+            # Labels stand apart from one another, and cells and shifted parts of a label from what is before them.
+            apart = tag in ("text", "foreignobject", "mtd", "mtr") or tag == "tspan" and not item.attrs.keys().isdisjoint(("x", "y", "dy"))
+            if apart:
+                flow.text(" ")
+                todo.append(" ")
+            todo.extend(reversed(item.children))
+        elif tag == "select":
+            shown, opened = _options(item)
+            for line in shown:
+                flow.end() if opened else flow.text(" ")
+                flow.text(line)
+            flow.end() if opened else flow.text(" ")
+        elif tag == "br":
             flow.end(keep=True)
         elif tag == "hr":
             flow.blank()
