@@ -25,6 +25,13 @@ TAIL = b".,;:!?#*$%&|<>()"
 MARKS = (b"\xcc", b"\xcd")
 
 
+def _lowers(normalizer: dict | None) -> bool:
+    """Does a tokenizer's normalizer lower all text?"""
+    if not normalizer:
+        return False
+    return normalizer["type"] == "Lowercase" or any(map(_lowers, normalizer.get("normalizers") or []))
+
+
 class WordEncoder:
     """Ids as bytes of little-endian unsigned 32-bit integers."""
 
@@ -38,6 +45,10 @@ class WordEncoder:
         if not parts or parts[0].get("behavior") != "Removed" or spec["model"].get("end_of_word_suffix") != "</w>":
             raise ValueError("this encoder needs a tokenizer that drops white space and marks word ends")
         self.tokenizer = Tokenizer.from_file(path)
+        # Only then may a text be lowered before the library sees it.
+        self.lowers = _lowers(spec.get("normalizer"))
+        # Added tokens are matched on the raw text, in their own case.
+        self.added = [t["content"].encode().lower() for t in spec.get("added_tokens") or [] if t["content"]]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, number in vocabulary.items():
@@ -97,10 +108,13 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text; none for NULL and empty texts."""
         raw = (text or "").encode()
-        # The tokenizer lowers all texts; doing it early makes fewer words.  It is left to the
+        low = raw.lower()
+        if any(token in low for token in self.added):
+            return self._whole(raw)
+        # If the tokenizer lowers all texts, doing it early makes fewer words.  It is left to the
         # library where a letter may join with a mark, since that comes before lowering.
-        if MARKS[0] not in raw and MARKS[1] not in raw:
-            raw = raw.lower()
+        if self.lowers and MARKS[0] not in raw and MARKS[1] not in raw:
+            raw = low
         words = raw.replace(b"\n", b" ").split(b" ")
         missing = set(words).difference(self.young)
         if missing:
