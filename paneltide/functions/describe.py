@@ -12,7 +12,8 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-# Collections from this length on are described by their first item.
+# Lists from this length on name their item schema once if all items have the
+# same.  As ``limit`` it gives the reference's form, which describes them by the first item.
 MAX_LISTED = 32
 
 # Descriptors of scalars.
@@ -65,13 +66,17 @@ def _pair_json(value_hash: Column) -> Column:
     )
 
 
-def descriptor(c: Column, dtype: T.DataType) -> Column:
-    """Canonical JSON descriptor of a value; nested values appear as their hashes."""
+def descriptor(c: Column, dtype: T.DataType, limit: int | None = None) -> Column:
+    """Canonical JSON descriptor of a value; nested values appear as their hashes.
+
+    All items are described.  With a ``limit``, collections from that length on are described
+    by their first item alone; ``MAX_LISTED`` matches the reference.
+    """
     null = F.lit(canonical(NULL))
     if isinstance(dtype, T.StructType):
         names = dtype.fieldNames()
-        hashes = {f.name: schema_hash(_pair_json(schema_hash(descriptor(c[f.name], f.dataType)))) for f in dtype}
-        if len(names) < MAX_LISTED:
+        hashes = {f.name: schema_hash(_pair_json(schema_hash(descriptor(c[f.name], f.dataType, limit)))) for f in dtype}
+        if limit is None or len(names) < limit:
             pieces = [F.lit('{"properties":{')]
             for at, name in enumerate(sorted(names)):
                 pieces += [F.lit(("," if at else "") + json.dumps(name) + ':"'), hashes[name], F.lit('"')]
@@ -82,7 +87,7 @@ def descriptor(c: Column, dtype: T.DataType) -> Column:
             first = dtype[0]
             out = F.concat(
                 F.lit('{"properties":{"key_schema":"' + schema_hash_of(STRING) + '","value_schema":"'),
-                schema_hash(descriptor(c[first.name], first.dataType)),
+                schema_hash(descriptor(c[first.name], first.dataType, limit)),
                 F.lit(f'"}},"required":["key_schema","value_schema"],"type":"object","x-length":{len(names)},"x-type":"dict"}}'),
             )
         return F.when(c.isNull(), null).otherwise(out)
@@ -94,7 +99,7 @@ def descriptor(c: Column, dtype: T.DataType) -> Column:
         strip = lambda j: F.substr(j, F.lit(2), F.char_length(j) - 2)
         prop = lambda e: F.concat(
             strip(quoted(e)), F.lit(':"'),
-            schema_hash(_pair_json(schema_hash(descriptor(e["value"], dtype.valueType)))), F.lit('"'),
+            schema_hash(_pair_json(schema_hash(descriptor(e["value"], dtype.valueType, limit)))), F.lit('"'),
         )
         by_name = F.array_sort(F.transform(entries, lambda e: F.struct(text(e).alias("k"), prop(e).alias("p"))))
         listed = F.concat(
@@ -102,20 +107,28 @@ def descriptor(c: Column, dtype: T.DataType) -> Column:
             F.lit('},"required":['), F.array_join(F.transform(entries, lambda e: strip(quoted(e))), ","),
             F.lit('],"type":"object","x-length":'), size.cast("string"), F.lit(',"x-type":"dict"}'),
         )
+        if limit is None:
+            return F.when(c.isNull(), null).otherwise(listed)
         brief = F.concat(
-            F.lit('{"properties":{"key_schema":"'), schema_hash(descriptor(entries[0]["key"], dtype.keyType)),
-            F.lit('","value_schema":"'), schema_hash(descriptor(entries[0]["value"], dtype.valueType)),
+            F.lit('{"properties":{"key_schema":"'), schema_hash(descriptor(entries[0]["key"], dtype.keyType, limit)),
+            F.lit('","value_schema":"'), schema_hash(descriptor(entries[0]["value"], dtype.valueType, limit)),
             F.lit('"},"required":["key_schema","value_schema"],"type":"object","x-length":'),
             size.cast("string"), F.lit(',"x-type":"dict"}'),
         )
-        return F.when(c.isNull(), null).when(size < MAX_LISTED, listed).otherwise(brief)
+        return F.when(c.isNull(), null).when(size < limit, listed).otherwise(brief)
     if isinstance(dtype, T.ArrayType):
         size = F.size(c)
-        one = lambda x: F.concat(F.lit('"'), schema_hash(descriptor(x, dtype.elementType)), F.lit('"'))
-        items = F.when(
-            size < MAX_LISTED,
-            F.concat(F.lit("["), F.array_join(F.transform(c, one), ","), F.lit("]")),
-        ).otherwise(one(F.try_element_at(c, F.lit(1))))
+        one = lambda x: F.concat(F.lit('"'), schema_hash(descriptor(x, dtype.elementType, limit)), F.lit('"'))
+        if limit is None:
+            same = lambda h: (F.size(h) >= MAX_LISTED) & (F.size(F.array_distinct(h)) == 1)
+            every = lambda h: F.when(same(h), F.get(h, F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join(h, ","), F.lit("]")))
+            # A lambda names the hashes, so that they are computed once.
+            items = F.get(F.transform(F.array(F.transform(c, one)), every), F.lit(0))
+        else:
+            items = F.when(
+                size < limit,
+                F.concat(F.lit("["), F.array_join(F.transform(c, one), ","), F.lit("]")),
+            ).otherwise(one(F.try_element_at(c, F.lit(1))))
         length = size.cast("string")
         out = F.concat(
             F.lit('{"items":'), items, F.lit(',"maxItems":'), length, F.lit(',"minItems":'), length,
