@@ -45,6 +45,28 @@ def _verdict(problem: Column) -> Column:
     return F.struct(problem.isNull().alias("valid"), F.coalesce(problem, F.lit("")).alias("message"))
 
 
+def check_allowed_value(c: Column, dtype: T.DataType) -> Column:
+    """Is a value, at every depth, of an allowed type?  A missing value always is."""
+
+    def problem(c: Column, dtype: T.DataType) -> Column | None:
+        """The first refused type found in a value; None where the type cannot hold one."""
+        if isinstance(dtype, _REFUSED):
+            return F.when(c.isNotNull(), F.lit(dtype.simpleString()))
+        if isinstance(dtype, T.StructType):
+            found = [p for f in dtype if (p := problem(c[f.name], f.dataType)) is not None]
+            return F.coalesce(*found) if found else None
+        if isinstance(dtype, T.MapType):
+            found = [problem(F.map_keys(c), T.ArrayType(dtype.keyType)), problem(F.map_values(c), T.ArrayType(dtype.valueType))]
+            found = [p for p in found if p is not None]
+            return F.coalesce(*found) if found else None
+        if isinstance(dtype, T.ArrayType) and problem(F.lit(None), dtype.elementType) is not None:
+            return F.get(F.filter(F.transform(c, lambda x: problem(x, dtype.elementType)), lambda p: p.isNotNull()), F.lit(0))
+        return None
+
+    bad = problem(c, dtype)
+    return _verdict(F.lit(None).cast("string") if bad is None else F.concat(F.lit("value of type: "), bad, F.lit(" is not of allowed type")))
+
+
 def check_typed(text: Column, hint: str) -> Column:
     """Does a text hold a value of the declared type?"""
     dtype = parse_type(hint)

@@ -392,12 +392,28 @@ _LIST_HASH = """substr(sha256('{{"items":[' || array_to_string(list_transform(ra
       ',"type":"array","x-type":"list"}}'), 1, 8) END AS schema_hash FROM n""",
 )
 def value_schema(t):
-    """Descriptor hash of each order's list of quantities (described by its length)."""
-    sizes = t.lineitem.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
-    listed = sizes.withColumn("v", F.array_repeat(F.lit(1.0), F.col("n")))
-    return listed.select(
-        "l_orderkey", describe.schema_hash(describe.descriptor(F.col("v"), T.ArrayType(T.DoubleType()))).alias("schema_hash")
-    )
+    """Descriptor hash of each order's list of quantities."""
+    return _quantity_schemas(t, "l_orderkey", F.col("l_quantity"))
+
+
+def _quantity_schemas(t, key, quantity):
+    items = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", quantity.alias("q"))))
+    listed = t.lineitem.groupBy(key).agg(F.transform(items, lambda e: e["q"]).alias("v"))
+    return listed.select(key, describe.schema_hash(describe.descriptor(F.col("v"), listed.schema["v"].dataType)).alias("schema_hash"))
+
+
+@query(
+    "value_schema_suppliers",
+    """WITH i AS (SELECT l_suppkey, '"' || substr(sha256(CASE WHEN l_returnflag = 'R' THEN '{"type":"null"}' ELSE '{"type":"number"}' END), 1, 8)
+        || '"' AS h, l_returnflag = 'R' AS missing, l_orderkey, l_linenumber FROM lineitem),
+      g AS (SELECT l_suppkey, count(*) AS n, count(DISTINCT h) AS kinds, min(h) AS one,
+        string_agg(h, ',' ORDER BY l_orderkey, l_linenumber, missing DESC) AS hs FROM i GROUP BY l_suppkey)
+    SELECT l_suppkey, substr(sha256('{"items":' || CASE WHEN n >= 32 AND kinds = 1 THEN one ELSE '[' || hs || ']' END ||
+      ',"maxItems":' || n || ',"minItems":' || n || ',"type":"array","x-type":"list"}'), 1, 8) AS schema_hash FROM g""",
+)
+def value_schema_suppliers(t):
+    """The same of each supplier's quantities, those of returned items missing: long lists of mixed items."""
+    return _quantity_schemas(t, "l_suppkey", F.when(F.col("l_returnflag") != "R", F.col("l_quantity")))
 
 
 @query(
@@ -441,10 +457,20 @@ def unpack_value(t):
        AND o_orderstatus = 'F'""",
 )
 def unpack_frame(t):
-    """Line items of an order as one table value and back; an order has few lines."""
+    """Line items of the finished orders as table values and back."""
+    finished = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return _frames_and_back(t.lineitem.join(finished, "l_orderkey"))
+
+
+@query("unpack_frame_all", "SELECT l_orderkey AS o_orderkey, l_linenumber AS index, l_quantity, l_returnflag FROM lineitem")
+def unpack_frame_all(t):
+    """The same of all line items."""
+    return _frames_and_back(t.lineitem)
+
+
+def _frames_and_back(lines):
     dtype = T.StructType([T.StructField("l_quantity", T.DoubleType()), T.StructField("l_returnflag", T.StringType())])
     row = envelopes.pack_frame_row(F.col("l_linenumber"), T.IntegerType(), F.struct("l_quantity", "l_returnflag"), dtype)
-    lines = t.lineitem.join(t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     # One envelope per line: a table value may be split over chunk rows of any number.
     frames = lines.select(
         F.col("l_orderkey").alias("o_orderkey"),
@@ -518,9 +544,10 @@ def describe_json(t):
 )
 def check_allowed(t):
     aged = t.orders.withColumn("age", F.lit("2024-01-01").cast("timestamp_ntz") - F.col("o_orderdate"))
-    verdicts = validate.check_allowed(aged).select("name", "valid")
-    total = t.orders.agg(F.count("*")).scalar()
-    return verdicts.select("name", "valid", total.alias("n"))
+    verdicts = F.array(*[
+        F.struct(F.lit(f.name).alias("name"), validate.check_allowed_value(F.col(f.name), f.dataType)["valid"].alias("valid")) for f in aged.schema
+    ])
+    return aged.select(F.inline(verdicts)).groupBy("name").agg(F.bool_and("valid").alias("valid"), F.count("*").alias("n"))
 
 
 @query(

@@ -98,6 +98,21 @@ def merge_keyed(t):
     return joins.merge_keyed(parts, ["user_id"], ["ts", "event_id"])
 
 
+_EVENT_TYPES = ("click", "view", "purchase", "signup", "error")
+
+
+@query(
+    "merge_keyed_all",
+    "WITH n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS rn FROM events) SELECT user_id, rn AS occurrence, "
+    + ", ".join(f"max(value) FILTER (event_type = '{k}') AS value_{i}" for i, k in enumerate(_EVENT_TYPES))
+    + " FROM n GROUP BY user_id, rn",
+)
+def merge_keyed_all(t):
+    """The same of all event types."""
+    parts = [t.events.where(F.col("event_type") == k) for k in _EVENT_TYPES]
+    return joins.merge_keyed(parts, ["user_id"], ["ts", "event_id"])
+
+
 _GROUPS = [(0, ["click", "view"]), (1, ["view", "purchase", "signup"]), (2, ["error"])]
 
 

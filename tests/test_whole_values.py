@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneltide.functions import describe
+from paneltide.operators import validate
 
 
 def one(df, dtype, **options):
@@ -38,3 +39,12 @@ def test_all_fields_of_wide_structs_and_maps(spark):
     df = spark.createDataFrame([({f"k{i:02}": None if i == 39 else i for i in range(40)},)], T.StructType([T.StructField("v", dtype)]))
     made = json.loads(one(df, dtype)[0])
     assert len(made["properties"]) == 40 and made["properties"]["k39"] != made["properties"]["k00"] == made["properties"]["k38"]
+
+
+def test_check_allowed_value(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (1, INTERVAL '1' DAY, array(INTERVAL '1' DAY), map('a', named_struct('x', INTERVAL '1' DAY))), "
+        "(2, NULL, array(), map('a', named_struct('x', NULL))), (3, NULL, array(NULL), NULL) AS t(i, d, a, m)"
+    )
+    got = df.select(*[validate.check_allowed_value(F.col(c), df.schema[c].dataType)["valid"] for c in df.columns]).collect()
+    assert [tuple(r) for r in got] == [(True, False, False, False), (True, True, True, True), (True, True, True, True)]
