@@ -93,12 +93,48 @@ def flatten_features(df: DataFrame, keys: list[str], value: str, categories: Dat
     )
 
 
-def _width(dtype: T.DataType) -> int | None:
-    """Numbers a value takes in a vector, when that does not depend on the value."""
+def _nested(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))
+
+
+def _entries(c: Column, dtype: T.ArrayType | T.MapType) -> tuple[Column, list[tuple[str | None, T.DataType]]]:
+    """Items of a list or map, and the parts of an item in walk order."""
+    if isinstance(dtype, T.ArrayType):
+        return c, [(None, dtype.elementType)]
+    return F.map_entries(c), [("key", dtype.keyType), ("value", dtype.valueType)]
+
+
+def _part(item: Column, name: str | None) -> Column:
+    return item if name is None else item[name]
+
+
+def _width(c: Column, dtype: T.DataType) -> Column:
+    """Numbers that a value takes in a vector; a missing one takes one at every level."""
     if isinstance(dtype, T.StructType):
-        inner = [_width(f.dataType) for f in dtype]
-        return None if None in inner else sum(inner) + len(inner)
-    return None if isinstance(dtype, (T.ArrayType, T.MapType)) else 1
+        out = sum((_width(c[f.name], f.dataType) for f in dtype), F.lit(len(dtype)))
+    elif _nested(dtype):
+        items, parts = _entries(c, dtype)
+        if any(_nested(t) for _, t in parts):
+            out = F.aggregate(items, F.lit(0), lambda n, e: n + sum((_width(_part(e, k), t) for k, t in parts), F.lit(0)))
+        else:
+            out = F.size(items) * len(parts)
+    else:
+        return F.lit(1)
+    return F.when(c.isNull(), F.lit(1)).otherwise(out)
+
+
+def _texts(c: Column, dtype: T.DataType) -> Column:
+    """Per place of a value's vector: does it hold the category of a text?  Names of fields and NULLs do not count."""
+    no = F.array(F.lit(False))
+    if isinstance(dtype, T.StructType):
+        parts = [p for f in dtype for p in (no, _texts(c[f.name], f.dataType))]
+        out = F.concat(*parts) if parts else F.array().cast("array<boolean>")
+    elif _nested(dtype):
+        items, parts = _entries(c, dtype)
+        out = F.flatten(F.transform(items, lambda e: F.concat(*[_texts(_part(e, k), t) for k, t in parts])))
+    else:
+        out = F.array(F.lit(isinstance(dtype, T.StringType)))
+    return F.when(c.isNull(), no).otherwise(out)
 
 
 def unflatten_features(
@@ -106,59 +142,59 @@ def unflatten_features(
 ) -> DataFrame:
     """Vectors back to nested values shaped like the value in ``like``.
 
-    Category numbers are rounded and looked up by a join; NaN times become NULL.
+    What is NULL in ``like``, at any level, took one number and comes back as NULL.  Category
+    numbers, and no others, are rounded and looked up by a join; NaN times become NULL, as do
+    numbers that their type cannot hold; times out of range become open bounds.
     """
     dtype = df.schema[like].dataType
-    spread = df.select(*keys, F.posexplode(vector).alias("pos", "x"))
-    spread = spread.withColumn("__id", F.when(~F.isnan("x"), F.rint("x")).cast("long"))
-    names = categories.select(F.col("category_id").alias("__id"), "category")
-    looked = spread.join(names, "__id", "left").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "x", "category"))).alias("__cells")
-    )
-    cells = F.col("__cells")
-
-    def number(at):
-        return F.get(cells, at)["x"]
-
-    def walk(like_c, t, at):
-        """The value starting at offset ``at`` and the offset after it."""
+    places = F.transform(_texts(F.col(like), dtype), lambda is_text, i: F.when(is_text, F.struct(i.alias("pos"), F.get(F.col(vector), i).alias("x"))))
+    texts = df.select(*keys, F.inline(F.filter(places, lambda e: e.isNotNull())))
+    texts = texts.withColumn("__id", F.rint("x").try_cast("long"))
+    names = categories.where("category IS NOT NULL").select(F.col("category_id").alias("__id"), "category")
+    looked = texts.join(names, "__id").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "category"))).alias("__texts"))
+
+    def walk(c, t, at):
+        """The value of the vector from offset ``at`` on."""
         if isinstance(t, T.StructType):
             fields = []
             for f in t:
-                got, at = walk(like_c[f.name], f.dataType, at + 1)
-                fields.append(got.alias(f.name))
-            return F.struct(*fields), at
-        if isinstance(t, (T.ArrayType, T.MapType)):
-            inner = t.elementType if isinstance(t, T.ArrayType) else t.valueType
-            width = _width(inner)
-            if width is None:
-                raise TypeError(f"Unsupported nesting during unflatten: {t.simpleString()}")
-            pair = 0 if isinstance(t, T.ArrayType) else 1
-            size = F.greatest(F.size(like_c), F.lit(0))
-            steps = F.filter(F.sequence(F.lit(0), size), lambda i: i < size)
-            if isinstance(t, T.ArrayType):
-                out = F.transform(steps, lambda i: walk(F.get(like_c, i), inner, at + i * width)[0])
+                fields.append(walk(c[f.name], f.dataType, at + 1).alias(f.name))
+                at = at + 1 + _width(c[f.name], f.dataType)
+            out = F.struct(*fields) if fields else c
+        elif _nested(t):
+            items, parts = _entries(c, t)
+
+            def item(e, start):
+                made = []
+                for k, part in parts:
+                    made.append(walk(_part(e, k), part, start))
+                    start = start + _width(_part(e, k), part)
+                # A key that has no category stays as it is.
+                return made[0] if len(made) == 1 else F.struct(F.coalesce(made[0], e["key"]).alias("key"), made[1].alias("value"))
+
+            widths = F.transform(items, lambda e: sum((_width(_part(e, k), part) for k, part in parts), F.lit(0)))
+            starts = lambda w: F.when(
+                F.array_min(w) == F.array_max(w), F.transform(w, lambda n, i: at + n * i)
+            ).otherwise(F.aggregate(w, F.array(at), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n))))
+            # Lambdas name widths and offsets, so that they are computed once.
+            placed = F.get(F.transform(F.array(widths), starts), F.lit(0))
+            out = F.get(F.transform(F.array(placed), lambda s: F.transform(items, lambda e, i: item(e, F.get(s, i)))), F.lit(0))
+            out = F.map_from_entries(out) if isinstance(t, T.MapType) else out
+        elif isinstance(t, T.StringType):
+            out = F.try_element_at(F.col("__texts"), at)
+        else:
+            x = F.get(F.col(vector), at)
+            if isinstance(t, T.DateType):
+                out = F.date_from_unix_date((x / 86_400).try_cast("int"))
+            elif isinstance(t, _TIMES):
+                out = F.when(~F.isnan(x), dates.from_epoch(x)).cast(t)
+            elif isinstance(t, T.IntegralType):
+                out = F.rint(x).try_cast(t)
             else:
-                entry = lambda i: F.struct(
-                    walk(F.lit(None), t.keyType, at + i * (width + 1))[0].alias("key"),
-                    walk(F.get(F.map_values(like_c), i), inner, at + i * (width + 1) + 1)[0].alias("value"),
-                )
-                out = F.map_from_entries(F.transform(steps, entry))
-            return out, at + size * (width + pair)
-        if isinstance(t, T.StringType):
-            return F.get(cells, at)["category"], at + 1
-        x = number(at)
-        if isinstance(t, T.DateType):
-            return F.when(~F.isnan(x), F.date_from_unix_date((x / 86_400).cast("int"))), at + 1
-        if isinstance(t, _TIMES):
-            return F.when(~F.isnan(x), dates.from_epoch(x)).cast(t), at + 1
-        if isinstance(t, T.IntegralType):
-            return F.rint(x).cast(t), at + 1
-        return x.cast(t), at + 1
-
-    joined = df.join(looked, keys, "left")
-    out, _ = walk(F.col(like), dtype, F.lit(0))
-    return joined.select(*keys, out.alias("value"))
+                out = x.try_cast(t)
+        return F.when(c.isNotNull(), out)
+
+    return df.join(looked, keys, "left").select(*keys, walk(F.col(like), dtype, F.lit(0)).alias("value"))
 
 
 def lag_panel(
