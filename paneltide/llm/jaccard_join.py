@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents as a metric-space join (operator 1).
 
 Jaccard distance is a metric on shingle sets; documents link within ``1 - threshold``.
-Equal sets are one point.  Two levels of pivots divide the space:
+Equal sets are one point.  Two levels of pivots are used:
 
 * Level 1.  Documents as pivots would not divide unrelated texts, which are all at
   distance 1 from each other, so the pivots are the single-shingle sets {s}, put in one
@@ -9,9 +9,11 @@ Equal sets are one point.  Two levels of pivots divide the space:
   that of its first shingle.  The window of a document are the pivots whose cells can hold
   a point within the distance: its first ``n - ceil(threshold*n) + 1`` shingles, because
   two sets that agree in ``ceil(threshold*n)`` shingles cannot both miss all of the other's
-  window.  A document is replicated to the regions of its window and nowhere else.
+  window.  A document is replicated to the regions of its window and nowhere else.  This is
+  a prefix filter.
 * Level 2.  A region of few documents compares those pairs that sizes and the number of
-  common pivots in their windows allow.  A larger one is joined recursively by document pivots: all members are
+  common pivots in their windows allow.  A larger one is joined in a loop over document pivots, without regions of
+  their own: all members are
   measured against a pivot; those in its ball are connected through it, and only members
   that are not yet connected, and whose distances to the region's first pivot differ by no
   more than the join distance (triangle inequality), go on to the next pivots.  Before a
