@@ -1,4 +1,4 @@
-"""The ten operators over the sample tables, and the SQL of those that SQL can express."""
+"""The operators over the sample tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paneltide.llm import (
-    decision_lists, exact_dedup, html_text, jaccard_join, mixing, packing, pii, quality_classifier, sharding, wavelet,
+    decision_lists, exact_dedup, filter_audit, html_text, jaccard_join, licenses, mixing, packing, pii, quality_classifier, sharding,
+    vector_codes, wavelet,
 )
 from paneltide.llm.common import arrow_session
 
@@ -64,11 +65,23 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_lists.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(spark, f"{sf_dir.rstrip('/')}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_jaccard_join, op2_mix_sources, op3_personal_data, op4_pack, op5_shards, op6_html_text, op7_exact_dedup,
-        op8_wavelet, op9_quality, op10_decision_list,
+        op8_wavelet, op9_quality, op10_decision_list, op11_filter_audit, op12_license_scan, op13_vector_codes,
     )
 }
 
@@ -81,4 +94,6 @@ ORACLES: dict[str, str] = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_vector_codes": vector_codes.oracle(),
 }
