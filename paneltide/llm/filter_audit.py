@@ -36,6 +36,9 @@ TWICE = 1 << FILTERS.index("E")
 BATCHES = 4
 #: Texts that share one entry of the state store (their number grows with the rows).
 TEXTS_A_GROUP = 64
+#: Texts per state partition beyond which state moves from memory to disk.  A store on disk
+#: takes some MB of files for each partition, however little it holds.
+TEXTS_IN_MEMORY = 50_000
 #: Texts a task combines before it hands them on.
 HELD = 50_000
 #: Bytes of text worked on at once.
@@ -161,10 +164,11 @@ def mask_counts(
     ``code`` has 1 for good and 2 for toxic documents, ``mask`` bit i for filter i.
     """
     arrow_session(spark)
-    keep_state_on_disk(spark)
     table = spark.read.parquet(path)
-    files = len(table.inputFiles())
-    groups = table.count() // TEXTS_A_GROUP + 1
+    files, rows_in = len(table.inputFiles()), table.count()
+    groups = rows_in // TEXTS_A_GROUP + 1
+    if rows_in > TEXTS_IN_MEMORY * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        keep_state_on_disk(spark)
     stream = stream_table(spark, path, table.schema, max(1, -(-files // batches)))
     rows = stream.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(part_col).cast("string").alias("part"), F.col(text_col).cast("string").alias("text")
