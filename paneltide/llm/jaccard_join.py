@@ -254,7 +254,7 @@ class JaccardJoin:
         """``node, label`` of all points that link with another; equal labels are connected."""
         regions = self.regions()
         pairs = self.small_pairs(regions)
-        large = regions.where(F.col("c") > self.few).join(self.points.select("node", "sketch"), "node").withColumns(
+        large = distinct_regions(regions.where(F.col("c") > self.few)).join(self.points.select("node", "sketch"), "node").withColumns(
             {"first": F.lit(None).cast("long"), "d": F.lit(None).cast("double")}
         )
         links: DataFrame | None = None
@@ -280,14 +280,15 @@ class JaccardJoin:
     def _by_pivots(self, members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
         """Pairs of the next pivots of each region with its members, and the members left."""
         order = Window.partitionBy("key").orderBy("node")
-        # A rank limit is applied by every task before the shuffle.
-        chosen = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
+        # A rank limit is applied by every task before the shuffle.  Written once, so that the
+        # join below can split a hot region among tasks.
+        chosen = cut_lineage(members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots))
         last = chosen.groupBy("key").agg(F.max("node").alias("last"), F.min("node").alias("pivot"))
         p, m = chosen.drop("rank").alias("p"), members.alias("m")
         near = F.coalesce(F.abs(F.col("p.d") - F.col("m.d")) <= 1 - self.percent / 100 + 1e-9, F.lit(True))
         allowed = (
             (F.col("p.key") == F.col("m.key")) & (F.col("p.node") < F.col("m.node")) & (F.col("p.group") != F.col("m.group"))
-            & near & _may_link("p", "m", self.percent)
+            & ~F.coalesce(F.col("p.before") == F.col("m.before"), F.lit(False)) & near & _may_link("p", "m", self.percent)
         )
         if pivots > 1:
             # The distances to the first pivot are all measured: later rounds divide by them.
@@ -295,7 +296,7 @@ class JaccardJoin:
         pairs = p.join(m, allowed).select(F.col("p.node").alias("a"), F.col("m.node").alias("b"))
         left = members.join(last, "key").where(F.col("node") > F.col("last"))
         first = F.coalesce("first", "pivot").alias("first")
-        return pairs, left.select("key", "node", "n", "at", "c", "sketch", first, "d")
+        return pairs, left.select("key", "node", "n", "at", "before", "sketch", first, "d")
 
     def _with_distance(self, large: DataFrame, measured: DataFrame) -> DataFrame:
         """Members with their distance to the region's first pivot, once it was measured."""
@@ -305,6 +306,19 @@ class JaccardJoin:
         return joined.withColumn("d", F.coalesce("d", "measured_d")).drop("measured_d")
 
 
+def distinct_regions(large: DataFrame) -> DataFrame:
+    """``key, node, n, at, before``: large regions that hold a pair no other large region holds.
+
+    ``before`` is the member's preceding key among large regions.  Members with the same one
+    meet there already, so a region need not join them, and one whose members all have the
+    same lies within that region and is left out.
+    """
+    before = F.lag("key").over(Window.partitionBy("node").orderBy("at"))
+    entries = cut_lineage(large.select("key", "node", "n", "at", before.alias("before")))
+    own = entries.groupBy("key").agg(F.min("before").alias("low"), F.max("before").alias("high"), F.count_if(F.col("before").isNull()).alias("first"))
+    return entries.join(own.where("first > 0 OR low < high").select("key"), "key", "left_semi")
+
+
 def thinned(links: DataFrame) -> DataFrame:
     """``a, b``: fewer links that connect the same nodes.
 
