@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from paneltide.functions import dates
 from paneltide.operators.ordered import global_position, rank_in_group
+from paneltide.session import cut_lineage
 
 # The reserved category and the default history length.
 UNKNOWN = "__UNK__"
@@ -60,37 +61,65 @@ def build_categories(df: DataFrame, columns: list[str]) -> DataFrame:
     Distinct before sorting; the numbering is a distributed sort, so the category list
     may be larger than any one machine.  NULL sorts as ``None``.
     """
+    return shared_categories([(df, name) for name in columns])
+
+
+def shared_categories(values: list[tuple[DataFrame, str]]) -> DataFrame:
+    """``build_categories`` over columns of several tables."""
     found = None
-    for name in columns:
+    for df, name in values:
         cats = F.filter(leaves(F.col(name), df.schema[name].dataType), lambda x: x["is_cat"])
         one = df.select(F.explode(F.transform(cats, lambda x: x["cat"])).alias("category"))
         found = one if found is None else found.unionAll(one)
     distinct = found.distinct().where(~F.col("category").eqNullSafe(F.lit(UNKNOWN)))
     order = [F.coalesce("category", F.lit("None")), F.col("category").isNull()]
     numbered = global_position(distinct, order, "__pos").select("category", (F.col("__pos") + 1).alias("category_id"))
-    reserved = df.sparkSession.range(1).select(F.lit(UNKNOWN).alias("category"), F.lit(0).cast("long").alias("category_id"))
+    reserved = values[0][0].sparkSession.range(1).select(F.lit(UNKNOWN).alias("category"), F.lit(0).cast("long").alias("category_id"))
     return numbered.unionByName(reserved)
 
 
+def _field_names(dtype: T.DataType) -> set[str]:
+    if isinstance(dtype, T.StructType):
+        return {f.name for f in dtype}.union(*[_field_names(f.dataType) for f in dtype])
+    if isinstance(dtype, T.ArrayType):
+        return _field_names(dtype.elementType)
+    return _field_names(dtype.keyType) | _field_names(dtype.valueType) if isinstance(dtype, T.MapType) else set()
+
+
 def flatten_features(df: DataFrame, keys: list[str], value: str, categories: DataFrame) -> DataFrame:
-    """Values as flat numeric vectors.
+    """Values as flat numeric vectors; an empty list, map or struct is an empty vector.
 
-    Leaves become rows, pick up their category id by an equi-join (the category table may
-    be any size, a frequent category is a skewed join key) and regroup per value.
+    Names of fields and NULL are the same for all rows: their numbers are read once, at most
+    one per field of the type, and stand in the expression.  Other texts become rows, pick up
+    their number by a join (the category table may be any size, a frequent category is a
+    skewed join key) and return to their places.
     """
     dtype = df.schema[value].dataType
-    rows = df.select(*keys, F.posexplode(leaves(F.col(value), dtype)).alias("pos", "leaf"))
-    rows = rows.select(*keys, "pos", "leaf.num", "leaf.cat", "leaf.is_cat")
-    numbers = rows.where(~F.col("is_cat")).select(*keys, "pos", F.col("num").alias("x"))
-    ids = categories.select(F.col("category").alias("__category"), F.col("category_id").cast("double").alias("__id"))
-    named = (
-        rows.where("is_cat")
-        .join(ids, F.col("cat").eqNullSafe(F.col("__category")), "left")
-        .select(*keys, "pos", F.coalesce("__id", F.lit(0.0)).alias("x"))
+    names = sorted(_field_names(dtype))
+    known = categories.where(F.col("category").isNull() | F.col("category").isin(names)).collect()
+    fixed = {r["category"]: float(r["category_id"]) for r in known}
+    numbers = F.create_map(*[x for k, v in fixed.items() if k is not None for x in (F.lit(k), F.lit(v))]) if len(fixed) > (None in fixed) else None
+    null_id = F.lit(fixed.get(None, 0.0))
+    placed = df.select(*keys, leaves(F.col(value), dtype).alias("__leaves"))
+
+    def number(leaf: Column) -> Column:
+        looked = F.lit(None).cast("double") if numbers is None else F.try_element_at(numbers, leaf["cat"])
+        return F.when(~leaf["is_cat"], leaf["num"]).when(leaf["cat"].isNull(), null_id).otherwise(looked)
+
+    texts = F.filter(
+        F.transform("__leaves", lambda leaf, i: F.when(leaf["is_cat"] & number(leaf).isNull(), F.struct(i.alias("pos"), leaf["cat"].alias("cat")))),
+        lambda e: e.isNotNull(),
     )
-    return numbers.unionAll(named).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("features")
+    placed = placed.select(*keys, F.transform("__leaves", number).alias("__numbers"), F.transform("__leaves", lambda leaf: leaf["is_cat"]).alias("__cats"), texts.alias("__texts"))
+    each = placed.select(*keys, "__numbers", "__cats", F.explode_outer("__texts").alias("__text"))
+    ids = categories.where(F.col("category").isNotNull()).select(F.col("category").alias("__category"), F.col("category_id").cast("double").alias("__id"))
+    joined = each.join(ids, F.col("__text.cat") == F.col("__category"), "left")
+    place = F.when(F.col("__text").isNotNull(), F.struct(F.col("__text.pos").alias("pos"), F.coalesce("__id", F.lit(0.0)).alias("id")))
+    grouped = joined.groupBy(*keys).agg(
+        F.any_value("__numbers").alias("__numbers"), F.any_value("__cats").alias("__cats"), F.map_from_entries(F.collect_list(place)).alias("__found")
     )
+    vector = F.transform("__numbers", lambda x, i: F.when(F.get("__cats", i), F.coalesce(x, F.try_element_at("__found", i))).otherwise(x))
+    return grouped.select(*keys, vector.alias("features"))
 
 
 def _nested(dtype: T.DataType) -> bool:
@@ -276,3 +305,146 @@ def forecast(
     full = query.where(whole(F.col("history"))).withColumn("features", vector(F.col("history")))
     fitted = model.transform(full).select(*keys, "prediction", F.lit("regression").alias("method"))
     return fitted.unionByName(repeated(query.where(~whole(F.col("history")))))
+
+
+def vector_panel(own: DataFrame, inputs: dict[str, DataFrame], keys: list[str], order: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``keys, order, features, width`` and the category map of all series.
+
+    ``features`` has the flat own value, ``width`` long, and behind it every input's flat
+    value of the same key and range; an input that has none there counts as NULL.
+    """
+    by = [*keys, order]
+    categories = cut_lineage(shared_categories([(own, value), *[(df, value) for df in inputs.values()]]))
+    null_id = categories.where("category IS NULL").select(F.col("category_id").cast("double")).first()
+    missing = F.array(F.lit(null_id[0] if null_id else 0.0))
+    panel = flatten_features(own, by, value, categories).withColumn("width", F.size("features"))
+    for i, df in enumerate(inputs.values()):
+        flat = flatten_features(df, by, value, categories).withColumnRenamed("features", f"__input{i}")
+        panel = panel.join(flat, by, "left")
+    vector = F.concat("features", *[F.coalesce(F.col(f"__input{i}"), missing) for i in range(len(inputs))])
+    return panel.select(*by, vector.alias("features"), "width"), categories
+
+
+#: Numbers of products a task holds before it hands them on.
+HELD = 1 << 23
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (nx, ny, centred x and y) to summed products, one row per shape and x."""
+    import numpy as np
+
+    held: dict[tuple[int, int], np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (nx, ny), m in held.items():
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(nx + 1, dtype=np.int32) * (nx + ny)), pa.array(m.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(nx, nx, np.int32)), pa.array(np.full(nx, ny, np.int32)), pa.array(np.arange(nx, dtype=np.int32)), sums], ["nx", "ny", "i", "sums"]
+            )
+        held.clear()
+
+    for batch in batches:
+        nx, ny = (batch.column(c).to_numpy() for c in ("nx", "ny"))
+        for shape in sorted(set(zip(nx.tolist(), ny.tolist()))):
+            own = batch.filter(pa.array((nx == shape[0]) & (ny == shape[1])))
+            z = own.column("z").flatten().to_numpy().reshape(own.num_rows, sum(shape))
+            held[shape] = held.get(shape, 0.0) + z[:, : shape[0]].T @ z
+        if sum(m.size for m in held.values()) > HELD:
+            yield from flush()
+    yield from flush()
+
+
+def multi_ridge(train: DataFrame, ridge: float = 1e-9) -> DataFrame:
+    """``nx, ny, mean, weights`` of a linear regression of all ``y`` on all ``x``, per pair of lengths.
+
+    All outputs share one matrix of summed products of the centred values, made by the tasks and
+    added up by Spark; each shape is then solved once.  ``ridge`` is in units of each input's
+    variance, and inputs that never vary get no weight.  ``weights`` has a list per output.
+    """
+    shaped = train.select(F.size("x").alias("nx"), F.size("y").alias("ny"), F.concat("x", "y").alias("z")).where("nx > 0 AND ny > 0")
+    means = shaped.select("nx", "ny", F.posexplode("z")).groupBy("nx", "ny", "pos").agg(F.avg("col").alias("m"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"])
+    means = cut_lineage(means.groupBy("nx", "ny").agg(mean.alias("mean")))
+    centred = shaped.join(means, ["nx", "ny"]).select("nx", "ny", F.zip_with("z", "mean", lambda z, m: z - m).alias("z"))
+    sums = centred.mapInArrow(_products, "nx int, ny int, i int, sums array<double>").select("nx", "ny", "i", F.posexplode("sums").alias("j", "s"))
+    totals = sums.groupBy("nx", "ny", "i", "j").agg(F.sum("s").alias("s"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        nx, ny = table["nx"][0].as_py(), table["ny"][0].as_py()
+        m = np.zeros((nx, nx + ny))
+        m[table["i"].to_numpy(), table["j"].to_numpy()] = table["s"].to_numpy()
+        spread = np.sqrt(np.diag(m[:, :nx]))
+        scale = np.where(spread > 0, spread, 1.0)
+        gram = m[:, :nx] / np.outer(scale, scale) + ridge * np.eye(nx)
+        weights = np.linalg.pinv(gram, hermitian=True, rcond=1e-13) @ (m[:, nx:] / scale[:, None]) / scale[:, None]
+        weights[spread == 0] = 0.0
+        return pa.table({"nx": pa.array([nx], pa.int32()), "ny": pa.array([ny], pa.int32()), "weights": pa.array([weights.T.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    return means.join(totals.groupBy("nx", "ny").applyInArrow(solve, "nx int, ny int, weights array<array<double>>"), ["nx", "ny"])
+
+
+def forecast_nested(
+    own: DataFrame,
+    inputs: dict[str, DataFrame],
+    keys: list[str],
+    order: str,
+    window_size: int = WINDOW,
+    value: str = "value",
+    predictor: Callable[[list[list[float]]], list[float]] | None = None,
+    ridge: float = 1e-9,
+) -> DataFrame:
+    """``keys, prediction, method``: the next value of every series, of the type of its values.
+
+    ``own`` and every table of ``inputs`` have ``keys``, ``order`` (unique together) and a value
+    of any type that can be flattened.  The last ``window_size`` ranges of own and input values
+    are one vector; a regression of the next own value's vector on it is fitted over all series,
+    per pair of lengths, and its prediction takes the shape of the last own value (method
+    ``regression``).  Series shorter than the window, with NaN in it, or of lengths that no
+    training row has, repeat their last value (``last``).  A ``predictor`` gets the
+    window's vectors, oldest first, shorter for short series, and returns the own value's vector
+    (``predictor``).
+    """
+    if own.isEmpty() and all(df.isEmpty() for df in inputs.values()):
+        raise ValueError("Cannot make prediction when there is no data")
+    panel, categories = vector_panel(own, inputs, keys, order, value)
+    row = F.struct("features", "width")
+    lagged = cut_lineage(lag_panel(panel.withColumn("row", row), keys, order, "row", window_size + 1))
+    last = lagged.groupBy(*keys).agg(F.max_by("history", order).alias("history"))
+    shape = own.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")), order)["v"].alias("__like"))
+    recent = F.slice("history", F.greatest(F.size("history") - window_size + 1, F.lit(1)), window_size)
+    ny = F.element_at("history", -1)["width"]
+    # NaN takes no part: neither as an input nor as what is learned.
+    whole = lambda c: ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    flat = lambda h: F.flatten(F.transform(h, lambda r: r["features"]))
+    query = last.select(*keys, recent.alias("recent"), ny.alias("ny")).join(shape, keys)
+    if predictor is not None:
+        fields = [query.schema[k] for k in keys]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [[float(x) for x in predictor(h)] for h in batch.column("vectors").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(made, pa.list_(pa.float64()))], [*keys, "__vector"])
+
+        vectors = query.select(*keys, F.transform("recent", lambda r: r["features"]).alias("vectors"))
+        made = vectors.mapInArrow(run, T.StructType([*fields, T.StructField("__vector", T.ArrayType(T.DoubleType()))]))
+        predicted = query.join(made, keys).withColumn("method", F.lit("predictor"))
+    else:
+        full = F.size("history") == window_size + 1
+        target = F.slice(F.element_at("history", -1)["features"], 1, ny)
+        train = lagged.where(full).select(flat(F.slice("history", 1, window_size)).alias("x"), target.alias("y"))
+        model = multi_ridge(train.where(whole(F.col("x")) & whole(F.col("y"))), ridge)
+        x = flat(F.col("recent"))
+        asked = query.withColumn("__x", F.when(F.size("recent") == window_size, x)).withColumn("nx", F.size("__x"))
+        joined = asked.join(model, ["nx", "ny"], "left")
+        moved = F.zip_with("__x", F.slice("mean", 1, F.col("nx")), lambda v, m: v - m)
+        output = F.transform(
+            "weights",
+            lambda w, j: F.get("mean", F.col("nx") + j) + F.aggregate(F.zip_with(moved, w, lambda v, c: v * c), F.lit(0.0), lambda a, b: a + b),
+        )
+        usable = F.col("weights").isNotNull() & whole(F.col("__x"))
+        predicted = joined.withColumn("__vector", F.when(usable, output)).withColumn("method", F.when(usable, "regression").otherwise("last"))
+    back = unflatten_features(predicted, keys, "__vector", "__like", categories).withColumnRenamed("value", "prediction")
+    out = predicted.select(*keys, "__like", "method").join(back, keys)
+    return out.select(*keys, F.when(F.col("method") == "last", F.col("__like")).otherwise(F.col("prediction")).alias("prediction"), "method")

@@ -110,3 +110,51 @@ def forecast_predictor(t):
     )
     panel = features.lag_panel(monthly, ["full_name"], "tr_start", "value", window_size=4)
     return features.forecast(panel, ["full_name"], 3, predictor=max)
+
+
+def _nested_series(t):
+    """Per customer and month: a struct of a text and a number, and as input the number of orders."""
+    monthly = p.order_latest(t).groupBy("full_name", "tr_start").agg(
+        F.max("clone_num").alias("top"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.count("*").alias("n")
+    )
+    label = F.when(F.col("top") > 2, F.lit("late")).otherwise(F.lit("early"))
+    own = monthly.select("full_name", "tr_start", F.struct(label.alias("label"), "total").alias("value"))
+    return own, monthly.select("full_name", "tr_start", F.col("n").alias("value"))
+
+
+_NESTED_SQL = f"""{p.ORDER_LATEST}, m AS (
+      SELECT full_name, tr_start, CASE WHEN max(clone_num) > 2 THEN 'late' ELSE 'early' END AS label,
+        CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total, count(*) AS n FROM order_latest GROUP BY full_name, tr_start),
+    r AS (SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY tr_start DESC) AS rn,
+        lag(total) OVER (PARTITION BY full_name ORDER BY tr_start) AS prior_total FROM m)"""
+
+
+@query(
+    "forecast_nested_predictor",
+    f"""WITH {_NESTED_SQL} SELECT full_name, max(CASE WHEN rn = 1 THEN label END) AS label,
+      max(total) + max(CASE WHEN rn = 1 THEN n END) AS total, 'predictor' AS method FROM r WHERE rn <= 3 GROUP BY full_name""",
+)
+def forecast_nested_predictor(t):
+    """A struct's next value by a caller's function of three ranges of own and input vectors."""
+    own, orders = _nested_series(t)
+
+    def next_value(vectors):
+        # A vector: name, label, name, total of the own value; then the input.
+        *own_part, n = vectors[-1]
+        return [*own_part[:3], max(v[3] for v in vectors) + n]
+
+    out = features.forecast_nested(own, {"orders": orders}, ["full_name"], "tr_start", 3, predictor=next_value)
+    return out.select("full_name", "prediction.label", "prediction.total", "method")
+
+
+@query(
+    "forecast_nested",
+    f"""WITH {_NESTED_SQL}, fit AS (SELECT regr_slope(total, prior_total) AS s, regr_intercept(total, prior_total) AS i FROM r)
+    SELECT full_name, round(s * total + i, 2) AS total, 'regression' AS method FROM r, fit WHERE rn = 1""",
+)
+def forecast_nested(t):
+    """Regression of a struct's next value on its last one: all fields at once, one matrix."""
+    own, _ = _nested_series(t)
+    numbers = own.select("full_name", "tr_start", F.struct("value.total").alias("value"))
+    out = features.forecast_nested(numbers, {}, ["full_name"], "tr_start", 1)
+    return out.select("full_name", F.round("prediction.total", 2).alias("total"), "method")
