@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from paneltide.operators.ordered import Measure
 from paneltide.plans import panels as p
+from paneltide.plans.cells import decayed
 from paneltide.plans.profiles import MESSAGE_SQL, messages
 from paneltide.plans.registry import Tables, query
 from paneltide.session import fresh_path
 from paneltide.sources.changes import read_change_feed
-from paneltide.streaming import changes, periods, runner
+from paneltide.streaming import changes, keyed, periods, runner
 
 
 class _Streamed(Tables):
@@ -118,6 +121,16 @@ def _calendar(period: str, unit: str) -> None:
         out = periods.closed_periods(t.orders, "o_orderdate", ["o_orderpriority"], [F.count("*").alias("n"), total], period=period)
         return out.select("o_orderpriority", "tr_start", "tr_end", "n", "total")
 
+    @query(f"period_agg_stream_{period}", sql)
+    def streamed(t):
+        """The same as a stream: timers at the calendar's ends."""
+        runner.keep_state_on_disk(t.spark)
+        out, checkpoint = runner.scratch(t.spark, period)
+        measures = [Measure("n", "count", F.lit(1)), Measure("total", "sum", F.col("o_totalprice").cast("decimal(18,2)"))]
+        stream = keyed.calendar_aggregate(_Streamed(t).orders, "o_orderdate", ["o_orderpriority"], measures, period)
+        runner.append_to(stream, out, checkpoint)
+        return t.spark.read.parquet(out).withColumn("total", F.col("total").cast("double"))
+
 
 # Events span less than a month, so calendar periods are those of orders.
 _calendar("monthly", "month")
@@ -130,3 +143,35 @@ def period_agg_stream_weekly(t):
     stream = periods.period_aggregate(_Streamed(t).events, "ts", ["event_type"], _daily(), "weekly")
     runner.append_to(stream, out, checkpoint)
     return t.spark.read.parquet(out).select("event_type", "tr_start", "tr_end", "n", "total")
+
+
+@query(
+    "fold_history_stream",
+    f"""WITH RECURSIVE {p.EVENT_LATEST.strip()}, s AS (
+      SELECT full_name, clone_num, tr_start, CAST(round(value * 100) AS BIGINT) AS cents,
+             row_number() OVER (PARTITION BY full_name, clone_num ORDER BY tr_start) AS rn FROM event_latest),
+    f(full_name, clone_num, tr_start, rn, value, state) AS (
+      SELECT full_name, clone_num, tr_start, rn, CAST(0 AS BIGINT), cents FROM s WHERE rn = 1
+      UNION ALL
+      SELECT s.full_name, s.clone_num, s.tr_start, s.rn, f.state, CAST(f.state // 3 + s.cents AS BIGINT)
+      FROM f JOIN s ON s.full_name = f.full_name AND s.clone_num = f.clone_num AND s.rn = f.rn + 1)
+    SELECT full_name, clone_num, tr_start, value FROM f WHERE tr_start <= (SELECT max(tr_start) - INTERVAL 5 DAY FROM s)""",
+)
+def fold_history_stream(t):
+    """The fold of fold_history, fed by cells that arrive up to four days out of order."""
+    cells = p.event_latest(t).select("full_name", "clone_num", "tr_start", "value")
+    feed = fresh_path(t.spark, "cells")
+    delay = F.pmod(F.xxhash64("full_name", "clone_num", "tr_start"), F.lit(4))
+    arrival = F.floor((F.unix_date(F.to_date("tr_start")) + delay) / 8).alias("arrival")
+    arrived = cells.select("*", arrival).repartition(2)
+    arrived.write.partitionBy("arrival").parquet(f"{feed}/all")
+    stored = t.spark.read.parquet(f"{feed}/all")
+    first, last = stored.agg(F.min("arrival"), F.max("arrival")).first()
+    for at in range(first, last + 1) if first is not None else []:
+        stored.where(F.col("arrival") == at).drop("arrival").coalesce(1).write.mode("append").parquet(f"{feed}/feed")
+    runner.keep_state_on_disk(t.spark)
+    out, checkpoint = runner.scratch(t.spark, "fold")
+    stream = runner.stream_table(t.spark, f"{feed}/feed", cells.schema, 1)
+    folded = keyed.fold_stream(stream, decayed, int, T.LongType(), ["full_name", "clone_num"], ["tr_start"], "5 days")
+    runner.append_to(folded, out, checkpoint)
+    return t.spark.read.parquet(out).where("NOT late").select("full_name", "clone_num", "tr_start", F.col("value"))
