@@ -67,12 +67,33 @@ def unpack_error(text: Column) -> Column:
     )
 
 
+#: Kinds that open as a Spark type; a text also holds what is written as one.
+_KINDS = {
+    "struct": ("dict",), "map": ("dict",), "array": ("list", "tuple", "ndarray"), "binary": ("bytes",), "boolean": ("bool",),
+    "timestamp": ("datetime", "Timestamp"), "timestamp_ntz": ("datetime", "Timestamp"), "date": ("date",), "integral": ("int",),
+    "number": ("float", "int"), "string": ("str", "ObjectId", "GCSPath", "Period", "time", "complex"),
+}
+
+
+def _accepted(dtype: T.DataType) -> tuple[str, ...]:
+    if isinstance(dtype, T.IntegralType):
+        return _KINDS["integral"]
+    return _KINDS["number"] if isinstance(dtype, T.NumericType) else _KINDS.get(dtype.typeName(), ())
+
+
 def unpack_value(text: Column, dtype: T.DataType) -> Column:
-    """The value inside an envelope; NULL when it is not of the asked type."""
+    """The value inside an envelope; NULL when its kind is not one of the asked type.
+
+    A whole number opens as a fractional type as well; no other kind is converted.
+    """
     return _open(F.try_parse_json(text), dtype)
 
 
 def _open(v: Column, dtype: T.DataType) -> Column:
+    return F.when(F.try_variant_get(v, "$.__kind__", "string").isin(*_accepted(dtype)), _opened(v, dtype))
+
+
+def _opened(v: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StructType):
         pairs = F.try_variant_get(v, "$.data", "array<array<variant>>")
 
@@ -99,13 +120,74 @@ def _open(v: Column, dtype: T.DataType) -> Column:
         return F.transform(items, lambda x: _open(x, dtype.elementType))
     if isinstance(dtype, T.BinaryType):
         return F.unbase64(F.try_variant_get(v, "$.data", "string"))
-    if isinstance(dtype, T.TimestampType):
-        return dates.to_milli(dates.parse_datetime(F.try_variant_get(v, "$.data", "string")))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return dates.to_milli(dates.parse_datetime(F.try_variant_get(v, "$.data", "string"))).cast(dtype)
     if isinstance(dtype, T.DateType):
         return F.try_variant_get(v, "$.data", "string").try_cast("date")
     return F.try_variant_get(v, "$.data", dtype.simpleString())
 
 
+def _listed(kind: str, items: Column, **more: Column) -> Column:
+    """An envelope over JSON texts, with further JSON fields."""
+    extra = [x for k, c in more.items() for x in (F.lit(f', "{k}": '), c)]
+    return F.concat(F.lit('{"__kind__": "' + kind + '", "data": ['), F.array_join(items, ", "), F.lit("]"), *extra, F.lit("}"))
+
+
+def pack_array(c: Column, dtype: T.ArrayType, number_type: str) -> Column:
+    """An array of any depth as a shaped array, e.g. of ``float64``; its rows have equal lengths."""
+    shape, level, inner = [F.size(c)], c, dtype.elementType
+    while isinstance(inner, T.ArrayType):
+        level, inner = F.coalesce(F.get(level, F.lit(0)), F.array().cast(T.ArrayType(inner.elementType))), inner.elementType
+        shape.append(F.size(level))
+    items = F.transform(c, lambda x: pack_value(x, dtype.elementType))
+    sizes = F.concat(F.lit("["), F.array_join(F.array(*[s.cast("string") for s in shape]), ", "), F.lit("]"))
+    return F.when(c.isNull(), _none()).otherwise(_listed("ndarray", items, dtype=F.lit(json.dumps(number_type)), shape=sizes))
+
+
+def pack_tuple(items: list[tuple[Column, T.DataType]]) -> Column:
+    """Columns of any types as a tuple."""
+    return _listed("tuple", F.array(*[pack_value(c, dtype) for c, dtype in items]))
+
+
+def pack_series(index: Column, index_type: T.DataType, values: Column, value_type: T.DataType) -> Column:
+    """Two arrays of equal length as a labelled series."""
+    pair = lambda i, v: F.concat(F.lit('{"index": '), pack_value(i, index_type), F.lit(', "value": '), pack_value(v, value_type), F.lit("}"))
+    return F.when(index.isNull() | values.isNull(), _none()).otherwise(_listed("Series", F.zip_with(index, values, pair)))
+
+
+def pack_index(values: Column, value_type: T.DataType) -> Column:
+    """An array of labels; labels are written plainly."""
+    text = lambda x: F.coalesce(json_text(x), F.lit("null"))
+    return F.when(values.isNull(), _none()).otherwise(_listed("Index", F.transform(values, text)))
+
+
+# Frequency codes and the text of a period.
+PERIOD_TEXTS = {"Y": "yyyy", "M": "yyyy-MM", "D": "yyyy-MM-dd", "h": "yyyy-MM-dd HH:00", "min": "yyyy-MM-dd HH:mm", "s": "yyyy-MM-dd HH:mm:ss"}
+
+
+def period_text(c: Column, frequency: str) -> Column:
+    """A time as the text of the period it lies in; quarters read 2023Q1."""
+    if frequency == "Q":
+        return F.concat(F.year(c).cast("string"), F.lit("Q"), F.quarter(c).cast("string"))
+    return F.date_format(c, PERIOD_TEXTS[frequency])
+
+
+def pack_period(c: Column, frequency: str) -> Column:
+    text = F.concat(F.lit('{"__kind__": "Period", "data": "'), period_text(c, frequency), F.lit('", "freq": ' + json.dumps(frequency) + "}"))
+    return F.when(c.isNull(), _none()).otherwise(text)
+
+
+def pack_periods(times: Column, frequency: str) -> Column:
+    """An array of times as an index of periods."""
+    quoted = F.transform(times, lambda x: F.concat(F.lit('"'), period_text(x, frequency), F.lit('"')))
+    return F.when(times.isNull(), _none()).otherwise(_listed("PeriodIndex", quoted, freq=F.lit(json.dumps(frequency))))
+
+
+def pack_as(kind: str, c: Column) -> Column:
+    """A text under one of the kinds written as a text: Timestamp, time, ObjectId, GCSPath, complex."""
+    return F.when(c.isNull(), _none()).otherwise(_tag(kind, json_text(c.cast("string"))))
+
+
 def pack_frame_row(index: Column, index_type: T.DataType, c: Column, dtype: T.StructType) -> Column:
     """One row of a table value: its index and its columns, each enveloped.
 
@@ -126,9 +208,13 @@ def unpack_frame(df: DataFrame, column: str, index_type: T.DataType, schema: T.S
     rows = F.try_variant_get(F.try_parse_json(F.col(column)), "$.data", "array<variant>")
     others = [c for c in df.columns if c != column]
     opened = df.select(*others, F.explode(rows).alias("__row"))
-    row = F.col("__row")
-    return opened.select(
+    # Names are looked up in a map, as a path would read dots and quotes in them as its own.
+    row = opened.select(
+        *others, F.try_variant_get("__row", "$.index", "variant").alias("__index"),
+        F.try_variant_get("__row", "$.columns", "map<string,variant>").alias("__columns"),
+    )
+    return row.select(
         *others,
-        _open(F.try_variant_get(row, "$.index", "variant"), index_type).alias("index"),
-        *[_open(F.try_variant_get(row, f"$.columns.{f.name}", "variant"), f.dataType).alias(f.name) for f in schema],
+        _open(F.col("__index"), index_type).alias("index"),
+        *[_open(F.try_element_at("__columns", F.lit(f.name)), f.dataType).alias(f.name) for f in schema],
     )

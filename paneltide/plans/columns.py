@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneltide.functions import changes, dates, describe, dtypes, envelopes, files, names, nested, text
+from paneltide.functions import changes, dates, describe, dtypes, envelopes, files, kinds, names, nested, text
 from paneltide.operators import validate
 from paneltide.plans.registry import query
 from paneltide.schema import parse_type, type_hint
@@ -451,34 +451,71 @@ def unpack_value(t):
                          F.col("v.items")[1].alias("second_item"))
 
 
-@query(
-    "unpack_frame",
-    """SELECT o_orderkey, l_linenumber AS index, l_quantity, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-       AND o_orderstatus = 'F'""",
-)
+@query("unpack_frame", "SELECT l_orderkey AS o_orderkey, l_linenumber AS index, l_quantity, l_returnflag FROM lineitem")
 def unpack_frame(t):
-    """Line items of the finished orders as table values and back."""
-    finished = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return _frames_and_back(t.lineitem.join(finished, "l_orderkey"))
-
-
-@query("unpack_frame_all", "SELECT l_orderkey AS o_orderkey, l_linenumber AS index, l_quantity, l_returnflag FROM lineitem")
-def unpack_frame_all(t):
-    """The same of all line items."""
-    return _frames_and_back(t.lineitem)
-
-
-def _frames_and_back(lines):
+    """Line items as table values and back."""
     dtype = T.StructType([T.StructField("l_quantity", T.DoubleType()), T.StructField("l_returnflag", T.StringType())])
     row = envelopes.pack_frame_row(F.col("l_linenumber"), T.IntegerType(), F.struct("l_quantity", "l_returnflag"), dtype)
     # One envelope per line: a table value may be split over chunk rows of any number.
-    frames = lines.select(
+    frames = t.lineitem.select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.concat(F.lit('{"__kind__": "DataFrame", "data": ['), row, F.lit("]}")).alias("frame"),
     )
     return envelopes.unpack_frame(frames, "frame", T.IntegerType(), dtype)
 
 
+_MIXED = {
+    "ndarray": ("'[[' || p_size || ',1],[2,3]]'", "NULL", "'int64'", "'2,2'", "NULL"),
+    "Series": ("'[' || p_size || ',' || (p_size + 1) || ']'", """'["a","b"]'""", "NULL", "NULL", "NULL"),
+    "Period": ("""'"2020-' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') || '"'""", "NULL", "NULL", "NULL", "'M'"),
+    "PeriodIndex": ("""'["' || (1970 + p_size) || '","1969"]'""", "NULL", "NULL", "NULL", "'Y'"),
+    "Timestamp": ("""'"2020-01-01T00:00:00.' || lpad(CAST(p_size AS VARCHAR), 3, '0') || 'Z"'""", "NULL", "NULL", "NULL", "NULL"),
+    "time": ("""'"12:' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ':00"'""", "NULL", "NULL", "NULL", "NULL"),
+    "Index": ("""'[' || p_size || ',7]'""", "NULL", "NULL", "NULL", "NULL"),
+    "tuple": ("""'["' || p_brand || '",' || p_size || ',null]'""", "NULL", "NULL", "NULL", "NULL"),
+    "ObjectId": ("""'"' || lpad(CAST(p_partkey AS VARCHAR), 24, '0') || '"'""", "NULL", "NULL", "NULL", "NULL"),
+    "complex": ("""'{"im":-2,"re":' || p_size || '}'""", "NULL", "NULL", "NULL", "NULL"),
+    "dict": ("""'{"k":[' || p_size || ']}'""", "NULL", "NULL", "NULL", "NULL"),
+}
+_MIXED_CASES = [
+    " ".join(f"WHEN {i} THEN {case[n]}" for i, case in enumerate(_MIXED.values())) for n in range(5)
+]
+
+
+@query(
+    "open_any",
+    f"""SELECT p_partkey, ({list(_MIXED)})[p_partkey % {len(_MIXED)} + 1] AS kind,
+    """ + ", ".join(f"CASE p_partkey % {len(_MIXED)} {cases} END AS {name}" for cases, name in zip(_MIXED_CASES, ("value", "labels", "dtype", "shape", "freq")))
+    + " FROM part",
+)
+def open_any(t):
+    """One column of envelopes of eleven kinds, opened by the kind each one names."""
+    size = F.col("p_size").cast("int")
+    whole, text = T.IntegerType(), T.StringType()
+    month = F.make_date(F.lit(2020), F.pmod(size, F.lit(12)) + 1, F.lit(1))
+    padded = F.lpad(size.cast("string"), 2, "0")
+    packed = {
+        "ndarray": envelopes.pack_array(F.array(F.array(size, F.lit(1)), F.array(F.lit(2), F.lit(3))), T.ArrayType(T.ArrayType(whole)), "int64"),
+        "Series": envelopes.pack_series(F.array(F.lit("a"), F.lit("b")), text, F.array(size, size + 1), whole),
+        "Period": envelopes.pack_period(month, "M"),
+        "PeriodIndex": envelopes.pack_periods(F.array(F.make_date(1970 + size, F.lit(5), F.lit(2)), F.lit("1969-12-31").cast("date")), "Y"),
+        "Timestamp": envelopes.pack_as("Timestamp", F.concat(F.lit("2020-01-01T00:00:00."), F.lpad(size.cast("string"), 3, "0"), F.lit("Z"))),
+        "time": envelopes.pack_as("time", F.concat(F.lit("12:"), padded, F.lit(":00"))),
+        "Index": envelopes.pack_index(F.array(size, F.lit(7)), whole),
+        "tuple": envelopes.pack_tuple([(F.col("p_brand"), text), (size, whole), (F.lit(None), T.NullType())]),
+        "ObjectId": envelopes.pack_as("ObjectId", F.lpad(F.col("p_partkey").cast("string"), 24, "0")),
+        "complex": envelopes.pack_as("complex", F.concat(size.cast("string"), F.lit("-2j"))),
+        "dict": envelopes.pack_value(F.struct(F.array(size).alias("k")), T.StructType([T.StructField("k", T.ArrayType(whole))])),
+    }
+    kind = F.pmod(F.col("p_partkey"), F.lit(len(packed)))
+    chosen = F.coalesce(*[F.when(kind == list(_MIXED).index(k), c) for k, c in packed.items()])
+    opened = t.part.select("p_partkey", kinds.open_any(chosen).alias("o"))
+    return opened.select(
+        "p_partkey", "o.kind", F.to_json("o.value").alias("value"), F.to_json("o.labels").alias("labels"), "o.dtype",
+        F.array_join(F.col("o.shape").cast("array<string>"), ",").alias("shape"), "o.freq",
+    )
+
+
 @query(
     "plain_document",
     """SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS customer, o_orderstatus AS status FROM orders""",
