@@ -138,6 +138,46 @@ def descriptor(c: Column, dtype: T.DataType, limit: int | None = None) -> Column
     return F.when(c.isNull(), null).otherwise(F.lit(canonical(_scalar(dtype))))
 
 
+def definitions(c: Column, dtype: T.DataType, limit: int | None = None) -> Column:
+    """Canonical JSON of a value's descriptor and of all descriptors inside it, at any depth."""
+    own = F.array(descriptor(c, dtype, limit))
+    text = F.array(F.lit(canonical(STRING)))
+
+    def pair(value: Column, kind: T.DataType) -> Column:
+        return F.concat(F.array(_pair_json(schema_hash(descriptor(value, kind, limit)))), definitions(value, kind, limit))
+
+    if isinstance(dtype, T.StructType):
+        out = F.concat(own, *([text] if len(dtype) else []), *[pair(c[f.name], f.dataType) for f in dtype])
+    elif isinstance(dtype, T.MapType):
+        # Keys are texts in a listed form; a brief form names the descriptor of the key itself.
+        inside = lambda e: F.concat(text, definitions(e["key"], dtype.keyType, limit), pair(e["value"], dtype.valueType))
+        out = F.concat(own, F.flatten(F.transform(F.map_entries(c), lambda e: F.array_distinct(inside(e)))))
+    elif isinstance(dtype, T.ArrayType):
+        out = F.concat(own, F.flatten(F.transform(c, lambda x: F.array_distinct(definitions(x, dtype.elementType, limit)))))
+    else:
+        return own
+    return F.when(c.isNull(), own).otherwise(F.array_distinct(out))
+
+
+def schema_definitions(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    """``schema_hash, definition``: every descriptor met in the columns, once.
+
+    Equal descriptors are one row, whatever holds them, and are combined before the shuffle:
+    a table that opens every hash of ``descriptor``.
+    """
+    met = F.array_distinct(F.concat(*[definitions(F.col(c), df.schema[c].dataType, limit) for c in columns]))
+    distinct = df.select(F.explode(met).alias("definition")).distinct()
+    return distinct.select(schema_hash(F.col("definition")).alias("schema_hash"), "definition")
+
+
+def references(definition: Column) -> Column:
+    """The distinct hashes a descriptor names: of its properties' and of its items' descriptors."""
+    parsed = F.from_json(definition, "properties map<string,string>, items string")
+    named = F.coalesce(F.map_values(parsed["properties"]), F.array().cast("array<string>"))
+    items = F.coalesce(F.regexp_extract_all(parsed["items"], F.lit("[0-9a-f]{8}"), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(named, items))
+
+
 def describe_schema(df: DataFrame) -> DataFrame:
     """One row per path of the table's own schema: path, type and descriptor hash.
 

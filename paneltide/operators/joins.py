@@ -106,33 +106,62 @@ def zip_strict(tables: list[DataFrame], order_by: list[list[str]]) -> DataFrame:
     )
 
 
-def within_range(
-    left: DataFrame,
-    ranges: DataFrame,
-    keys: list[str],
-    lo: str = "lo",
-    hi: str = "hi",
-    bucket_seconds: int | None = None,
-) -> DataFrame:
+def range_cells(start: Column, end: Column, finest: int, levels: int) -> Column:
+    """The dyadic cells that together are the whole numbers from ``start`` to ``end``: level and number.
+
+    Level ``l`` has cells of ``2**l`` numbers.  From the finest level up, an odd start and an even
+    end are cells of their own and the rest goes to the level above, so there are at most two
+    cells a level.
+    """
+    cells = "array<struct<level:int,cell:bigint>>"
+    one = lambda keep, level, c: F.when(keep, F.array(F.struct(level.alias("level"), c.alias("cell")))).otherwise(F.array().cast(cells))
+
+    def step(s: Column, level: Column) -> Column:
+        a, b = s["a"], s["b"]
+        odd, even = (a <= b) & (F.pmod(a, F.lit(2)) == 1), (a <= b) & (F.pmod(b, F.lit(2)) == 0)
+        up = lambda c: F.shiftright(c, 1)
+        some = a <= b
+        # What is left between a start moved up and an end moved down may be empty, and stays so.
+        return F.struct(
+            F.when(some, up(F.when(odd, a + 1).otherwise(a))).otherwise(a).alias("a"),
+            F.when(some, up(F.when(even, b - 1).otherwise(b))).otherwise(b).alias("b"),
+            F.concat(s["cells"], one(odd, level, a), one(even, level, b)).alias("cells"),
+        )
+
+    begin = F.struct(start.cast("long").alias("a"), end.cast("long").alias("b"), F.array().cast(cells).alias("cells"))
+    return F.aggregate(F.sequence(F.lit(finest), F.lit(finest + levels)), begin, step, lambda s: s["cells"])
+
+
+#: Levels of dyadic cells above a microsecond; cells of the finest are about a second wide.
+_FINEST, _TOP = 20, 62
+
+
+def within_range(left: DataFrame, ranges: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", many: bool = False) -> DataFrame:
     """Rows whose range lies inside a range of the same key.
 
-    With one range per key (an attribute's valid range) this is an equi-join and a
-    filter.  With many, give ``bucket_seconds``: ranges are listed under every time
-    bucket they cover and rows meet only the ranges of the bucket they start in.  Ranges
-    are clipped to the buckets of ``left``, so an open one is listed no further than those.
+    With one range per key (an attribute's valid range) this is an equi-join and a filter.
+    With ``many``, a range becomes its dyadic cells, at most two a level however long it is, and
+    a row looks up the cells its start lies in, one for each level that occurs: rows meet only
+    ranges that hold their start.  Ranges are clipped to the times of ``left``, so an open one
+    is a range like others, and no width has to be chosen.
     """
-    on = list(keys)
-    if bucket_seconds is not None:
-        bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (bucket_seconds * 1_000_000))
-        left = left.withColumn("__bucket", bucket("tr_start"))
-        first, last = (left.agg(f("__bucket")).scalar() for f in (F.min, F.max))
-        clipped = ranges.withColumns({"__from": F.greatest(bucket(lo), first), "__to": F.least(bucket(hi), last)})
-        # Without rows on the left the bounds are NULL, and no range is listed.
-        kept = clipped.where((F.col(lo) <= F.col(hi)) & (F.col("__from") <= F.col("__to")) & first.isNotNull())
-        ranges = kept.withColumn("__bucket", F.explode(F.sequence("__from", "__to"))).drop("__from", "__to")
-        on.append("__bucket")
-    joined = left.join(ranges, on).where((F.col("tr_start") >= F.col(lo)) & (F.col("tr_end") <= F.col(hi)))
-    return joined.drop("__bucket")
+    if not many:
+        return left.join(ranges, keys).where((F.col("tr_start") >= F.col(lo)) & (F.col("tr_end") <= F.col(hi)))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    first, last = (left.agg(f(micros("tr_start"))).scalar() for f in (F.min, F.max))
+    # Without rows on the left the bounds are NULL, and no range is listed.
+    clipped = ranges.withColumns({"__from": F.greatest(micros(lo), first), "__to": F.least(micros(hi), last)})
+    kept = clipped.where((F.col(lo) <= F.col(hi)) & (F.col("__from") <= F.col("__to")) & first.isNotNull())
+    cells = range_cells(F.shiftright("__from", _FINEST), F.shiftright("__to", _FINEST), _FINEST, _TOP - _FINEST)
+    listed = kept.select(*ranges.columns, F.inline(cells).alias("__level", "__cell"))
+    used = listed.agg(F.bit_or(F.expr("shiftleft(1L, __level)"))).scalar()
+    levels = F.filter(F.sequence(F.lit(_FINEST), F.lit(_TOP)), lambda l: F.getbit("__used", l) == 1)
+    placed = left.withColumn("__used", F.coalesce(used, F.lit(0).cast("long"))).withColumn("__level", F.explode(levels)).drop("__used").withColumn(
+        "__cell", F.expr("shiftright(unix_micros(CAST(tr_start AS TIMESTAMP)), __level)")
+    )
+    joined = placed.join(listed, [*keys, "__level", "__cell"])
+    # The finest cells are rounded, so bounds are compared all the same.
+    return joined.where((F.col("tr_start") >= F.col(lo)) & (F.col("tr_end") <= F.col(hi))).drop("__level", "__cell")
 
 
 def needed_inputs(blocks: DataFrame, deps: DataFrame, docs_to_run: DataFrame) -> DataFrame:

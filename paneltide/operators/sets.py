@@ -20,15 +20,12 @@ def diff_elements(new: DataFrame | None, old: DataFrame | None, side: str = "bot
         new = old.where(F.lit(False))
     if old is None:
         old = new.where(F.lit(False))
-    # Distinct first: repeated rows are combined map-side, before any join.
-    old = old.select(*new.columns).distinct()
-    new = new.distinct()
-    parts = []
-    if side in ("new", "both"):
-        parts.append(new.subtract(old))
-    if side in ("old", "both"):
-        parts.append(old.subtract(new))
-    out = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+    # One read and one shuffle: sides are tagged, repeated rows are combined map-side, and a
+    # row of both sides ends with both tags.
+    cells = [F.col(c) for c in new.columns]
+    tagged = new.select(*cells, F.lit(1).alias("__side")).unionAll(old.select(*cells, F.lit(2).alias("__side")))
+    wanted = {"new": [1], "old": [2], "both": [1, 2]}[side]
+    out = tagged.groupBy(*cells).agg(F.bit_or("__side").alias("__side")).where(F.col("__side").isin(wanted)).drop("__side")
     return out.orderBy(*[F.col(c).asc_nulls_first() for c in out.columns])
 
 

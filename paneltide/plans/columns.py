@@ -416,6 +416,33 @@ def value_schema_suppliers(t):
     return _quantity_schemas(t, "l_suppkey", F.when(F.col("l_returnflag") != "R", F.col("l_quantity")))
 
 
+_NUMBER_HASH = """substr(sha256('{"type":"number"}'), 1, 8)"""
+_PAIR = """'{{"properties":{{"key":"' || substr(sha256('{{"type":"string"}}'), 1, 8) || '","value":"' || {0} ||
+  '"}},"required":["key","value"],"type":"object","x-type":"key-value-pair"}}'"""
+
+
+@query(
+    "schema_definitions",
+    f"""WITH n AS (SELECT DISTINCT count(*) AS n FROM lineitem GROUP BY l_orderkey),
+    lists AS (SELECT '{{"items":[' || array_to_string(list_transform(range(n), lambda x: '"' || {_NUMBER_HASH} || '"'), ',') ||
+      '],"maxItems":' || n || ',"minItems":' || n || ',"type":"array","x-type":"list"}}' AS d FROM n),
+    pairs AS (SELECT {_PAIR.format('substr(sha256(d), 1, 8)')} AS d FROM lists),
+    dicts AS (SELECT '{{"properties":{{"items":"' || substr(sha256(d), 1, 8) || '"}},"required":["items"],"type":"object","x-length":1,"x-type":"dict"}}' AS d FROM pairs),
+    a AS (SELECT d, 1 AS n FROM lists UNION ALL SELECT d, 2 FROM pairs UNION ALL SELECT d, 1 FROM dicts
+      UNION ALL SELECT '{{"type":"string"}}', 0 UNION ALL SELECT '{{"type":"number"}}', 0)
+    SELECT substr(sha256(d), 1, 8) AS schema_hash, d AS definition, n AS named, n AS opened FROM a""",
+)
+def schema_definitions(t):
+    """All descriptors of the orders' documents {items: quantities}, and how many of the hashes each names are defined."""
+    listed = t.lineitem.groupBy("l_orderkey").agg(F.struct(F.collect_list("l_quantity").alias("items")).alias("doc"))
+    known = describe.schema_definitions(listed, ["doc"])
+    named = known.select("schema_hash", "definition", F.explode_outer(describe.references(F.col("definition"))).alias("named"))
+    hashes = known.select(F.col("schema_hash").alias("known_hash")).distinct()
+    return named.join(hashes, F.col("named") == F.col("known_hash"), "left").groupBy("schema_hash", "definition").agg(
+        F.count("named").cast("int").alias("named"), F.count("known_hash").cast("int").alias("opened")
+    )
+
+
 @query(
     "pack_value",
     """SELECT p_partkey, '{"__kind__": "dict", "data": [[{"__kind__": "str", "data": "p_name"}, {"__kind__": "str", "data": "'

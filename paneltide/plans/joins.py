@@ -172,7 +172,7 @@ def within_range(t):
     WHERE tr_start >= lo AND tr_end <= hi""",
 )
 def within_ranges_open(t):
-    """Several ranges per key, one of them open at both ends, met in buckets of 30 days."""
+    """Several ranges per key, one of them open at both ends, met in dyadic cells."""
     blocks = p.order_blocks(t)
     spring = blocks.where(F.month("tr_start") == 3).select(
         "full_name", F.col("tr_start").alias("lo"), (F.col("tr_start") + F.expr("INTERVAL 200 DAYS")).alias("hi")
@@ -181,7 +181,7 @@ def within_ranges_open(t):
         "full_name", F.lit("0001-01-01").cast("timestamp").alias("lo"), F.lit("9999-12-31").cast("timestamp").alias("hi")
     )
     ranges = spring.distinct().unionByName(always.distinct())
-    out = joins.within_range(blocks, ranges, ["full_name"], bucket_seconds=30 * 86_400)
+    out = joins.within_range(blocks, ranges, ["full_name"], many=True)
     return out.select("full_name", "order_id", "tr_start", "tr_end", F.date_format("lo", "yyyy-MM-dd HH:mm:ss").alias("lo"))
 
 

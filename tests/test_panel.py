@@ -239,9 +239,24 @@ def test_within_many_ranges(spark):
     right = right.unionByName(open_.withColumns({c: F.col(c).cast("timestamp") for c in ("lo", "hi")}))
     want = {(i, j) for i, k, s, n in rows for j, k2, s2, n2 in spans if k == k2 and s >= s2 and s + n <= s2 + n2}
     want |= {(i, 99) for i, k, _, _ in rows if k == "a"}
-    for width in (None, 86_400 * 3):
-        out = [(r.i, r.j) for r in joins.within_range(left, right, ["k"], bucket_seconds=width).select("i", "j").collect()]
+    for many in (False, True):
+        out = [(r.i, r.j) for r in joins.within_range(left, right, ["k"], many=many).select("i", "j").collect()]
         assert len(out) == len(set(out)) and set(out) == want
+    assert joins.within_range(left.limit(0), right, ["k"], many=True).count() == 0
+
+
+def test_range_cells(spark):
+    rng = random.Random(2)
+    spans = [(a, a + rng.choice([0, 1, 2, 7, 300, 10**6])) for a in [rng.randrange(-5000, 5000) for _ in range(200)]] + [(0, 0), (1, 1), (-1, 0), (5, 4)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(spans)], "i int, a long, b long")
+    out = df.select("i", joins.range_cells(F.col("a"), F.col("b"), 3, 40).alias("cells")).collect()
+    for r in out:
+        a, b = spans[r.i]
+        covered = sorted((c.cell << (c.level - 3), (c.cell + 1 << (c.level - 3)) - 1) for c in r.cells)
+        assert len(r.cells) <= 2 * max(1, (b - a + 1).bit_length())
+        # The cells meet end to end from the first number to the last.
+        assert covered == [] if b < a else covered[0][0] == a and covered[-1][1] == b
+        assert all(x[1] + 1 == y[0] for x, y in zip(covered, covered[1:]))
 
 
 def test_merge_with_groups(spark):
