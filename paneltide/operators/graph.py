@@ -16,6 +16,10 @@ from paneltide.session import cut_lineage
 UPSTREAM = "Upstream failure from "
 
 
+#: Rounds after which the documents reached so far become one table again.
+COLLAPSE = 8
+
+
 def propagate_failures(edges: DataFrame, failed: DataFrame) -> DataFrame:
     """Attributes that fail, directly (level 0) or through an input at any distance.
 
@@ -23,14 +27,25 @@ def propagate_failures(edges: DataFrame, failed: DataFrame) -> DataFrame:
     attribute_name)``.  The message names the first failing input and its attributes.
     """
     pair = ["doc_id", "attribute_name"]
-    seen = cut_lineage(failed.select(*pair).distinct().withColumn("level", F.lit(0)))
-    frontier, level = seen, 0
-    while not frontier.isEmpty():
+    direct_pairs = cut_lineage(failed.select(*pair).distinct())
+    # The walk goes over documents: a document that failed once has told all its consumers.
+    links = cut_lineage(edges.select("input_doc_id", "doc_id").distinct())
+    frontier = reached = direct_pairs.select("doc_id").distinct().withColumn("level", F.lit(0))
+    level, parts = 0, 1
+    while True:
         level += 1
-        sources = frontier.select(F.col("doc_id").alias("input_doc_id")).distinct()
-        hit = edges.join(sources, "input_doc_id", "left_semi").select(*pair).distinct()
-        frontier = cut_lineage(hit.join(seen, pair, "left_anti").withColumn("level", F.lit(level)))
-        seen = seen.unionByName(frontier)
+        hit = links.join(frontier.select(F.col("doc_id").alias("input_doc_id")), "input_doc_id", "left_semi").select("doc_id").distinct()
+        frontier = cut_lineage(hit.join(reached.select("doc_id"), "doc_id", "left_anti").withColumn("level", F.lit(level)))
+        if frontier.isEmpty():
+            break
+        reached, parts = reached.unionByName(frontier), parts + 1
+        if parts > COLLAPSE:
+            reached, parts = cut_lineage(reached), 1
+            # Links to documents that failed can tell nothing new.
+            links = cut_lineage(links.join(reached.select("doc_id"), "doc_id", "left_anti"))
+    told = reached.select(F.col("doc_id").alias("input_doc_id"), (F.col("level") + 1).alias("__level"))
+    indirect = edges.join(told, "input_doc_id").groupBy(*pair).agg(F.min("__level").alias("level"))
+    seen = cut_lineage(direct_pairs.withColumn("level", F.lit(0)).unionByName(indirect.join(direct_pairs, pair, "left_anti")))
     lists = seen.select(*pair).groupBy("doc_id").agg(F.sort_array(F.collect_list("attribute_name")).alias("__atts"))
     inputs = lists.select(F.col("doc_id").alias("input_doc_id"), "__atts")
     cause = (

@@ -44,16 +44,37 @@ def time_slice(c: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(c.cast("timestamp")) / (seconds * 1_000_000))
 
 
-def in_slices(df: DataFrame, keys: list[str], order_by: list[str], name: str = "__slice_part") -> DataFrame:
-    """``df`` with a slice number that grows with the order and cuts hot keys evenly.
+#: Rows of a key that one task orders; a key with more is cut.
+ROWS_A_SLICE = 1_000_000
+#: Rows drawn per slice to place its bounds.
+DRAWN = 64
 
-    Spark range-partitions the rows by key and order tuple, so a key with many rows spans
-    many partitions, also when its leading order column never changes; the partition's
-    number is the slice.  The rows are written once to the shared folder: later steps read
-    them instead of repeating what came before, and a lost task sees the same slices.
+
+def in_slices(
+    df: DataFrame, keys: list[str], order_by: list[str], name: str = "__slice_part", rows_a_slice: int = ROWS_A_SLICE
+) -> DataFrame:
+    """``df`` with a slice number that grows with the order and cuts keys of many rows evenly.
+
+    Rows per key are counted (combined before the shuffle).  Only of keys with more than
+    ``rows_a_slice`` rows, order tuples are drawn, and every 64th becomes a bound; a row's slice is
+    the number of its key's bounds below it.  Counts and bounds read the keys and order columns
+    alone, nothing but the bounds is written (some order tuples per hot key), and rows are
+    not moved.  Bounds are tuples, so a key whose leading column never changes is cut as well.
     """
-    placed = df.repartitionByRange(*keys, *order_by)
-    return cut_lineage(placed.withColumn(name, F.spark_partition_id()))
+    kept = df.select(*keys, F.struct(*order_by).alias("__order"))
+    counted = kept.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > rows_a_slice)
+    hot = cut_lineage(counted.select(*[F.col(k).alias(f"__hot_{k}") for k in keys]))
+    if hot.isEmpty():
+        return df.withColumn(name, F.lit(0))
+    same = [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
+    drawn = kept.where(F.rand(7) < DRAWN / rows_a_slice).join(hot, same, "left_semi")
+    ranked = drawn.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("__order")))
+    bounds = ranked.where(F.col("__rank") % DRAWN == 0).groupBy(*[F.col(k).alias(f"__hot_{k}") for k in keys]).agg(
+        F.sort_array(F.collect_set("__order")).alias("__bounds")
+    )
+    joined = df.join(cut_lineage(bounds), same, "left")
+    below = F.size(F.filter("__bounds", lambda b: b < F.struct(*order_by)))
+    return joined.select(*df.columns, F.coalesce(below, F.lit(0)).alias(name))
 
 
 def running(
@@ -109,7 +130,7 @@ def global_position(df: DataFrame, order_by: list[Column], name: str = "position
 
 
 def rank_in_group(
-    df: DataFrame, keys: list[str], order_by: list[str], name: str = "rn", slice_by: Column | None = None
+    df: DataFrame, keys: list[str], order_by: list[str], name: str = "rn", slice_by: Column | None = None, rows_a_slice: int = ROWS_A_SLICE
 ) -> DataFrame:
     """Row number per key from 1, with hot keys cut into slices.
 
@@ -119,5 +140,5 @@ def rank_in_group(
     order = [F.col(c) for c in order_by]
     if slice_by is not None:
         return running(df, keys, order, [one], slice_by, inclusive=True)
-    out = running(in_slices(df, keys, order_by), keys, order, [one], F.col("__slice_part"), inclusive=True)
-    return out.drop("__slice_part")
+    sliced = in_slices(df, keys, order_by, rows_a_slice=rows_a_slice)
+    return running(sliced, keys, order, [one], F.col("__slice_part"), inclusive=True).drop("__slice_part")

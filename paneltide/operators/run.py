@@ -152,14 +152,21 @@ def map_cells(keys: DataFrame, fn: Callable, value: T.DataType, inputs: list[str
 
 
 def map_cells_vectorized(keys: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], value: T.DataType) -> DataFrame:
-    """Call ``fn`` once per Arrow batch of keys with their inputs."""
+    """Call ``fn`` once per Arrow batch of keys with their inputs.
+
+    The function gets Arrow-backed columns, in which integers stay integers beside NULLs; the
+    columns of ``keys`` come back from the batch itself.
+    """
     schema = T.StructType([*keys.schema.fields, T.StructField("value", value)])
+    kind = to_arrow_schema(schema).field("value").type
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(value=fn(pdf))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array(fn(batch.to_pandas(types_mapper=pd.ArrowDtype)), from_pandas=True)
+            made = made.combine_chunks() if isinstance(made, pa.ChunkedArray) else made
+            yield pa.RecordBatch.from_arrays([*batch.columns, made.cast(kind)], names=schema.names)
 
-    return keys.mapInPandas(run, schema)
+    return keys.mapInArrow(run, schema)
 
 
 def map_chunks(

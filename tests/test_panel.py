@@ -26,20 +26,20 @@ def skewed(spark, n=3000):
 
 def test_rank_equals_window_and_hot_key_is_cut(spark):
     df = skewed(spark)
-    got = rank_in_group(df, ["k"], ["at", "id"], "rn")
     want = df.withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy("at", "id")))
-    assert got.join(want, "id").where("rn <> w").count() == 0 and got.count() == df.count()
-    # Eight slices: none holds much more than an eighth of the table, whatever the keys.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    sizes = [r["count"] for r in in_slices(df, ["k"], ["at", "id"], "s").groupBy("s").count().collect()]
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(sizes) == 8 and max(sizes) < 2 * 3000 / 8
+    for rows_a_slice in (1_000_000, 100):
+        got = rank_in_group(df, ["k"], ["at", "id"], "rn", rows_a_slice=rows_a_slice)
+        assert got.join(want, "id").where("rn <> w").count() == 0 and got.count() == df.count()
+    sizes = {(r.k, r.s): r["count"] for r in in_slices(df, ["k"], ["at", "id"], "s", 100).groupBy("k", "s").count().collect()}
+    # A thousand rows of the hot key in slices of about a hundred; other keys stay whole.
+    assert 5 <= sum(k == "hot" for k, _ in sizes) <= 20 and max(n for (k, _), n in sizes.items() if k == "hot") < 300
+    assert {s for k, s in sizes if k != "hot"} == {0}
 
 
 def test_all_times_tied(spark):
     rows = [("hot" if i % 3 == 0 else f"k{i % 50}", 7, i) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, at int, id int")
-    got = rank_in_group(df, ["k"], ["at", "id"], "rn")
+    got = rank_in_group(df, ["k"], ["at", "id"], "rn", rows_a_slice=40)
     want = df.withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy("at", "id")))
     assert got.columns == ["k", "at", "id", "rn"]
     assert got.join(want, "id").where("rn = w").count() == 900

@@ -349,3 +349,23 @@ def test_integers_beside_nulls_stay_integers(spark):
 
     out = run.map_chunks(df.drop("y"), pieces, T.LongType(), ["x"], ["full_name", "tr_start"]).orderBy("tr_start", "chunk_num").collect()
     assert [(r.value, r.failed) for r in out] == [(big, False), (None, False), (None, True), (5, False)]
+
+
+def test_vectorized_cells_keep_longs(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(1, big, "a"), (2, None, None)], "k int, n long, s string").coalesce(1)
+    out = run.map_cells_vectorized(df, lambda pdf: pdf["n"] * 2 + 1, T.LongType())
+    assert sorted(map(tuple, out.collect())) == [(1, big, "a", 2 * big + 1), (2, None, None, None)]
+    halves = run.map_cells_vectorized(df, lambda pdf: pdf["s"].fillna("z") + "!", T.StringType())
+    assert sorted(r.value for r in halves.collect()) == ["a!", "z!"]
+
+
+def test_failures_along_a_chain(spark):
+    """More rounds than are kept apart, a shortcut, and a cycle."""
+    edges = [(f"d{i + 1}", "data", 1, f"d{i}") for i in range(20)] + [("d9", "data", 2, "d1"), ("d0", "more", 1, "d20"), ("x", "data", 1, "y")]
+    df = spark.createDataFrame(edges, "doc_id string, attribute_name string, ord int, input_doc_id string")
+    failed = spark.createDataFrame([("d0", "data"), ("d15", "data")], "doc_id string, attribute_name string")
+    got = {(r.doc_id, r.attribute_name): r.level for r in graph.propagate_failures(df, failed).collect()}
+    want = {("d0", "data"): 0, ("d15", "data"): 0, ("d0", "more"): 6} | {(f"d{i}", "data"): i for i in range(1, 9)}
+    want |= {(f"d{i}", "data"): 2 + i - 9 for i in range(9, 15)} | {(f"d{i}", "data"): i - 15 for i in range(16, 21)}
+    assert got == want
