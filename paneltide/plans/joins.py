@@ -82,33 +82,16 @@ def gather_inputs(t):
     return out.select("full_name", "clone_num", "tr_start", F.explode("inputs").alias("input", "value"))
 
 
-@query(
-    "merge_keyed",
-    """WITH n AS (
-      SELECT event_type, user_id, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS rn
-      FROM events),
-    k AS (SELECT DISTINCT user_id, rn FROM n WHERE event_type IN ('click', 'view', 'purchase'))
-    SELECT k.user_id, k.rn AS occurrence, c.value AS value_0, v.value AS value_1, b.value AS value_2
-    FROM k LEFT JOIN n c ON c.event_type = 'click' AND c.user_id = k.user_id AND c.rn = k.rn
-    LEFT JOIN n v ON v.event_type = 'view' AND v.user_id = k.user_id AND v.rn = k.rn
-    LEFT JOIN n b ON b.event_type = 'purchase' AND b.user_id = k.user_id AND b.rn = k.rn""",
-)
-def merge_keyed(t):
-    parts = [t.events.where(F.col("event_type") == k) for k in ("click", "view", "purchase")]
-    return joins.merge_keyed(parts, ["user_id"], ["ts", "event_id"])
-
-
 _EVENT_TYPES = ("click", "view", "purchase", "signup", "error")
 
 
 @query(
-    "merge_keyed_all",
+    "merge_keyed",
     "WITH n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS rn FROM events) SELECT user_id, rn AS occurrence, "
     + ", ".join(f"max(value) FILTER (event_type = '{k}') AS value_{i}" for i, k in enumerate(_EVENT_TYPES))
     + " FROM n GROUP BY user_id, rn",
 )
-def merge_keyed_all(t):
-    """The same of all event types."""
+def merge_keyed(t):
     parts = [t.events.where(F.col("event_type") == k) for k in _EVENT_TYPES]
     return joins.merge_keyed(parts, ["user_id"], ["ts", "event_id"])
 
