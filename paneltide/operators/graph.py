@@ -44,20 +44,17 @@ def propagate_failures(edges: DataFrame, failed: DataFrame) -> DataFrame:
             # Links to documents that failed can tell nothing new.
             links = cut_lineage(links.join(reached.select("doc_id"), "doc_id", "left_anti"))
     told = reached.select(F.col("doc_id").alias("input_doc_id"), (F.col("level") + 1).alias("__level"))
-    indirect = edges.join(told, "input_doc_id").groupBy(*pair).agg(F.min("__level").alias("level"))
-    seen = cut_lineage(direct_pairs.withColumn("level", F.lit(0)).unionByName(indirect.join(direct_pairs, pair, "left_anti")))
-    lists = seen.select(*pair).groupBy("doc_id").agg(F.sort_array(F.collect_list("attribute_name")).alias("__atts"))
-    inputs = lists.select(F.col("doc_id").alias("input_doc_id"), "__atts")
-    cause = (
-        edges.join(inputs, "input_doc_id", "left_semi")
-        .groupBy(*pair)
-        .agg(F.min_by("input_doc_id", "ord").alias("input_doc_id"))
+    # One pass over the edges of failed inputs gives both the level and the first cause.
+    caused = edges.join(told, "input_doc_id").groupBy(*pair).agg(
+        F.min("__level").alias("level"), F.min_by("input_doc_id", "ord").alias("input_doc_id")
     )
-    told = seen.where("level > 0").join(cause, pair).join(inputs, "input_doc_id")
+    indirect = cut_lineage(caused.join(direct_pairs, pair, "left_anti"))
+    lists = direct_pairs.unionByName(indirect.select(*pair)).groupBy("doc_id").agg(F.sort_array(F.collect_list("attribute_name")).alias("__atts"))
+    told = indirect.join(lists.withColumnRenamed("doc_id", "input_doc_id"), "input_doc_id")
     quoted = F.array_join(F.transform("__atts", lambda a: F.concat(F.lit("'"), a, F.lit("'"))), ", ")
     message = F.concat(F.lit(UPSTREAM), F.col("input_doc_id").cast("string"), F.lit(": ["), quoted, F.lit("]"))
-    direct = seen.where("level = 0").select(
-        *pair, "level", F.lit(None).cast(told.schema["input_doc_id"].dataType).alias("input_doc_id"),
+    direct = direct_pairs.select(
+        *pair, F.lit(0).alias("level"), F.lit(None).cast(told.schema["input_doc_id"].dataType).alias("input_doc_id"),
         F.lit(None).cast("string").alias("message"),
     )
     return direct.unionByName(told.select(*pair, "level", "input_doc_id", message.alias("message")))
