@@ -5,15 +5,21 @@ candidates.  Labelers vote on every candidate (1, -1, or 0 for no opinion): its
 gazetteer, the words before it, its digits and the signs around it.  Expectation
 maximisation over the counts of vote patterns (a few hundred numbers, whatever the input)
 estimates how reliable each labeler is and how likely each pattern is personal data; a
-logistic span classifier is trained on these soft labels, and decides, as one Spark
-expression, which looser candidates are added.
+logistic span classifier is trained on these soft labels, from the votes and from what a span
+and its neighbours look like, and decides, as one Spark expression, which looser candidates
+are added.
+
+A text may hold any number of matches: positions are running sums of lengths taken in blocks,
+what stands around a match comes from the pieces next to it, and overlaps are found in one
+sweep over sorted ends, so the work grows with the text and the matches, not their product.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paneltide.functions.binding import let
@@ -66,6 +72,7 @@ TRUST = (8.0, 2.0)
 EM_ROUNDS, FIT_ROUNDS, FIT_STEP, FIT_RIDGE = 40, 400, 0.5, 1e-3
 THRESHOLD = 0.5
 LABELERS = ("shape", "gazetteer", "context", "digits", "edges")
+LOOKS = ("long", "numeric", "capital", "led", "closed")
 
 
 def _digits(c: Column) -> Column:
@@ -95,25 +102,64 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+#: Items of a block of a running fold; blocks of blocks are folded alike, ``LEVELS`` deep.
+FOLD_BLOCK, LEVELS = 64, 3
+
+
+def running_fold(items: Column, start: Column, join: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
+    """All prefix folds of an array, each with the item itself.
+
+    Appending to an array copies it, so only blocks of ``FOLD_BLOCK`` are built that way; every
+    block begins with the fold of the blocks before it.
+    """
+
+    def of(block: Column, before: Column) -> Column:
+        none = F.array(before)
+        made = F.aggregate(block, none, lambda out, x: F.array_append(out, join(F.element_at(out, -1), x)))
+        return F.slice(made, 2, F.size(block))
+
+    def cut(whole: Column) -> Column:
+        last = F.floor((F.size(whole) - 1) / FOLD_BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(whole, b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+        return F.when(F.size(whole) > 0, blocks).otherwise(F.array(F.slice(whole, 1, 0)))
+
+    def folded(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, start, join))
+        return let(
+            running_fold(sums, start, join, levels - 1),
+            lambda total: F.flatten(F.transform(blocks, lambda block, i: of(block, F.coalesce(F.get(total, i - 1), start)))),
+        )
+
+    # Everything that a lambda reads more than once is named first, or each item would make it anew.
+    return let(items, lambda whole: let(cut(whole), folded)) if levels else let(items, lambda whole: of(whole, start))
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """``start, end, match`` of all matches, leftmost first: code points, end exclusive.
+    """``start, end, match, before, left, right`` of all matches, leftmost first: code points, end exclusive.
 
-    The text between matches comes from a split by the same pattern, so positions are sums
-    of lengths.
+    The text between matches comes from a split by the same pattern, so positions are running
+    sums of lengths.  ``before`` ends what stands between the match and the beginning of the one
+    before; ``left`` and ``right`` are the characters next to it, empty at the text's ends.
     """
 
     def placed(parts: Column) -> Column:
         between, hits = parts["between"], parts["hits"]
+        lengths = F.transform(hits, lambda h, k: F.length(F.get(between, k)) + F.length(h))
 
-        def step(state: Column, k: Column) -> Column:
-            hit = F.get(hits, k)
-            start = state["at"] + F.length(F.get(between, k))
-            span = F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("match"))
-            return F.struct((start + F.length(hit)).alias("at"), F.array_append(state["out"], span).alias("out"))
+        def spans(ends: Column) -> Column:
+            def span(h: Column, k: Column) -> Column:
+                earlier, gap, after = F.coalesce(F.get(hits, k - 1), F.lit("")), F.get(between, k), F.get(between, k + 1)
+                later = F.concat(F.substring(after, 1, 1), F.coalesce(F.substring(F.get(hits, k + 1), 1, 1), F.lit("")))
+                lead = F.concat(earlier, gap)
+                return F.struct(
+                    (F.get(ends, k) - F.length(h)).alias("start"), F.get(ends, k).alias("end"), h.alias("match"),
+                    F.substring(lead, -CONTEXT, CONTEXT).alias("before"), F.substring(lead, -1, 1).alias("left"),
+                    F.substring(later, 1, 1).alias("right"),
+                )
 
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-        places = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, empty, step, lambda s: s["out"])
+            return F.transform(hits, span)
+
+        return let(running_fold(lengths, F.lit(0), lambda a, x: a + x), spans)
 
     parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     return let(parts, placed)
@@ -123,20 +169,16 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
-def _votes(kind: str, base: bool, text: Column, span: Column) -> Column:
+def _votes(kind: str, base: bool, span: Column, domains: Sequence[str], calling_codes: Sequence[str]) -> Column:
     """The labelers' votes on one candidate."""
-    match, digits = span["match"], _digits(span["match"])
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))))
-    around = F.concat(
-        F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise(F.lit(" ")),
-        F.substring(text, span["end"] + 1, F.lit(1)),
-    )
+    match, digits, before = span["match"], _digits(span["match"]), F.lower(span["before"])
+    around = F.concat(span["left"], span["right"])
     no = F.lit(False)
     listed = {
-        "email": lambda: _vote(F.lower(F.regexp_extract(match, r"([A-Za-z]+)$", 1)).isin(DOMAINS), match.rlike(r"[0-9-]$")),
+        "email": lambda: _vote(F.lower(F.regexp_extract(match, r"([A-Za-z]+)$", 1)).isin(list(domains)), match.rlike(r"[0-9-]$")),
         "ip": lambda: _vote(~match.rlike(LOCAL_NETS), match.rlike(LOCAL_NETS)),
         "card": lambda: _vote(digits.rlike(ISSUERS), ~digits.rlike(ISSUERS)),
-        "phone": lambda: _vote(match.rlike(rf"^\+(?:{'|'.join(CALLING_CODES)})[^0-9]*[0-9]|^\([2-9]|^[2-9]"), match.rlike(r"^\+0|^\(?[01]")),
+        "phone": lambda: _vote(match.rlike(rf"^\+(?:{'|'.join(calling_codes)})[^0-9]*[0-9]|^\([2-9]|^[2-9]"), match.rlike(r"^\+0|^\(?[01]")),
     }[kind]()
     return F.struct(
         _vote(F.lit(base), F.lit(not base) & match.rlike(r"\s\s|[\[(]dot")).alias("shape"),
@@ -147,40 +189,67 @@ def _votes(kind: str, base: bool, text: Column, span: Column) -> Column:
     )
 
 
-def _of_kind(kind: str, base: bool, text: Column) -> Column:
+def _looks(span: Column) -> Column:
+    """What the classifier sees of a span besides its votes: 0 or 1 each."""
+    match = span["match"]
+    seen = {
+        "long": F.length(match) > 16,
+        "numeric": 2 * F.length(_digits(match)) > F.length(match),
+        "capital": match.rlike("[A-Z]"),
+        "led": span["left"].rlike(r"^[\s:=<(]?$"),
+        "closed": span["right"].rlike(r"^[\s,;.>)]?$"),
+    }
+    return F.struct(*[c.cast("int").alias(name) for name, c in seen.items()])
+
+
+def _of_kind(kind: str, base: bool, text: Column, domains: Sequence[str], calling_codes: Sequence[str]) -> Column:
     """Valid candidates of one kind and form with their votes."""
     pattern = BASE[kind] if base else LOOSE[kind]
 
     def row(span: Column) -> Column:
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), span["start"].alias("start"), span["end"].alias("end"),
-            F.lit(base).alias("base"), _votes(kind, base, text, span).alias("votes"),
+            F.lit(base).alias("base"), _votes(kind, base, span, domains, calling_codes).alias("votes"), _looks(span).alias("looks"),
         )
 
     found = _matches(text, pattern)
     if base and kind != "email":
         found = F.filter(found, lambda s: valid(kind, s["match"]))
-    votes = "struct<" + ",".join(f"{name}:int" for name in LABELERS) + ">"
-    none = F.array().cast(f"array<struct<kind:int,start:int,end:int,base:boolean,votes:{votes}>>")
+    votes, looks = ("struct<" + ",".join(f"{name}:int" for name in names) + ">" for names in (LABELERS, LOOKS))
+    none = F.array().cast(f"array<struct<kind:int,start:int,end:int,base:boolean,votes:{votes},looks:{looks}>>")
     return F.when(MAY_HOLD[kind, base](text), F.transform(found, row)).otherwise(none)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domains: Sequence[str] = DOMAINS,
+    calling_codes: Sequence[str] = CALLING_CODES,
+) -> DataFrame:
     """``doc_id, spans``: base and looser candidates of every whole text."""
 
     def all_forms(text: Column) -> Column:
-        return F.concat(
-            *[_of_kind(k, True, text) for k in KINDS], *[_of_kind(k, False, text) for k in LOOSE]
-        )
+        forms = [(k, True) for k in KINDS] + [(k, False) for k in LOOSE]
+        return F.concat(*[_of_kind(k, base, text, domains, calling_codes) for k, base in forms])
 
     return docs.select(F.col(id_col).alias("doc_id"), let(text_of(F.col(text_col)), all_forms).alias("spans"))
 
 
-def _pattern_counts(found: DataFrame) -> list[tuple[tuple, float]]:
-    """How often each (kind, votes) occurs: at most 4 * 3**5 rows, counted map-side first."""
-    one = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes.*")
-    rows = one.groupBy("kind", *LABELERS).count().orderBy("kind", *LABELERS).collect()
-    return [((r["kind"], *[r[name] for name in LABELERS]), float(r["count"])) for r in rows]
+Counts = list[tuple[tuple, float]]
+
+
+def _pattern_counts(found: DataFrame) -> tuple[Counts, Counts]:
+    """How often each (kind, votes) occurs, and each (kind, votes, looks).
+
+    There are at most 4 * 3**5 * 2**5 rows, counted map-side first.
+    """
+    names = [*LABELERS, *LOOKS]
+    one = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes.*", "s.looks.*")
+    rows = one.groupBy("kind", *names).count().orderBy("kind", *names).collect()
+    seen = [((r["kind"], *[r[name] for name in names]), float(r["count"])) for r in rows]
+    votes: dict[tuple, float] = {}
+    for key, n in seen:
+        short = key[: 1 + len(LABELERS)]
+        votes[short] = votes.get(short, 0.0) + n
+    return list(votes.items()), seen
 
 
 def estimate(counts: list[tuple[tuple, float]]) -> dict[tuple, float]:
@@ -216,30 +285,54 @@ def _features(key: tuple) -> list[float]:
     return [1.0, *[1.0 if key[0] == k else 0.0 for k in range(len(KINDS))], *map(float, key[1:])]
 
 
-def fit_classifier(counts: list[tuple[tuple, float]], truth: dict[tuple, float]) -> list[float]:
+def fit_classifier(counts: Counts, truth: dict[tuple, float]) -> list[float]:
     """Weights of a logistic classifier of spans, trained on the soft labels, weighted by counts."""
-    total = sum(n for _, n in counts)
-    weights = [0.0] * (1 + len(KINDS) + len(LABELERS))
-    for _ in range(FIT_ROUNDS if total else 0):
-        slope = [FIT_RIDGE * w for w in weights]
-        for key, n in counts:
-            x = _features(key)
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(weights, x))))))
-            for i, v in enumerate(x):
-                slope[i] += (p - truth[key]) * v * n / total
-        weights = [w - FIT_STEP * s for w, s in zip(weights, slope)]
-    return weights
+    weights = np.zeros(1 + len(KINDS) + len(LABELERS) + len(LOOKS))
+    if not counts:
+        return weights.tolist()
+    x = np.array([_features(key) for key, _ in counts])
+    n = np.array([n for _, n in counts])
+    y = np.array([truth[key[: 1 + len(LABELERS)]] for key, _ in counts])
+    for _ in range(FIT_ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        weights = weights - FIT_STEP * (FIT_RIDGE * weights + x.T @ ((p - y) * n) / n.sum())
+    return weights.tolist()
 
 
 def _score(span: Column, weights: list[float]) -> Column:
     total = F.lit(weights[0])
     for i in range(len(KINDS)):
         total = total + F.when(span["kind"] == i, F.lit(weights[1 + i])).otherwise(F.lit(0.0))
-    for i, name in enumerate(LABELERS):
-        total = total + span["votes"][name] * F.lit(weights[1 + len(KINDS) + i])
+    for i, (group, name) in enumerate([*[("votes", n) for n in LABELERS], *[("looks", n) for n in LOOKS]]):
+        total = total + span[group][name] * F.lit(weights[1 + len(KINDS) + i])
     return 1 / (1 + F.exp(-total))
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``others``, in one sweep.
+
+    Others that begin before a span ends come before it in the sorted line; it overlaps one of
+    them if the largest of their ends lies behind its start.
+    """
+
+    def line(both: Column) -> Column:
+        spans, others = both["spans"], both["others"]
+        of = F.transform(others, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("rank"), b["end"].alias("reach"), F.lit(None).cast("int").alias("i")))
+        own = F.transform(spans, lambda s, i: F.struct(s["end"].alias("at"), F.lit(0).alias("rank"), F.lit(0).alias("reach"), i.alias("i")))
+
+        def swept(line: Column) -> Column:
+            return let(
+                running_fold(F.transform(line, lambda e: e["reach"]), F.lit(0), lambda a, x: F.greatest(a, x)),
+                lambda most: F.filter(
+                    F.transform(line, lambda e, k: F.when(F.get(most, k) <= F.get(spans, e["i"])["start"], F.get(spans, e["i"]))), lambda s: s.isNotNull()
+                ),
+            )
+
+        return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(F.array_sort(F.concat(of, own)), swept)).otherwise(spans)
+
+    return let(F.struct(spans.alias("spans"), others.alias("others")), line)
+
+
 def _listed(spans: Column) -> Column:
     """``kind:start:end`` of sorted spans, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -248,28 +341,21 @@ def _listed(spans: Column) -> Column:
     )
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, domains: Sequence[str] = DOMAINS,
+    calling_codes: Sequence[str] = CALLING_CODES,
+) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` of every row.
 
     Counts and hash are those of the base spans; ``spans`` has the added ones too.  An added
-    span never overlaps a base span, nor an added span of a kind before its own.  NULL and
-    empty texts have no spans; NULL ids pass through; repeated rows are searched each; an
-    empty table gives no rows (and no candidates to learn from: nothing is added); further
-    columns are ignored.
+    span never overlaps a base span, nor a span chosen of a kind before its own.  ``domains`` and
+    ``calling_codes`` are the gazetteers.  NULL and empty texts have no spans; NULL ids pass
+    through; repeated rows are searched each; an empty table gives no rows (and no candidates
+    to learn from: nothing is added); further columns are ignored.
     """
-    found = cut_lineage(candidates(docs, id_col, text_col))
-    counts = _pattern_counts(found)
-    weights = fit_classifier(counts, estimate(counts))
-
-    def overlap(a: Column, b: Column) -> Column:
-        return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-    base = F.filter("spans", lambda s: s["base"])
-    chosen = F.filter(
-        "spans",
-        lambda s: ~s["base"] & (_score(s, weights) > threshold) & ~F.exists("base_spans", lambda b: overlap(s, b)),
-    )
-    apart = F.filter("chosen", lambda s: ~F.exists("chosen", lambda b: (b["kind"] < s["kind"]) & overlap(s, b)))
+    found = cut_lineage(candidates(docs, id_col, text_col, domains, calling_codes))
+    votes, seen = _pattern_counts(found)
+    weights = fit_classifier(seen, estimate(votes))
 
     def of_kind(number: int) -> Callable[[Column], Column]:
         return lambda s: s["kind"] == number
@@ -277,7 +363,16 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def order(spans: Column) -> Column:
         return F.sort_array(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
 
-    rows = found.withColumn("base_spans", base).withColumn("chosen", chosen).withColumn("added", apart)
+    base = F.filter("spans", lambda s: s["base"])
+    likely = F.filter("spans", lambda s: ~s["base"] & (_score(s, weights) > threshold))
+    rows = found.withColumns({"base_spans": base, "likely": likely}).withColumn("chosen", _apart(F.col("likely"), F.col("base_spans")))
+    loose = sorted(KINDS.index(k) for k in LOOSE)
+    for k in loose:
+        rows = rows.withColumn(f"chosen_{k}", F.filter("chosen", of_kind(k)))
+    added = [F.col(f"chosen_{loose[0]}")]
+    for at, k in enumerate(loose[1:], 1):
+        added.append(_apart(F.col(f"chosen_{k}"), F.concat(*[F.col(f"chosen_{x}") for x in loose[:at]])))
+    rows = rows.withColumn("added", F.concat(*added))
     return rows.select(
         "doc_id",
         *[
