@@ -14,7 +14,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paneltide.llm.common import free_name, text_of, word_count
+from paneltide.llm.common import cut_lineage, free_name, text_of, word_count
 
 #: Stands for every category without a target, NULL among them.
 OTHER = "*"
@@ -90,11 +90,14 @@ def _with_cells(docs: DataFrame, targets: Targets, source: Column, lang: Column,
 
 def _chosen(
     docs: DataFrame, targets: Targets, share: float, id_col: str, text_col: str, source_col: str, lang_col: str,
-    topic: Column | None, name: str,
+    topic: Column | None, name: str, narrow: bool = False,
 ) -> DataFrame:
-    """``docs`` with a struct ``name``: topic, tokens, probability, kept."""
+    """``docs`` (when ``narrow``, without its texts) with a struct ``name``: topic, tokens, probability, kept."""
     topic = form_of(F.col(text_col)) if topic is None else topic
     marked = _with_cells(docs, targets, F.col(source_col), F.col(lang_col), topic, text_col, name)
+    if narrow:
+        # Topics and words are read from the texts once, and written without them.
+        marked = cut_lineage(marked.drop(text_col))
     info = F.col(name)
     counted = marked.groupBy(info["cell"]["source"].alias("s"), info["cell"]["lang"].alias("l"), info["cell"]["topic"].alias("t")).agg(
         F.sum(info["tokens"]).alias("n")
@@ -104,17 +107,17 @@ def _chosen(
     rows = [(s, l, t, weights[s, l, t] / n if n else 0.0) for (s, l, t), n in sorted(cells.items())]
     table = docs.sparkSession.createDataFrame(rows, "s string, l string, t string, p double")
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(SEED)), 11).cast("double") / float(1 << 53)
-    p = free_name(docs, "p_")
+    p, of_cell = free_name(marked, "p_"), free_name(marked, "cell_")
     # As many rows as there are cells, see above: bounded by the targets.
     cell_of = F.broadcast(
-        table.select(F.struct(F.col("s").alias("source"), F.col("l").alias("lang"), F.col("t").alias("topic")).alias(p + "cell"), F.col("p").alias(p))
+        table.select(F.struct(F.col("s").alias("source"), F.col("l").alias("lang"), F.col("t").alias("topic")).alias(of_cell), F.col("p").alias(p))
     )
-    joined = marked.join(cell_of, info["cell"] == F.col(p + "cell"), "left")
+    joined = marked.join(cell_of, info["cell"] == F.col(of_cell), "left")
     chance = F.coalesce(F.col(p), F.lit(0.0))
     decided = F.struct(
         info["topic"].alias("topic"), info["tokens"].alias("tokens"), chance.alias("probability"), (u < chance).alias("kept")
     )
-    return joined.withColumn(name, decided).select(*docs.columns, name)
+    return joined.withColumn(name, decided).select(*[c for c in docs.columns if c in marked.columns], name)
 
 
 def mix_weights(
@@ -133,7 +136,7 @@ def mix_weights(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"),
         F.col(text_col).alias("text"), (form_of(F.col(text_col)) if topic is None else topic).alias("topic"),
     )
-    got = _chosen(columns, targets, share, "doc_id", "text", "source", "lang", F.col("topic"), "mix")
+    got = _chosen(columns, targets, share, "doc_id", "text", "source", "lang", F.col("topic"), "mix", narrow=True)
     return got.select("doc_id", "source", "lang", "topic", F.col("mix.tokens"), F.col("mix.probability"), F.col("mix.kept"))
 
 

@@ -51,11 +51,9 @@ def assign_shards(
         raise ValueError("no shards")
     key, text = F.col(id_col), text_of(F.col(text_col))
 
-    # The hash covers the id alone, so the block is known without reading texts.
-    def block(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c, F.lit("block")), F.lit(blocks)).cast("int")
-
-    sizes = docs.select(rendezvous(key, weights).alias("shard"), block(key).alias("block")).groupBy("shard", "block").agg(
+    # The hash covers the text as well, so the rows of one repeated or NULL id spread over blocks.
+    block = F.pmod(F.xxhash64(key, text, F.lit("block")), F.lit(blocks)).cast("int")
+    sizes = docs.select(rendezvous(key, weights).alias("shard"), block.alias("block")).groupBy("shard", "block").agg(
         F.count("*").alias("n")
     )
     earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +65,7 @@ def assign_shards(
         F.lit("key").alias("law"),
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, [*weights, grown_weight]).alias("grown_shard"),
-        block(key).alias("block"),
+        block.alias("block"),
     )
     inside = Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
     return (
