@@ -2,10 +2,13 @@
 
 A tree builder reads the tags (with the end tags that HTML implies and void elements) and
 visibility rules take out what a browser does not show: elements that are not rendered, the
-hidden attribute and CSS in style attributes.  Labels of SVG, MathML and the options that a
+hidden attribute and CSS in style attributes (of a property the last declaration counts, an
+important one first; ``display`` takes out all inside, ``visibility`` is inherited and can be
+set back).  Labels of SVG, MathML and the options that a
 list shows are text like any other; what SVG repeats by ``use`` is not.  The tree is then laid out: blocks
 are set apart by line breaks, paragraphs by blank lines, list items get their marks and
-indents, table cells are padded to columns.  All visible text is emitted.
+indents, table cells are padded to columns, with the grid that ``rowspan`` and ``colspan`` make.
+All visible text is emitted.
 
 Pages are independent: one pass of Arrow batches, no shuffle.
 """
@@ -81,18 +84,26 @@ TAG = re.compile(
     rf"((?:[ \t\n\r\f/]++|{re.sub(r'(?<!\\)\((?!\?)', '(?:', _ATTRIBUTE)})*+)(?:>|\Z)",
     re.S,
 )
-NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: A declaration ends at ";" outside of quotes and parentheses.
+DECLARATION = re.compile(r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|\([^)]*+(?:\)|\Z)|[^;\"'(])++")
 SPACES = re.compile(r"[ \t\n\r\f]+")
+# Types of input whose value is not on the page as text, and limits of spans in HTML.
+NO_VALUE = frozenset("checkbox radio password file color range hidden image".split())
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
-#: Tables inside so many others are laid out as plain blocks; trees may be of any depth.
-NESTED_TABLES = 8
+#: Tables inside so many others are laid out as plain blocks (trees may be of any depth), and
+#: columns are padded to so many characters at most: both bound the padding, no text is lost.
+NESTED_TABLES, COLUMN_WIDTH = 32, 400
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hidden", "space", "labels")
+    __slots__ = ("tag", "attrs", "children", "hidden", "visible", "space", "labels")
 
-    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool, space: str = "", labels: bool = True):
-        self.tag, self.attrs, self.hidden = tag, attrs, hidden
+    def __init__(self, tag: str, attrs: dict[str, str], hidden: bool, visible: bool = True, space: str = "", labels: bool = True):
+        self.tag, self.attrs = tag, attrs
+        # Hidden with all inside, and whether text directly inside is visible.
+        self.hidden, self.visible = hidden, visible
         # The vocabulary ("" is HTML), and whether text directly inside is shown (in SVG only that of labels is).
         self.space, self.labels = space, labels
         self.children: list[Node | str] = []
@@ -106,12 +117,36 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _hides(tag: str, attrs: dict[str, str]) -> bool:
-    return (
-        tag in HIDDEN or "hidden" in attrs
-        or bool(NOT_SHOWN.search(attrs.get("style", ""))) or tag == "dialog" and "open" not in attrs
-        or tag == "input" and attrs.get("type", "").lower() == "hidden"
-    )
+def _style(text: str) -> dict[str, str]:
+    """Values of the properties ``display`` and ``visibility`` in a style attribute."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in DECLARATION.findall(COMMENT.sub(" ", text)) if "display" in text.lower() or "visibility" in text.lower() else ():
+        name, colon, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if not colon or name not in ("display", "visibility"):
+            continue
+        important = bool(re.search(r"!\s*important$", value))
+        value = re.sub(r"\s*!\s*important$", "", value)
+        # What is not one word (or two, as in "inline flex") is no valid value and changes nothing.
+        if re.fullmatch(r"[a-z-]+(?: [a-z-]+){0,2}", value) and (important or not out.get(name, (False, ""))[0]):
+            out[name] = important, value
+    return {k: v for k, (_, v) in out.items()}
+
+
+def _visible(style: dict[str, str], parent: Node, attribute: str = "") -> bool:
+    """Is an element visible, by its own declaration or else as its parent?"""
+    own = style.get("visibility", attribute)
+    if own in ("hidden", "collapse"):
+        return False
+    return own in ("visible", "initial") or parent.visible
+
+
+def _hides(tag: str, attrs: dict[str, str], style: dict[str, str]) -> bool:
+    if tag in HIDDEN or tag == "input" and attrs.get("type", "").strip().lower() == "hidden":
+        return True
+    # A display of its own takes the place of that of the attribute.
+    shown = "none" if "hidden" in attrs or tag == "dialog" and "open" not in attrs else ""
+    return style.get("display", shown) == "none"
 
 
 def _space(stack: list[Node], tag: str, attrs: dict[str, str]) -> str:
@@ -127,13 +162,14 @@ def _space(stack: list[Node], tag: str, attrs: dict[str, str]) -> str:
 
 def _foreign(parent: Node, tag: str, attrs: dict[str, str], space: str) -> Node:
     """An element of SVG or MathML."""
-    hidden = tag in FOREIGN_HIDDEN[space] or bool(NOT_SHOWN.search(attrs.get("style", "")))
-    hidden = hidden or attrs.get("display", "").strip().lower() == "none" or attrs.get("visibility", "").strip().lower() in ("hidden", "collapse")
+    style = _style(attrs.get("style", ""))
+    hidden = tag in FOREIGN_HIDDEN[space] or style.get("display", attrs.get("display", "").strip().lower()) == "none"
+    visible = _visible(style, parent, attrs.get("visibility", "").strip().lower())
     if parent.space == space and parent.tag in FIRST_SHOWN[space]:
         # A branch for one language may not be taken; then the next is.
         hidden = hidden or any(isinstance(c, Node) and "systemlanguage" not in c.attrs for c in parent.children)
     labels = space == "math" or tag in ("text", "foreignobject") or parent.space == "svg" and parent.labels
-    return Node(tag, attrs, hidden, space, labels)
+    return Node(tag, attrs, hidden, visible, space, labels)
 
 
 def _self_closing(text: str) -> bool:
@@ -155,14 +191,15 @@ def build_tree(page: str) -> Node:
         m = TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text and stack[-1].labels:
-            stack[-1].children.append(html.unescape(text))
+            # What is not visible still keeps its neighbours apart.
+            stack[-1].children.append(html.unescape(text) if stack[-1].visible else " ")
         if not m:
             return root
         at = m.end()
         if stack[-1].space and page.startswith("<![CDATA[", m.start()):
             end = page.find("]]>", m.start())
             at = len(page) if end < 0 else end + 3
-            if stack[-1].labels:
+            if stack[-1].labels and stack[-1].visible:
                 stack[-1].children.append(page[m.start() + 9 : end if end >= 0 else len(page)])
             continue
         if m.group(2) is None:
@@ -180,7 +217,8 @@ def build_tree(page: str) -> Node:
                 stack.append(node)
             continue
         _imply(stack, tag)
-        node = Node(tag, attrs, _hides(tag, attrs))
+        style = _style(attrs["style"]) if "style" in attrs else {}
+        node = Node(tag, attrs, _hides(tag, attrs, style), _visible(style, stack[-1]))
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -188,7 +226,8 @@ def build_tree(page: str) -> Node:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             place = end.start() if end else len(page)
             raw = page[at:place]
-            node.children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
+            if node.visible:
+                node.children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             close = TAG.match(page, place)
             at = close.end() if close else len(page)
             continue
@@ -317,8 +356,16 @@ class Flow:
         self.gap = True
 
 
-def render(node: Node, tables: int = 0) -> list[str]:
-    """Laid-out lines of what is visible below a node."""
+def _shown_value(item: Node) -> str:
+    """What an image or an input shows as text."""
+    if item.tag == "img":
+        return item.attrs.get("alt", "")
+    kind = item.attrs.get("type", "").strip().lower()
+    return item.attrs.get("alt", "") if kind == "image" else "" if kind in NO_VALUE else item.attrs.get("value", "")
+
+
+def render(node: Node, nested: int = NESTED_TABLES, width: int = COLUMN_WIDTH) -> list[str]:
+    """Laid-out lines of what is visible below a node; ``nested`` more levels of tables get columns."""
     flow = Flow()
     # Each entry is text, a node to enter, or what to do on leaving one; no recursion but for cells.
     todo: list = list(reversed(node.children))
@@ -349,7 +396,7 @@ def render(node: Node, tables: int = 0) -> list[str]:
                 todo.append(" ")
             todo.extend(reversed(item.children))
         elif tag == "select":
-            shown, opened = _options(item)
+            shown, opened = _options(item) if item.visible else ([], False)
             for line in shown:
                 flow.end() if opened else flow.text(" ")
                 flow.text(line)
@@ -358,13 +405,12 @@ def render(node: Node, tables: int = 0) -> list[str]:
             flow.end(keep=True)
         elif tag == "hr":
             flow.blank()
-        elif tag == "img":
-            flow.text(" " + item.attrs["alt"] + " ") if item.attrs.get("alt", "").strip() else None
-        elif tag == "input":
-            flow.text(" " + item.attrs["value"] + " ") if item.attrs.get("value", "").strip() else None
-        elif tag == "table" and tables < NESTED_TABLES:
+        elif tag in ("img", "input"):
+            value = _shown_value(item) if item.visible else ""
+            flow.text(" " + value + " ") if value.strip() else None
+        elif tag == "table" and nested > 0:
             flow.blank()
-            for line in _table(item, tables + 1):
+            for line in _table(item, nested - 1, width):
                 flow.line = [line] if line else []
                 flow.end(keep=True)
             flow.blank()
@@ -386,7 +432,7 @@ def render(node: Node, tables: int = 0) -> list[str]:
             elif tag == "pre":
                 pre += 1
             if tag == "details" and "open" not in item.attrs:
-                todo.extend(c for c in reversed(item.children) if isinstance(c, Node) and c.tag == "summary")
+                todo.extend([c for c in item.children if isinstance(c, Node) and c.tag == "summary"][:1])
             else:
                 todo.extend(reversed(item.children))
         else:
@@ -423,59 +469,90 @@ def _rows(table: Node) -> tuple[list[list[Node]], list[Node | str]]:
     return rows, loose
 
 
-def _table(table: Node, depth: int) -> list[str]:
+def _span(cell: Node, name: str, most: int) -> int:
+    """Columns or rows of a cell, clamped as browsers do; 0 rows reach to the end."""
+    found = re.match(r"\s*\+?(\d+)", cell.attrs.get(name, ""))
+    if not found:
+        return 1
+    n = int(found[1][:9])
+    return min(n, most) if n else most if name == "rowspan" else 1
+
+
+def _places(rows: list[list[Node]]) -> list[list[int]]:
+    """First column of every cell, in the grid left by cells of earlier rows that reach down."""
+    places: list[list[int]] = []
+    # Columns taken from above, as runs (first column, end, last row), in order.
+    taken: list[tuple[int, int, int]] = []
+    for r, row in enumerate(rows):
+        taken = [t for t in taken if t[2] >= r]
+        at, run, own, fresh = 0, 0, [], []
+        for cell in row:
+            while run < len(taken) and taken[run][0] <= at:
+                at = max(at, taken[run][1])
+                run += 1
+            own.append(at)
+            end = at + _span(cell, "colspan", MOST_COLUMNS)
+            down = _span(cell, "rowspan", MOST_ROWS)
+            if down > 1:
+                fresh.append((at, end, r + down - 1))
+            at = end
+        places.append(own)
+        taken = sorted(taken + fresh)
+    return places
+
+
+def _table(table: Node, nested: int, width: int) -> list[str]:
     """Lines of a table: what is outside of cells first (a caption), then padded rows."""
     rows, loose = _rows(table)
     holder = Node("div", {}, False)
     holder.children = loose
-    lines = render(holder, depth) if loose else []
-    laid = [[render(cell, depth) for cell in row] for row in rows]
-    # Columns by place in the row; a cell spanning several takes the place of the first.
-    places = []
-    for row in rows:
-        at, own = 0, []
-        for cell in row:
-            own.append(at)
-            span = cell.attrs.get("colspan", "1")
-            at += min(int(span), 100) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1
-        places.append(own)
+    lines = render(holder, nested, width) if loose else []
+    laid = [[render(cell, nested, width) for cell in row] for row in rows]
+    places = _places(rows)
     widths: dict[int, int] = {}
     for own, row in zip(places, laid):
         for i, (place, cell) in enumerate(zip(own, row)):
             if i + 1 < len(row):
                 widths[place] = max(widths.get(place, 0), max(map(len, cell), default=0))
-    # One cell as long as a page must not pad all rows to its length.
-    widths = {k: min(v, 60) for k, v in widths.items()}
+    # Where each column starts: behind those before it that have a width.
+    starts, total = {}, 0
+    for place in sorted(widths.keys() | {p for own in places for p in own}):
+        starts[place] = total
+        total += min(widths[place], width) + 3 if place in widths else 0
     for own, row in zip(places, laid):
         for k in range(max(map(len, row), default=0)):
             line = ""
             for place, cell in zip(own, row):
-                start = sum(widths.get(p, 0) + 3 for p in range(place) if p in widths)
-                line = line.ljust(start - 3) + " | " if place else line
+                line = line.ljust(starts[place] - 3) + " | " if place else line
                 line += cell[k] if k < len(cell) else ""
             lines.append(line.rstrip())
     return lines
 
 
-def visible_text(page: str | None) -> str:
+def visible_text(page: str | None, nested: int = NESTED_TABLES, width: int = COLUMN_WIDTH) -> str:
     """All text a browser would show, laid out; empty for NULL and empty pages."""
-    return "\n".join(render(build_tree(page))) if page else ""
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [visible_text(p.as_py()) for p in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    return "\n".join(render(build_tree(page), nested, width)) if page else ""
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", nested: int = NESTED_TABLES,
+    width: int = COLUMN_WIDTH,
+) -> DataFrame:
     """``page_id, url, text, n_chars, n_lines`` of every row.
 
-    NULL and empty pages give empty text; NULL ids and addresses pass through; repeated rows
-    are read each; an empty table gives no rows; further columns are ignored.
+    Tables inside ``nested`` others are laid out as blocks, and a column is padded to ``width``
+    characters at most (a longer cell shifts its own row); no text is lost by either.  NULL and
+    empty pages give empty text; NULL ids and addresses pass through; repeated rows are read
+    each; an empty table gives no rows; further columns are ignored.
     """
     arrow_session(pages.sparkSession)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [visible_text(p.as_py(), nested, width) for p in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string"))
-    got = rows.mapInArrow(_extract, "page_id long, url string, text string")
+    got = rows.mapInArrow(extract, "page_id long, url string, text string")
     lines = F.when(F.col("text") == "", 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
     return got.withColumns({"n_chars": F.length("text").cast("long"), "n_lines": lines})
