@@ -3,7 +3,8 @@
 One view is the content: hashed words and signs of the text.  The other is what a page
 tells without its words: source, language, sizes, layout.  Each view's logistic
 regression is trained on labelled documents; over some rounds each labels the documents
-of an unlabelled pool that it is sure of, and the *other* view learns from them.  Each
+of an unlabelled pool that it is sure of, and the *other* view learns from them.  The pool is a
+share of the corpus and grows with it; fits are distributed.  Each
 view's score is then calibrated on labelled documents kept apart, and the calibrated
 log-odds are added (less the prior, which both contain) to score every document.
 """
@@ -20,8 +21,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paneltide.functions.binding import let
 from paneltide.llm.common import cut_lineage, text_of
 
-#: Labelled documents and unlabelled pool used for fitting: bounded samples, by id hash.
-LABELLED, POOL = 8_000, 6_000
+#: Labelled documents used for fitting at most: a bounded sample, by id hash.
+LABELLED = 8_000
+#: The unlabelled pool: a share of all documents by their hash, and this many where the share is less.
+POOL, POOL_SHARE = 6_000, 0.04
+#: Sampled documents that one task of a fit holds.
+ROWS_A_TASK = 8_000
 ROUNDS, SURE = 2, 0.98
 CONTENT_DIMS, META_DIMS = 1 << 13, 1 << 8
 ITERATIONS, RIDGE, PSEUDO_WEIGHT = 15, 1e-3, 0.5
@@ -140,10 +145,13 @@ def _place(c: Column, salt: str) -> Column:
 def co_train(
     docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality",
+    pool_share: float = POOL_SHARE,
 ) -> CoTrained | None:
-    """Fit on at most about ``labelled`` labelled and ``pool`` further documents.
+    """Fit on at most about ``labelled`` labelled documents and a pool of further ones.
 
-    None if the labelled documents do not have both classes: there is nothing to learn then.
+    The pool has ``pool_share`` of all documents, ``pool`` at least.  A labelled id counts once
+    however many rows repeat it, and so does a pair of id and text in the pool.  None if the
+    labelled documents do not have both classes: there is nothing to learn then.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     share = labelled / max(1, known.count())
@@ -151,17 +159,21 @@ def co_train(
         F.max(label_col).cast("double").alias("label")
     )
     # The pool takes documents by their hash, labelled ones among them without their labels.
-    near = _place(F.col(id_col), "pool") < pool / max(1, docs.count())
+    total = docs.count()
+    taken = max(pool / max(1, total), pool_share)
+    own_hash = F.xxhash64(text_of(F.col(text_col)))
     rows = docs.select(*dict.fromkeys([id_col, text_col, source_col, lang_col])).join(
         F.broadcast(chosen), F.col(id_col) == F.col("chosen_"), "left"
     )
-    picked = rows.where(F.col("label").isNotNull() | near)
-    plain = picked.select(id_col, text_col, source_col, lang_col, "label", "chosen_")
-    vectors = features(plain.drop("label", "chosen_"), id_col, text_col, source_col, lang_col).join(
+    picked = rows.where(F.col("label").isNotNull() | (_place(F.struct(id_col, own_hash), "pool") < taken))
+    once = picked.groupBy(F.col(id_col).alias("id_"), F.when(F.col("label").isNull(), own_hash).alias("of_text")).agg(
+        F.min_by(F.struct(F.col(text_col).alias("t_"), F.col(source_col).alias("s_"), F.col(lang_col).alias("l_")), own_hash).alias("row_")
+    )
+    vectors = features(once.select("id_", "row_.*"), "id_", "t_", "s_", "l_").join(
         F.broadcast(chosen.withColumnRenamed("chosen_", "doc_id")), "doc_id", "left"
     )
-    # A bounded sample, read by many small jobs: a few tasks serve it best.
-    sample = cut_lineage(vectors.repartition(4))
+    # The sample is read by many small jobs: few tasks serve it best.
+    sample = cut_lineage(vectors.repartition(max(4, int((labelled + taken * total) / ROWS_A_TASK))))
     taught = sample.where("label IS NOT NULL")
     train = taught.where(_place(F.col("doc_id"), "fold") < 0.67).withColumn("weight", F.lit(1.0))
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
