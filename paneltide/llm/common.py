@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paneltide.session import cut_lineage, fresh_path, prepare, shared_dir
 
-__all__ = ["arrow_session", "cut_lineage", "free_name", "fresh_path", "shared_dir", "slices", "word_count", "worker_state"]
+__all__ = ["arrow_session", "cut_lineage", "free_name", "free_worker_state", "fresh_path", "shared_dir", "slices", "word_count", "worker_state"]
 
 #: Texts one Arrow batch may hold; batches of wide rows stay small.
 ARROW_ROWS = 512
@@ -54,6 +54,11 @@ def worker_state() -> types.ModuleType:
     return sys.modules.setdefault("_paneltide_worker_state", types.ModuleType("_paneltide_worker_state"))
 
 
+def free_worker_state() -> None:
+    """Give up what an earlier operator kept in this process, as another one needs the memory."""
+    worker_state().__dict__.clear()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` has about ``limit`` bytes in each cut, one row at least."""
     sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)]

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from paneltide.llm.common import arrow_session, cut_lineage, free_name, text_of
+from paneltide.llm.common import arrow_session, cut_lineage, free_name, free_worker_state, text_of
 from paneltide.llm.shingles import shingle_sets
 
 #: Least similarity of a link, in hundredths.
@@ -97,6 +97,7 @@ def _windows(percent: int, table: bytes | None):
     """Arrow function over (id, text hash, text): size, signature, sketch, window keys and where the window ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_state()
         bits = None if table is None else _bits(table)
         for batch in batches:
             sizes, signs, sketches, keys, last = [], [], [], [], []
@@ -129,6 +130,7 @@ def _whole_sets(table: bytes | None):
     """Arrow function over (text hash, text): signature and whole set of the texts in the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_state()
         bits = None if table is None else _bits(table)
         for batch in batches:
             if bits is not None:
