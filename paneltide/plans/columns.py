@@ -641,7 +641,7 @@ def parse_type_query(t):
 
 @query(
     "check_output",
-    """SELECT p_partkey, p_size % 3 <> 0 AS spec_ok, p_size % 3 <> 1 AS params_ok, TRUE AS ranges_ok FROM part""",
+    """SELECT p_partkey, p_size % 3 <> 0 AS spec_ok, p_size % 3 <> 1 AS params_ok, p_size % 4 > 1 AS ranges_ok FROM part""",
 )
 def check_output(t):
     cell = F.when(F.col("p_size") % 3 == 0, F.lit("a1")).otherwise(F.concat(F.lit("A"), "p_size"))
@@ -649,7 +649,9 @@ def check_output(t):
     params = F.when(F.col("p_size") % 3 == 1, F.concat(F.lit('{"x": ['), "p_size", F.lit("]}"))).otherwise(
         F.concat(F.lit('{"x": '), "p_size", F.lit("}")))
     at = F.timestamp_seconds(F.col("p_partkey"))
-    ranges = F.array(F.struct(at.alias("tr_start"), at.alias("tr_end")))
+    # Some ranges have no end, and some lists of ranges are missing.
+    end = F.when(F.col("p_size") % 4 != 0, at)
+    ranges = F.when(F.col("p_size") % 4 != 1, F.array(F.struct(at.alias("tr_start"), at.alias("tr_end")), F.struct(at.alias("tr_start"), end.alias("tr_end"))))
     return t.part.select(
         "p_partkey", validate.check_export_spec(spec)["valid"].alias("spec_ok"),
         validate.check_sim_params(params)["valid"].alias("params_ok"),
@@ -657,6 +659,35 @@ def check_output(t):
     )
 
 
+@query(
+    "check_output_lists",
+    f"""SELECT p_partkey,
+      CASE p_size % 4 WHEN 0 THEN '{{"x":' || p_size || '}}{validate.NOT_LIST}' WHEN 1 THEN '[' || p_size || ']{validate.NOT_HASHABLE}'
+        WHEN 2 THEN p_size || '{validate.NOT_DICT}' ELSE '' END AS params_message,
+      CASE p_size % 3 WHEN 0 THEN 'b' || p_size || '{validate.NOT_CELL}' WHEN 1 THEN '[]{validate.NOT_DICT}' ELSE '' END AS export_message,
+      p_size % 5 > 1 AS ranges_ok FROM part""",
+)
+def check_output_lists(t):
+    """Lists of parameters, export entries by sheet and named lists of ranges, good and bad ones, with the reasons."""
+    size = F.col("p_size").cast("string")
+    good = F.concat(F.lit('{"x":'), size, F.lit("}"))
+    params = (
+        F.when(F.col("p_size") % 4 == 0, good).when(F.col("p_size") % 4 == 1, F.concat(F.lit("["), good, F.lit(',{"y":['), size, F.lit("]}]")))
+        .when(F.col("p_size") % 4 == 2, F.concat(F.lit("["), size, F.lit(","), good, F.lit("]"))).otherwise(F.concat(F.lit("["), good, F.lit("]")))
+    )
+    entry = lambda cell: F.concat(F.lit('{"value_type":"int","start_cell":"'), cell, F.lit('"}'))
+    second = F.when(F.col("p_size") % 3 == 0, entry(F.concat(F.lit("b"), size))).otherwise(entry(F.concat(F.lit("B"), size)))
+    export = F.when(F.col("p_size") % 3 == 1, F.lit("[]")).otherwise(F.concat(F.lit('{"one":'), entry(F.lit("A1")), F.lit(',"two":'), second, F.lit("}")))
+    at = F.timestamp_seconds(F.col("p_partkey"))
+    whole = F.array(F.struct(at.alias("tr_start"), at.alias("tr_end")))
+    open_end = F.array(F.struct(at.alias("tr_start"), F.lit(None).cast("timestamp").alias("tr_end")))
+    named = F.when(F.col("p_size") % 5 != 1, F.create_map(F.lit("all"), whole, F.lit("valid"), F.when(F.col("p_size") % 5 == 0, open_end).otherwise(whole)))
+    return t.part.select(
+        "p_partkey", validate.check_all_sim_params(params)["message"].alias("params_message"),
+        validate.check_export_config(export)["message"].alias("export_message"), validate.check_all_time_ranges(named)["valid"].alias("ranges_ok"),
+    )
+
+
 @query(
     "quarantine",
     """SELECT event_id, event_type = 'error' AS rejected,
