@@ -16,9 +16,10 @@ from datetime import datetime
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from paneltide.schema import CELL
 from paneltide.session import cut_lineage
@@ -169,17 +170,8 @@ def map_cells_vectorized(keys: DataFrame, fn: Callable[[pd.DataFrame], pd.Series
     return keys.mapInArrow(run, schema)
 
 
-def map_chunks(
-    keys: DataFrame, fn: Callable[..., Iterator], value: T.DataType, inputs: list[str], key_columns: list[str]
-) -> DataFrame:
-    """Generator functions: every yield is one chunk row, in the order yielded.
-
-    Pieces leave the task as they come, so a value may be larger than memory.  A key
-    that fails gets one failed row; ``drop_failed`` then removes its earlier pieces.
-    """
-    names = [f.name for f in output_fields(value)]
-    kept = [f for f in keys.schema if f.name in key_columns]
-    schema = T.StructType(kept + [T.StructField("chunk_num", T.IntegerType())] + output_fields(value))
+def _pieces(fn: Callable[..., Iterator], value: T.DataType, inputs: list[str], key_columns: list[str]) -> Callable[[dict], Iterator[tuple]]:
+    """A function from a row to its chunk rows: keys, number and output."""
 
     def pieces(row: dict) -> Iterator[tuple]:
         head = tuple(row[c] for c in key_columns)
@@ -196,6 +188,46 @@ def map_chunks(
             text = traceback.format_exc().strip()
             yield (*head, chunk, None, True, "", text, _combined("", text))
 
+    return pieces
+
+
+def register_chunks(
+    spark: SparkSession, name: str, fn: Callable[..., Iterator], value: T.DataType, inputs: list[str], key_columns: list[str]
+) -> None:
+    """Make a generator function callable from SQL: ``SELECT * FROM name(TABLE(cells))``.
+
+    The result has the key columns, with their types in the table given, and the columns of
+    ``map_chunks``.  Rows of a key go to one call's partition, in the order of the keys, so the
+    SQL text needs no ``PARTITION BY``.
+    """
+    pieces = _pieces(fn, value, inputs, key_columns)
+    output = [T.StructField("chunk_num", T.IntegerType()), *output_fields(value)]
+
+    class Chunks:
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            kept = [table.dataType[k] for k in key_columns]
+            by = [PartitioningColumn(k) for k in key_columns]
+            return AnalyzeResult(T.StructType([*kept, *output]), partitionBy=by, orderBy=[OrderingColumn(k) for k in key_columns])
+
+        def eval(self, table: Row) -> Iterator[tuple]:
+            yield from pieces(table.asDict())
+
+    spark.udtf.register(name, F.udtf(Chunks))
+
+
+def map_chunks(
+    keys: DataFrame, fn: Callable[..., Iterator], value: T.DataType, inputs: list[str], key_columns: list[str]
+) -> DataFrame:
+    """Generator functions: every yield is one chunk row, in the order yielded.
+
+    Pieces leave the task as they come, so a value may be larger than memory.  A key
+    that fails gets one failed row; ``drop_failed`` then removes its earlier pieces.
+    """
+    names = [f.name for f in output_fields(value)]
+    kept = [f for f in keys.schema if f.name in key_columns]
+    schema = T.StructType(kept + [T.StructField("chunk_num", T.IntegerType())] + output_fields(value))
+    pieces = _pieces(fn, value, inputs, key_columns)
     ordered = T.StructType([f for c in key_columns for f in kept if f.name == c] + schema.fields[len(kept):])
     columns, to_batch = [*key_columns, "chunk_num", *names], _batches(ordered)
 

@@ -155,6 +155,19 @@ def map_chunks(t):
     return run.drop_failed(out, ["doc_id"]).select("doc_id", "chunk_num", "value")
 
 
+@query(
+    "map_chunks_sql",
+    """SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_num, lines[i] AS value, FALSE AS failed FROM (
+         SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)""",
+)
+def map_chunks_sql(t):
+    """The generator of map_chunks as a table function in SQL."""
+    run.register_chunks(t.spark, "paneltide_lines", lines, T.StringType(), ["text"], ["doc_id"])
+    return t.spark.sql(
+        "SELECT doc_id, chunk_num, value, failed FROM paneltide_lines(TABLE(SELECT doc_id, text FROM {documents}))", documents=t.documents
+    )
+
+
 @query(
     "fold_history",
     f"""WITH RECURSIVE {p.EVENT_LATEST.strip()}, s AS (

@@ -279,6 +279,17 @@ def test_jdbc_addresses():
         jdbc.jdbc_options(host="h", sql_type="other")
 
 
+def test_jdbc_reads_name_their_partitions(spark):
+    assert jdbc.partition_options("id", (0, 100), 8) == {"partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "8"}
+    assert jdbc.partition_options(None, None, None) == {}
+    for wrong in [("id", None, 8), ("id", (0, 9), None), (None, (0, 9), 8), ("id", (9, 9), 8), ("id", (0, 9), 0)]:
+        with pytest.raises(ValueError):
+            jdbc.partition_options(*wrong)
+    for options in [{}, {"predicates": ["a = 1"], "one_task": True}, {"partition_column": "id", "bounds": (0, 9), "partitions": 2, "one_task": True}]:
+        with pytest.raises(ValueError, match="one_task"):
+            jdbc.read_jdbc(spark, "t", host="h", database="d", **options)
+
+
 def message(i, n, op="update", gone=False):
     return {"data": json.dumps({"fullDocument": {"calc_graph_ref": "g", "is_deleted": gone, "n": n}, "documentKey": {"_id": i},
                                 "operationType": op, "collection": "c", "sequence": n})}
@@ -369,3 +380,21 @@ def test_failures_along_a_chain(spark):
     want = {("d0", "data"): 0, ("d15", "data"): 0, ("d0", "more"): 6} | {(f"d{i}", "data"): i for i in range(1, 9)}
     want |= {(f"d{i}", "data"): 2 + i - 9 for i in range(9, 15)} | {(f"d{i}", "data"): i - 15 for i in range(16, 21)}
     assert got == want
+
+
+def test_chunks_from_sql_equal_chunks(spark):
+    """Pieces, a failure after some pieces, a wrong type, and NULL keys, by SQL and by DataFrame."""
+
+    def pieces(word):
+        for i, c in enumerate(word or ""):
+            if c == "!":
+                raise ValueError("no more")
+            yield 5 if c == "5" else c * (i + 1)
+
+    df = spark.createDataFrame([(1, "abc"), (2, "x!y"), (3, "a5"), (None, "z"), (4, None)], "k int, word string")
+    run.register_chunks(spark, "pieces_of", pieces, T.StringType(), ["word"], ["k"])
+    got = spark.sql("SELECT * FROM pieces_of(TABLE({cells}))", cells=df)
+    want = run.map_chunks(df, pieces, T.StringType(), ["word"], ["k"])
+    assert got.columns == want.columns
+    short = lambda d: sorted((repr(tuple(r)[:4]), r.stderr_output.split("\n")[-1]) for r in d.collect())
+    assert short(got) == short(want) and len(short(got)) == 8
