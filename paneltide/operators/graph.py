@@ -1,16 +1,17 @@
 """Walks over dependency and hierarchy edges.
 
-Each round is one equi-join from the frontier to the edge table, deduplicated with
-map-side combine.  Rounds are as many as the graph is deep, and every round's result is
-checkpointed to the shared folder: plans stay short and a lost executor costs no replay.
+Failures go out by frontiers: each round is one equi-join from the frontier to the edge
+table, deduplicated with map-side combine, with as many rounds as the graph is deep.  Hierarchies
+are walked by pointer doubling, whose rounds grow with the logarithm of the depth.  Every round's
+result is kept in the shared folder: plans stay short and a lost executor costs no replay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from paneltide.operators.ordered import global_position
-from paneltide.session import cut_lineage
+from paneltide.operators.ordered import Measure, global_position, in_slices, running
+from paneltide.session import cut_lineage, written
 
 # Fixed value: message of a consumer whose input failed.
 UPSTREAM = "Upstream failure from "
@@ -60,36 +61,136 @@ def propagate_failures(edges: DataFrame, failed: DataFrame) -> DataFrame:
     return direct.unionByName(told.select(*pair, "level", "input_doc_id", message.alias("message")))
 
 
+def _lift(state: DataFrame, combine, grow=None) -> DataFrame:
+    """Pointer doubling: ``up`` of every row jumps over twice the distance each round until it is NULL.
+
+    ``combine`` merges a row (``r_``) with the one it points to (``a_``), ``grow`` names a column
+    that a row hands to the one it points to.  Rounds grow with the logarithm of the longest
+    chain; rows whose chain has no end keep their ``up``.
+    """
+    names = [c for c in state.columns if c not in ("node", "up")]
+    waiting = None
+    while True:
+        left = state.where("up IS NOT NULL").count()
+        if left == 0 or left == waiting:
+            return state
+        waiting = left
+        active = state.where("up IS NOT NULL")
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("__up"), *[F.col(c).alias(f"a_{c}") for c in names])
+        rows = active.select("node", "up", *[F.col(c).alias(f"r_{c}") for c in names]).join(above, "up")
+        moved = rows.select("node", F.col("__up").alias("up"), *[combine[c].alias(c) if c in combine else F.col(f"r_{c}").alias(c) for c in names])
+        jumped = state.where("up IS NULL").unionByName(moved)
+        if grow is not None:
+            given = active.groupBy(F.col("up").alias("node")).agg(F.try_sum(grow).alias("__given"))
+            jumped = jumped.join(given, "node", "left").withColumn(grow, F.try_add(grow, F.coalesce("__given", F.lit(0)))).drop("__given")
+        state = written(jumped)
+
+
+def _sizes(links: DataFrame, choice: DataFrame, start: DataFrame) -> DataFrame:
+    """Per node the end of its chain of chosen parents and the links below it, itself included."""
+    nodes = links.select(F.col("parent").alias("node")).unionAll(links.select("child")).unionAll(start).distinct()
+    chosen = choice.select(F.col("child").alias("node"), F.col("parent").alias("up"))
+    # A link that is not chosen is a leaf of its parent.
+    leaves = links.join(choice.select("child", F.col("parent").alias("__chosen")), "child").where(
+        "parent <> __chosen").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("__leaves"))
+    state = nodes.join(chosen, "node", "left").join(leaves, "node", "left").select(
+        "node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("top"),
+        (F.coalesce("__leaves", F.lit(0)) + 1).cast("long").alias("size"),
+    )
+    return _lift(written(state), {"top": F.col("a_top")}, grow="size")
+
+
+def _places(links: DataFrame, choice: DataFrame, sizes: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Place and depth of every node in the walk of the chosen tree, and the place of every link."""
+    sized = links.join(choice.select("child", F.col("parent").alias("__chosen")), "child").withColumn(
+        "tree", F.col("parent") == F.col("__chosen")).drop("__chosen")
+    sized = sized.join(sizes.select(F.col("node").alias("child"), "size"), "child").withColumn(
+        "size", F.when(F.col("tree"), F.col("size")).otherwise(F.lit(1)))
+    order = ["ord", "child"]
+    before = running(in_slices(sized, ["parent"], order), ["parent"], [F.col(c) for c in order],
+                     [Measure("__before", "sum", F.col("size"))], F.col("__slice_part"))
+    items = written(before.select("parent", "child", "tree", (F.coalesce("__before", F.lit(0)) + 1).alias("offset")))
+    state = items.where("tree").select(F.col("child").alias("node"), F.col("parent").alias("up"), F.col("offset").alias("place"), F.lit(1).alias("depth"))
+    root = start.select("node", F.lit(None).cast(start.schema["node"].dataType).alias("up"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("depth"))
+    placed = _lift(written(state.unionByName(root)), {c: F.col(f"r_{c}") + F.col(f"a_{c}") for c in ("place", "depth")})
+    at = items.join(placed.select(F.col("node").alias("parent"), "place"), "parent").select(
+        "parent", "child", "tree", (F.col("place") + F.col("offset")).alias("place"))
+    return placed.select("node", "place", "depth"), at
+
+
+def first_visits(edges: DataFrame, root, directed: bool = True) -> DataFrame:
+    """``(node, place, depth)`` of a depth-first walk from ``root`` that enters every node once.
+
+    ``edges(parent, child, ord)``: a node's children are visited by ``ord``, then ``child``;
+    undirected edges are walked both ways.  Rows with a NULL end, loops and repeats of a pair (the
+    smallest ``ord`` counts) change nothing; nodes out of reach are left out.  ``place`` grows
+    with the order of first visits.
+
+    Every node chooses a parent.  Over the chosen tree, pointer doubling gives the sizes of subtrees
+    and, from these, the place of every node and of every link that was not chosen (a
+    leaf of its parent).  A node with an earlier link chooses that one, and places are taken again;
+    a new parent always stood before its child, so choices never form a circle.  When no node
+    has an earlier link, the tree is that of the walk.  Rounds grow with the logarithm of the
+    depth, times the changes of choice that follow one another: none in a tree; at most the nodes with
+    several parents on one path where there are no circles; with circles up to the nodes themselves.
+    """
+    links = edges.select("parent", "child", F.col("ord").cast("long").alias("ord"))
+    if not directed:
+        links = links.unionByName(links.select(F.col("child").alias("parent"), F.col("parent").alias("child"), "ord"))
+    kind = links.schema["parent"].dataType
+    start = edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("node"))
+    links = written(
+        links.where((F.col("parent") != F.col("child")) & (F.col("child") != F.lit(root).cast(kind)))
+        .groupBy("parent", "child").agg(F.min("ord").alias("ord"))
+    )
+
+    def pick(rows, *by):
+        return rows.groupBy("child").agg(F.min_by("parent", F.struct(*by, "parent")).alias("parent"))
+
+    def changed(choice, better):
+        renamed = better.withColumnRenamed("parent", "__better")
+        return written(choice.join(renamed, "child", "left").select("child", F.coalesce("__better", "parent").alias("parent")))
+
+    # Nodes whose chain of parents does not end at the root turn to a parent whose chain does.
+    choice = written(pick(links, "ord"))
+    while True:
+        sizes = _sizes(links, choice, start)
+        reached = sizes.where(F.col("up").isNull() & (F.col("top") == F.lit(root).cast(kind))).select("node", "size")
+        ends = reached.select("node")
+        inner = links.join(ends.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        better = written(pick(inner.join(ends.withColumnRenamed("node", "child"), "child", "left_anti"), "ord"))
+        if better.isEmpty():
+            break
+        choice = changed(choice, better)
+    links = written(inner)
+    choice = written(choice.join(ends.withColumnRenamed("node", "child"), "child", "left_semi"))
+    several = written(links.groupBy("child").agg(F.count("*").alias("__n")).where("__n > 1").select("child"))
+    single = several.isEmpty()
+    while True:
+        # Links from nodes out of reach were dropped; the sizes of reached nodes do not hold any.
+        placed, at = _places(links, choice, sizes, start)
+        if single:
+            return placed
+        first = at.join(several, "child", "left_semi").groupBy("child").agg(
+            F.min_by(F.struct("parent", "tree"), "place").alias("__first"))
+        better = written(first.where("NOT __first.tree").select("child", F.col("__first.parent").alias("parent")))
+        if better.isEmpty():
+            return placed
+        choice = changed(choice, better)
+        sizes = _sizes(links, choice, start)
+
+
 def hierarchy_levels(
     edges: DataFrame, root: str, margin: int = 100, root_x: int = 0, root_y: int = 0, directed: bool = True
 ) -> DataFrame:
     """Depth of every node below ``root`` and its place within the level.
 
     ``edges(parent, child, ord)``; siblings follow ``ord``, levels follow the order in
-    which a depth-first walk meets them.  A node with several parents counts at its
-    smallest depth.
+    which a depth-first walk meets them.  A node with several parents counts where the
+    walk first comes to it (see ``first_visits``).
     """
-    links = edges.select("parent", "child", F.col("ord").cast("long").alias("ord"))
-    if not directed:
-        links = links.unionByName(links.select(F.col("child").alias("parent"), F.col("parent").alias("child"), "ord"))
-    node_type = links.schema["parent"].dataType
-    start = edges.sparkSession.range(1).select(
-        F.lit(root).cast(node_type).alias("node"), F.lit(0).alias("level"),
-        F.array().cast("array<bigint>").alias("path"),
-    )
-    seen = cut_lineage(start)
-    frontier, level = seen, 0
-    while not frontier.isEmpty():
-        level += 1
-        reached = (
-            links.join(frontier.withColumnRenamed("node", "parent"), "parent")
-            .groupBy(F.col("child").alias("node"))
-            .agg(F.min(F.concat("path", F.array("ord"))).alias("path"))
-        )
-        fresh = reached.join(seen.select("node"), "node", "left_anti")
-        frontier = cut_lineage(fresh.select("node", F.lit(level).alias("level"), "path"))
-        seen = seen.unionByName(frontier)
-    placed = global_position(seen, [F.col("level"), F.col("path"), F.col("node")], "__pos")
+    walked = first_visits(edges, root, directed).withColumnRenamed("depth", "level")
+    placed = global_position(walked, [F.col("level"), F.col("place")], "__pos")
     first = placed.groupBy("level").agg(F.min("__pos").alias("__first"))
     rank = F.col("__pos") - F.col("__first")
     return placed.join(first, "level").select(

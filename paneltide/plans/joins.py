@@ -378,3 +378,46 @@ def hierarchy_levels(t):
     edges = edges.unionAll(link(t.nation, name("r", "n_regionkey"), name("n", "n_nationkey"), "n_nationkey"))
     edges = edges.unionAll(link(t.customer, name("n", "c_nationkey"), name("c", "c_custkey"), "c_custkey"))
     return graph.hierarchy_levels(edges, "world")
+
+
+@query(
+    "hierarchy_levels_shared",
+    """WITH RECURSIVE edges(parent, child, ord) AS (
+      SELECT 'world', 'r' || r_regionkey, CAST(r_regionkey AS BIGINT) FROM region
+      UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, n_nationkey FROM nation
+      UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 2 * s_suppkey FROM supplier
+      UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 2 * c_custkey + 1 FROM customer
+      UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, o_orderkey FROM orders
+      UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, l_partkey FROM lineitem
+      UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, l_partkey FROM lineitem),
+    walk(node, path) AS (
+      SELECT 'world', CAST([] AS BIGINT[])
+      UNION ALL
+      SELECT e.child, list_append(w.path, e.ord) FROM walk w JOIN edges e ON e.parent = w.node),
+    visits AS (SELECT node, min(path) AS path FROM walk GROUP BY node)
+    SELECT node, CAST(len(path) AS INTEGER) AS level, row_number() OVER (PARTITION BY len(path) ORDER BY path) - 1 AS rank
+    FROM visits""",
+)
+def hierarchy_levels_shared(t):
+    """Parts stand below the orders and the suppliers that hold them; the first visit counts."""
+
+    def link(df, above, up, below, down, ord_):
+        def name(letter, key):
+            return F.concat(F.lit(letter), F.col(key).cast("string"))
+
+        return df.select(name(above, up).alias("parent"), name(below, down).alias("child"), ord_.cast("long").alias("ord"))
+
+    edges = t.region.select(
+        F.lit("world").alias("parent"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("child"),
+        F.col("r_regionkey").cast("long").alias("ord"),
+    )
+    for part in (
+        link(t.nation, "r", "n_regionkey", "n", "n_nationkey", F.col("n_nationkey")),
+        link(t.supplier, "n", "s_nationkey", "s", "s_suppkey", F.col("s_suppkey") * 2),
+        link(t.customer, "n", "c_nationkey", "c", "c_custkey", F.col("c_custkey") * 2 + 1),
+        link(t.orders, "c", "o_custkey", "o", "o_orderkey", F.col("o_orderkey")),
+        link(t.lineitem, "o", "l_orderkey", "p", "l_partkey", F.col("l_partkey")),
+        link(t.lineitem, "s", "l_suppkey", "p", "l_partkey", F.col("l_partkey")),
+    ):
+        edges = edges.unionAll(part)
+    return graph.hierarchy_levels(edges, "world").select("node", "level", "rank")
