@@ -70,7 +70,7 @@ def order_blocks(blocks: DataFrame, within_partitions: bool = False) -> DataFram
 
 
 def drop_version(blocks: DataFrame, version: Column | None = None) -> DataFrame:
-    """Blocks without one version, or none at all; write the result to a new path."""
+    """Blocks without one version, or none at all; ``sources.store`` replaces stored ones."""
     return blocks.where(F.lit(False)) if version is None else blocks.where(~F.col("version").eqNullSafe(version))
 
 
@@ -93,10 +93,12 @@ def keep_top_version(blocks: DataFrame, keys: list[str], version: str = "version
     """All rows (chunks) of the highest version per key.
 
     The top version per key is found from two narrow columns with map-side combine and
-    joined back; a key with very many chunks is split by the adaptive skew join.
+    joined back; a key with very many chunks is split by the adaptive skew join.  NULL is a
+    key like any other, and the version of a key that has no other.
     """
     top = blocks.groupBy(*keys).agg(F.max(version).alias(version))
-    return blocks.join(top, [*keys, version], "left_semi")
+    top = top.select(*[F.col(c).alias(f"__top_{c}") for c in top.columns])
+    return blocks.join(top, [F.col(c).eqNullSafe(F.col(f"__top_{c}")) for c in (*keys, version)], "left_semi")
 
 
 def compact(

@@ -9,6 +9,7 @@ from paneltide.operators.ordered import Measure
 from paneltide.plans import panels as p
 from paneltide.plans.registry import query
 from paneltide.session import fresh_path
+from paneltide.sources import store
 
 KEYS = ["full_name", "attribute_name", "clone_num", "tr_start", "tr_end"]
 
@@ -76,6 +77,53 @@ def drop_version(t):
     return out.select("full_name", "clone_num", "tr_start", "version", "value", "order_id")
 
 
+@query(
+    "store_drop_version",
+    f"""WITH {p.ORDER_BLOCKS}
+    SELECT full_name, '00' || clone_num AS attribute_name, clone_num, tr_start, version, value, order_id FROM order_blocks
+    WHERE version <> (SELECT max(o_orderdate) FROM orders)""",
+)
+def store_drop_version(t):
+    path = fresh_path(t.spark, "store")
+    store.append(_by_clone(p.order_blocks(t)), path)
+    store.drop_version(t.spark, path, t.orders.agg(F.max(F.col("o_orderdate").cast("timestamp"))).scalar())
+    return store.read_store(t.spark, path).select("full_name", "attribute_name", "clone_num", "tr_start", "version", "value", "order_id")
+
+
+@query(
+    "store_compact",
+    f"""WITH {p.ORDER_BLOCKS}, written AS (
+      SELECT * FROM order_blocks
+      UNION ALL
+      SELECT full_name, attribute_name, clone_num, tr_start, tr_end, chunk_num, version + INTERVAL 1 DAY,
+             value + 1, order_id
+      FROM order_blocks WHERE value > 250000),
+    kept AS (
+      SELECT * FROM written WHERE clone_num IN (1, 2, 3, 4)
+        AND tr_start >= TIMESTAMP '1995-01-01' AND tr_end <= TIMESTAMP '2000-01-01'),
+    ranked AS (SELECT *, rank() OVER (PARTITION BY full_name, clone_num, tr_start ORDER BY version DESC) AS rk FROM kept)
+    SELECT full_name, '00' || clone_num AS attribute_name, clone_num, tr_start, tr_end, order_id, value,
+           TIMESTAMP '2024-06-01' AS version FROM ranked WHERE rk = 1""",
+)
+def store_compact(t):
+    path = fresh_path(t.spark, "store")
+    first = _by_clone(p.order_blocks(t))
+    store.append(first, path)
+    store.append(
+        first.where("value > 250000").withColumns(
+            {"version": F.col("version") + F.expr("INTERVAL 1 DAY"), "value": F.col("value") + 1}
+        ),
+        path,
+    )
+    store.compact(t.spark, path, _at("2024-06-01"), [1, 2, 3, 4], (_at("1995-01-01"), _at("2000-01-01")))
+    return store.read_store(t.spark, path).select(*KEYS, "order_id", "value", "version")
+
+
+def _by_clone(df):
+    """One partition per scenario, under a name that looks like a number."""
+    return df.withColumn("attribute_name", F.concat(F.lit("00"), F.col("clone_num").cast("string")))
+
+
 # --- grids ----------------------------------------------------------------------------
 
 
