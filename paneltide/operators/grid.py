@@ -161,7 +161,7 @@ def valid_cells(keys: DataFrame) -> DataFrame:
     """Keep keys inside their attribute's valid range and scenarios.
 
     ``keys`` carries ``valid_start``, ``valid_end`` and ``valid_clones`` from the
-    attribute table, so this is a filter.
+    attribute table (``run_keys`` hands its columns on), so this is a filter.
     """
     return keys.where(
         (F.col("tr_start") >= F.col("valid_start"))

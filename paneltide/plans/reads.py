@@ -290,7 +290,11 @@ def valid_cells(t):
         F.min("tr_start").alias("valid_start"), F.max("tr_start").alias("valid_end"),
         F.collect_set("clone_num").alias("valid_clones"),
     )
-    return grid.valid_cells(p.order_grid(t).join(limits, "full_name")).select(*KEYS)
+    # Limits join the attributes, before these become keys: planners take keys for no more than the attributes
+    # and would send them all through the driver.  Neither table is small enough to be sent either.
+    attributes = p.customer_attributes(t).join(limits.hint("merge"), "full_name")
+    keys = grid.run_keys(attributes, p.range_list(p.order_ranges(t)), p.PRIORITIES)
+    return grid.valid_cells(keys).select(*KEYS)
 
 
 # --- versions -------------------------------------------------------------------------

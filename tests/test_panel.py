@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from paneltide import schema
 from paneltide.operators import blocks, history, joins, sets
 from paneltide.operators.ordered import Measure, global_position, in_slices, rank_in_group, running
+from paneltide.plans import catalog
 
 
 def skewed(spark, n=3000):
@@ -277,3 +278,19 @@ def test_diff_elements(spark):
     assert pick(sets.diff_elements(new, old, "old")) == [(0, 4)]
     assert pick(sets.diff_elements(new, old)) == [(0, 4), (3, 0)]
     assert sets.diff_elements(None, old).count() == 2 and sets.diff_elements(new, None, "new").count() == 2
+
+
+def test_limits_join_before_keys_multiply(spark, tmp_path):
+    month = lambda m: dt.datetime(2024, m, 1)
+    orders = [(1, 1, dt.datetime(2024, 1, 5), "1-URGENT"), (2, 1, dt.datetime(2024, 3, 9), "3-MEDIUM"),
+              (3, 2, dt.datetime(2024, 2, 1), "2-HIGH"), (4, 2, dt.datetime(2024, 4, 30), "2-HIGH"), (5, None, month(5), "4")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string").withColumn(
+        "o_totalprice", F.lit(1.0)).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    out = catalog.queries()["valid_cells"](spark, str(tmp_path))
+    want = [("c1", c, m) for c in (1, 3) for m in (1, 2)] + [("c2", 2, m) for m in (2, 3)] * 2
+    rows = [(r.full_name, r.clone_num, r.tr_start, r.tr_end, r.attribute_name) for r in out.collect()]
+    assert sorted(rows) == sorted((n, c, month(m), month(m + 1), "data") for n, c, m in want)
+    # No join stands above the rows that multiply, so none can broadcast them.
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
+    assert len(plan) == 2 and "Generate explode" in plan[0] and "Generate" not in plan[1] and "merge" in plan[1]
