@@ -72,3 +72,26 @@ def test_rounds_grow_with_the_logarithm_of_the_depth(spark, monkeypatch):
     out = graph.first_visits(chain, "0")
     wrong = out.where("place <> cast(node as bigint) OR depth <> cast(node as int)")
     assert out.count() == n and wrong.isEmpty() and len(rounds) <= 2 * 17 + 9
+
+
+def test_links_to_shared_leaves_are_not_written(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [("r", f"g{g}", g) for g in range(20)] + [(f"g{n % 20}", f"n{n}", n) for n in range(400)]
+    edges += [(f"n{n}", f"p{rng.randrange(200)}", rng.randrange(50)) for n in range(300) for _ in range(30)]
+    # Beside their own children, groups hold shared leaves too, some twice; one leaf hangs below the root.
+    edges += [(f"g{rng.randrange(20)}", f"p{rng.randrange(260)}", rng.randrange(400)) for _ in range(300)] + [("r", "p259", 7)]
+    rows = []
+
+    def counted(df):
+        out = written(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    assert visited(spark, edges, "r") == walk(edges, "r")
+    assert sum(rows) < len(edges) / 2
+
+
+def test_the_smallest_known_place_of_a_repeat_counts(spark):
+    edges = [("r", "a", None), ("r", "a", 5), ("r", "b", 1), ("r", "c", None), ("a", "d", 2), ("b", "d", 3)]
+    assert visited(spark, edges, "r") == [("r", 0), ("c", 1), ("b", 1), ("d", 2), ("a", 1)]
