@@ -9,9 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paneltide.session import cut_lineage, fresh_path, prepare, shared_dir
+from paneltide.session import cut_lineage, fresh_path, prepare, shared_dir, written
 
-__all__ = ["arrow_session", "cut_lineage", "free_name", "free_worker_state", "fresh_path", "shared_dir", "slices", "word_count", "worker_state"]
+__all__ = ["arrow_session", "cut_lineage", "free_name", "free_worker_state", "fresh_path", "shared_dir", "slices", "word_count", "worker_state", "written"]
 
 #: Texts one Arrow batch may hold; batches of wide rows stay small.
 ARROW_ROWS = 512

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from paneltide.llm.common import arrow_session, cut_lineage, free_name, free_worker_state, text_of
+from paneltide.llm.common import arrow_session, cut_lineage, free_name, free_worker_state, text_of, written
 from paneltide.llm.shingles import shingle_sets
 
 #: Least similarity of a link, in hundredths.
@@ -47,6 +47,8 @@ TABLE_BITS = 22
 MORE_PIVOTS = 64
 #: 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 8
+#: Tables of the loops are written plainly, so that the planner broadcasts none whose file is only small by compression.
+PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
 
 
 def _window(n: int, percent: int) -> int:
@@ -267,14 +269,16 @@ class JaccardJoin:
             label = F.col("node") if labels is None else F.coalesce("label", "node")
             marked = known.withColumn("group", label)
             open_ = marked.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-            members = cut_lineage(marked.join(open_, "key", "left_semi").drop("label"))
+            # What a round hands to the next is written: the sizes guessed for checkpoints multiply in
+            # the rounds' joins, to numbers whose digits fill the driver.
+            members = written(marked.join(open_, "key", "left_semi").drop("label"), "members", **PLAIN)
             if labels is not None and members.isEmpty():
                 return labels
             more, large = self._by_pivots(members, pivots)
             asked = more if labels is not None else pairs.unionByName(more)
             measured = self.measure(cut_lineage(asked.distinct()))
             found = self.linked(measured)
-            links = cut_lineage(thinned(found if links is None else links.unionByName(found)))
+            links = written(thinned(found if links is None else links.unionByName(found)), "links", **PLAIN)
             labels = connect(links)
             large = self._with_distance(large, measured)
             pivots *= MORE_PIVOTS
@@ -340,13 +344,14 @@ def connect(links: DataFrame) -> DataFrame:
     so chains halve; rounds end when nothing changes.
     """
     edges = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", **PLAIN)
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("lower"))
         jump = labels.select(F.col("node").alias("lower"), F.col("label").alias("further"))
-        new = cut_lineage(
-            lower.join(jump, "lower").select("node", F.least("lower", "further").alias("label"), (F.least("lower", "further") < F.col("label")).alias("changed"))
+        new = written(
+            lower.join(jump, "lower").select("node", F.least("lower", "further").alias("label"), (F.least("lower", "further") < F.col("label")).alias("changed")),
+            "labels", **PLAIN,
         )
         labels = new.select("node", "label")
         if new.where("changed").isEmpty():

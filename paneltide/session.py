@@ -49,12 +49,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str = "rows") -> DataFrame:
-    """``df`` as a table below the shared folder, read back.
+def written(df: DataFrame, label: str = "rows", **options) -> DataFrame:
+    """``df`` as a table below the shared folder, read back; ``options`` are those of the writer.
 
     A checkpoint keeps the size that the planner had guessed, and a join of a table with itself
     squares it: loops that do so cut with this, whose sizes are those of the files.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
