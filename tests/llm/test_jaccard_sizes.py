@@ -1,5 +1,6 @@
 """The planner's size guesses in the loops of the Jaccard join, whose digits fill the driver when they multiply."""
 
+import corpus_pipeline
 from paneltide.llm import jaccard_join
 
 
@@ -28,3 +29,13 @@ def test_rounds_of_pivots_keep_their_size_guess(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df, few=8).collect()}
     assert got == {i: i - i % 2 for i in range(300)}
     assert len(guesses) >= 4 and not any(guesses)
+
+
+def test_the_pipelines_near_duplicates_keep_their_size_guess(spark, monkeypatch):
+    connect, guesses = jaccard_join.connect, []
+    monkeypatch.setattr(jaccard_join, "connect", lambda links: guesses.append(beyond_all_sizes(links)) or connect(links))
+    chain = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join([f"n{k}" for k in range(i)] + chain[i:]), "en", "src0", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near(spark, docs, "")
+    assert [r["doc_id"] for r in kept.collect()] == [0] and guesses and not any(guesses)
